@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, quality, sharding
+from . import fingerprints, fixity, jaccard, licences, mixing, packing, quality, sharding, tokens, toxicity
 from .common import documents
 
 QUERIES = {
     "op1_document_fingerprints": lambda spark, d: fingerprints.document_fingerprints(documents(spark, d)),
+    "op2_license_scans": lambda spark, d: licences.scan(documents(spark, d)),
     "op3_quality_rules": lambda spark, d: quality.judged(documents(spark, d)),
+    "op4_jaccard_join": lambda spark, d: jaccard.near_duplicates(documents(spark, d)),
     "op5_sharding": lambda spark, d: sharding.sharded(documents(spark, d)),
+    "op6_best_fit_packing": lambda spark, d: packing.packed(documents(spark, d)),
+    "op7_token_files": lambda spark, d: tokens.token_table(documents(spark, d)),
+    "op8_toxicity": lambda spark, d: toxicity.scored(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+    "op9_warc_fixity": lambda spark, d: fixity.audited(spark.read.parquet(f"{d}/pages.parquet")),
     "op10_mixing": lambda spark, d: mixing.mixed(documents(spark, d)),
 }
 
