@@ -7,6 +7,7 @@ words and word beginnings a text has. The model is fitted on a bounded sample of
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,15 +19,18 @@ from pyspark.sql import functions as F
 from .tokens import texts
 
 #: Features are hashed to this many places; a sample has at most so many labelled rows of each class.
-SPACE, PER_CLASS = 1 << 18, 4000
+SPACE, PER_CLASS = 1 << 19, 4000
 GRADES = 4
-STRIP = b".,;:!?*#$%&()[]{}<>|\"'-_"
+#: Labelled rows that must have a feature for it to count.
+LEAST = 10
+STRIP = ".,;:!?*#$%&()[]{}<>|\"'-_"
 
 
 class Words:
-    """The features of words, remembered by word."""
+    """The features of words, remembered by word: the word and its beginnings."""
 
-    MOST = 200_000
+    MOST = 150_000
+    BEGINNINGS = (4, 5, 6, 7, 8)
 
     def __init__(self):
         self.known: dict[bytes, tuple[int, ...]] = {}
@@ -34,9 +38,9 @@ class Words:
     def of(self, word: bytes) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
-            bare = word.lower().strip(STRIP)
-            kinds = [b"w" + bare, *(b"p%d" % n + bare[:n] for n in (4, 5) if len(bare) > n)] if bare else []
-            found = tuple(zlib.crc32(x) % SPACE for x in kinds)
+            bare = word.decode("utf-8", "replace").lower().strip(STRIP)
+            kinds = ["w" + bare, *(f"p{n}{bare[:n]}" for n in self.BEGINNINGS if len(bare) > n)] if bare else []
+            found = tuple(zlib.crc32(x.encode()) % (SPACE // 2) for x in kinds)
             if len(self.known) >= self.MOST:
                 self.known.clear()
             if len(word) <= 64:
@@ -44,11 +48,14 @@ class Words:
         return found
 
     def features(self, text: bytes) -> np.ndarray:
-        """The sorted places of the features that a text has."""
-        found: set[int] = set()
-        for word in set(text.split()):
-            found.update(self.of(word))
-        return np.fromiter(sorted(found), dtype=np.int32, count=len(found))
+        """The sorted places of the features that a text has; the upper half of the places is for those it has twice."""
+        times: dict[int, int] = {}
+        for word, n in Counter(text.split()).items():
+            for f in self.of(word):
+                times[f] = times.get(f, 0) + n
+        found = sorted(times)
+        found += [f + SPACE // 2 for f in found if times[f] > 1]
+        return np.fromiter(found, dtype=np.int32, count=len(found))
 
 
 _WORDS = Words()
@@ -79,9 +86,14 @@ def severity_grades(flat: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> n
     return np.where(toxic, 1 + (hits > cuts[0]).astype(int) + (hits > cuts[1]).astype(int), 0)
 
 
-def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps: int = 150, rate: float = 0.05, decay: float = 2e-4) -> Model:
-    """Maximum likelihood with a quadratic penalty, by Adam over all rows; thresholds stay in ascending order."""
+def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps: int = 150, rate: float = 0.05, decay: float = 1e-3) -> Model:
+    """Maximum likelihood with a quadratic penalty, by Adam over all rows; thresholds stay in ascending order.
+
+    Features that fewer than LEAST rows have get no weight: they would only learn these rows by heart.
+    """
     n, levels = len(grades), GRADES - 1
+    often = np.bincount(flat, minlength=SPACE)[flat] >= LEAST
+    flat, owner = flat[often], owner[often]
     weights, gaps = np.zeros(SPACE), np.array([1.0, *[0.0] * (levels - 1)])  # first threshold, then logs of the gaps
     state = [np.zeros(SPACE), np.zeros(SPACE), np.zeros(levels), np.zeros(levels)]
     low, high = grades - 1, grades
