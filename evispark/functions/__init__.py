@@ -1 +1 @@
-
+"""Column builders: text, URLs and ordered rules."""
