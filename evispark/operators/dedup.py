@@ -76,7 +76,7 @@ def merge_records(df: DataFrame, key: list[str], order: str, identity: list[str]
     packed = df.withColumn("_alone", alone).groupBy(*key, "_alone").agg(
         F.min(order).alias(order), F.array_sort(F.collect_list(F.struct(order, *lists))).alias("_all")
     )
-    return packed.select(*key, order, *(F.array_distinct(F.flatten(F.transform("_all", lambda x, c=c: x[c]))).alias(c) for c in lists))
+    return packed.select(*key, order, *(F.array_distinct(F.flatten(F.col("_all").getField(c))).alias(c) for c in lists))
 
 
 def without_repeated_lines(docs: DataFrame, text: str, key: list[str], least: int = 20) -> DataFrame:

@@ -26,7 +26,11 @@ def import_rows(rows: DataFrame, required: list[str], text_columns: list[str], u
         T.coarse_tags(text).alias("tags"),
         T.coarse_priority(text).alias("priority"),
     )
-    found = [F.transform(U.extract(F.col(c)), lambda u, c=c: F.struct(u.alias("raw_url"), F.lit(c).alias("field"))) for c in url_columns]
+
+    def named(column: str) -> Column:
+        return F.transform(U.extract(F.col(column)), lambda u: F.struct(u.alias("raw_url"), F.lit(column).alias("field")))
+
+    found = [named(c) for c in url_columns]
     each = sources.select("source_id", "priority", F.explode(F.flatten(F.array(*found))).alias("_u")).select("source_id", "priority", "_u.*")
     each = each.withColumn("url", U.canonical(F.col("raw_url")))
     good = each.where("url is not null").withColumn("task_id", U.task_id(F.col("url")))

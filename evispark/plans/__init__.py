@@ -1,6 +1,15 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, and DuckDB SQL with the same rows.
+
+Orders stand for tasks, customers for source rows, line items for child tasks and list items, parts for roles, suppliers
+for companies, events for the event log, documents for evidence texts and pages for captured artifacts.
+"""
 
 from __future__ import annotations
 
+from . import documents, events, joins, queue, rollups, text
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (queue, rollups, joins, text, documents, events):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL

@@ -55,10 +55,12 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     place = lambda names: F.try_element_at(F.filter(F.sequence(F.lit(1), F.size("cells")), lambda i: F.element_at(lowered, i).isin(*names)), F.lit(1))
     urls_at = F.filter(F.sequence(F.lit(1), F.size("cells")), lambda i: F.element_at(lowered, i).isin("index", "url", "link", "链接", "网址", "投递链接"))
     heads = rows.where(place(("company", "公司")).isNotNull()).select(F.struct("at", place(("company", "公司")).alias("company"), place(("状态",)).alias("status"), urls_at.alias("urls")).alias("head"))
-    head = heads.agg(F.min("head").alias("h"))
-    body = rows.crossJoin(F.broadcast(head)).where("at > h.at").where(F.exists("cells", lambda c: (c != "") & ~c.rlike("^:?-{2,}:?$")))  # one header row
-    company, status = F.try_element_at("cells", F.col("h.company")), F.try_element_at("cells", F.col("h.status"))
-    found = F.flatten(F.transform("h.urls", lambda i: F.coalesce(F.regexp_extract_all(F.try_element_at(F.col("cells"), i), F.lit("https?://[^\\s\\])]+"), F.lit(0)), F.array().cast("array<string>"))))
+    head = heads.agg(F.min("head").alias("h")).first()["h"]  # the one header row
+    if head is None:
+        return spark.createDataFrame([], "company string, status string, urls array<string>, applied boolean")
+    body = rows.where(F.col("at") > head["at"]).where(F.exists("cells", lambda c: (c != "") & ~c.rlike("^:?-{2,}:?$")))
+    company, status = F.try_element_at("cells", F.lit(head["company"])), F.try_element_at("cells", F.lit(head["status"]).cast("int"))
+    found = F.flatten(F.transform(F.array(*map(F.lit, head["urls"])).cast("array<int>"), lambda i: F.coalesce(F.regexp_extract_all(F.try_element_at(F.col("cells"), i), F.lit("https?://[^\\s\\])]+"), F.lit(0)), F.array().cast("array<string>"))))
     shown = body.select(company.alias("company"), F.coalesce(status, F.lit("")).alias("status"), F.transform(found, lambda u: F.rtrim(u, F.lit(">),，。"))).alias("urls"))
     waits = F.exists(F.array(*map(F.lit, PENDING_MARKERS)), lambda m: F.contains(F.replace(F.col("status"), F.lit(" "), F.lit("")), m))
     return shown.where("coalesce(company, '') <> ''").withColumn("applied", ~waits)
