@@ -40,7 +40,7 @@ def classify(title: Column) -> Column:
 
 def selected_roles(text: Column) -> Column:
     """Distinct (priority, role) of a role list by the selection rules, sorted."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ROLE_SPLIT, -1), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ROLE_SPLIT, -1), lambda x: F.trim(x)), lambda x: x != "")
     matched = F.transform(parts, lambda x: F.struct(first_match(x, rules.SELECTION_ROLES).cast("int").alias("priority"), x.alias("role")))
     return F.array_sort(F.array_distinct(F.filter(matched, lambda x: x["priority"].isNotNull())))
 

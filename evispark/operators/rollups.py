@@ -38,13 +38,13 @@ def clusters(df: DataFrame, key: list[str], order: str, example: str, examples:
 
     Examples are first cut within salted parts of a cluster, so no task holds a large one.
     """
-    first = Window.partitionBy(*key, "_salt").orderBy(order, example)
+    first = Window.partitionBy(*key, "_salt").orderBy("_o", "_e")
     counts = df.groupBy(*key).agg(F.count("*").alias("n"))
-    salted = df.select(*key, order, example, F.pmod(F.xxhash64(order, example), F.lit(64)).alias("_salt"))
+    salted = df.select(*key, F.col(order).alias("_o"), F.col(example).alias("_e"), F.pmod(F.xxhash64(order, example), F.lit(64)).alias("_salt"))
     few = salted.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= examples)
-    shown = few.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list(F.struct(order, example))), 1, examples).alias("_first"))
+    shown = few.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_e").alias("e")))), 1, examples).alias("_first"))
     joined = counts.join(shown, [counts[k].eqNullSafe(shown[k]) for k in key]).select(*(counts[k] for k in key), "n", "_first")
-    return joined.select(*key, "n", F.array_join(F.transform("_first", lambda x: x[example].cast("string")), ",").alias("examples"))
+    return joined.select(*key, "n", F.array_join(F.transform("_first", lambda x: x["e"].cast("string")), ",").alias("examples"))
 
 
 def reasons(df: DataFrame, text: str, pattern: str, default: str) -> DataFrame:

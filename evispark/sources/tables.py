@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def read_raw_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -29,13 +29,15 @@ def read_raw_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([name] * len(rows), pa.string()), numbers], [*columns, "input_path", "row_number"])
 
     fields = [*schema.fields, StructField("input_path", StringType())]
-    return lines.mapInArrow(parse, StructType(fields).add("row_number", "int"))
+    return lines.mapInArrow(parse, StructType([*fields, StructField("row_number", IntegerType())]))
 
 
 def read_queue(spark: SparkSession, path: str, schema: str) -> dict[str, DataFrame]:
     """JSON lines: ``rows`` that parse and ``bad`` ones with their text."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return {"rows": rows.where("_corrupt_record is null").drop("_corrupt_record"), "bad": rows.where("_corrupt_record is not null").select("_corrupt_record")}
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", parsed.alias("_row"))
+    bad = F.col("_row._corrupt_record").isNotNull()
+    return {"rows": lines.where(~bad).select("_row.*").drop("_corrupt_record"), "bad": lines.where(bad).select(F.col("value").alias("text"))}
 
 
 def first_url(row_columns: list[str]):
@@ -48,7 +50,7 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     from ..functions.rules import PENDING_MARKERS
 
     text = spark.read.text(path, wholetext=True)
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), "^\\||\\|$", ""), "\\|", -1), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), "^\\||\\|$", ""), "\\|", -1), lambda x: F.trim(x))
     lines = text.select(F.posexplode(F.split(F.regexp_replace("value", "^\\x{feff}", ""), "\\r?\\n", -1)).alias("at", "line")).where(F.ltrim("line").startswith("|"))
     rows = lines.select("at", cells.alias("cells"))
     lowered = F.transform("cells", F.lower)
