@@ -39,9 +39,10 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     every = Window.partitionBy()
     demand = F.sum("source_size").over(every) * F.lit(float(share))
     level = (demand - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    levelled = weighed.withColumn("_level", level).withColumn("_open", F.col("_level") * F.col("weight") <= F.col("cap"))
+    levelled = weighed.withColumns({"_level": level, "_nth": F.row_number().over(by_ratio)})
+    levelled = levelled.withColumn("_open", F.col("_level") * F.col("weight") <= F.col("cap"))
     # The first source that stays below its cap sets the level for all after it.
-    found = F.min(F.when(F.col("_open"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("_level").alias("l")))).over(every)
+    found = F.min(F.when(F.col("_open"), F.struct("_nth", F.col("_level").alias("l")))).over(every)
     target = F.least(F.col("cap"), F.coalesce(found["l"] * F.col("weight"), F.col("cap")))
     return levelled.select("source", "source_size", "slope", target.alias("target"))
 
