@@ -35,7 +35,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     by some of the keys, there is no shuffle.
     """
     each = texts.select(*keys, F.explode_outer(passages(F.col(text))).alias("_p"))
-    real = F.coalesce(F.length(F.trim("_p")) > 0, F.lit(False))
+    real = F.coalesce(F.length(F.btrim("_p", F.lit(" \t\n\x0b\f\r"))) > 0, F.lit(False))
     hashed = each.select(
         *keys,
         F.when(real, F.xxhash64("_p")).otherwise(0).alias("_a"),

@@ -20,14 +20,19 @@ def weighted_splitters(sized: DataFrame, key: str, size: str, ranges: int, total
     """Quantiles of a key sample in which a record appears once for each ``total / (SAMPLES * ranges)`` of its size.
 
     What is left over of its size decides by a hash of the key and size whether it appears once more, so reruns agree.
-    The driver gets at most ``ranges`` - 1 values.
+    The driver gets about SAMPLES * ranges keys at most, however many records there are.
     """
     share = F.col(size) * F.lit(SAMPLES * ranges / max(1, total))
     chance = F.pmod(F.xxhash64(key, size, F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = F.floor(share + chance).cast("int")
-    drawn = sized.select(F.col(key), times.alias("_n")).where("_n > 0").select(F.explode(F.array_repeat(key, F.col("_n"))).alias(key))
-    found = drawn.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else []
-    return sorted(set(found or []))
+    drawn = sized.select(F.col(key).alias("k"), F.floor(share + chance).alias("n")).where("n > 0").groupBy("k").agg(F.sum("n").alias("n"))
+    sample = sorted((r["k"], r["n"]) for r in drawn.collect())
+    weight, passed, out = sum(n for _, n in sample), 0, []
+    for k, n in sample:
+        # A key becomes a splitter when the sample before it crosses into a new quantile.
+        if passed and passed * ranges // weight > (out and out[-1][1] or 0):
+            out.append((k, passed * ranges // weight))
+        passed += n
+    return [k for k, _ in out]
 
 
 def shard(records: DataFrame, shards: int = 8, ranges_per_shard: int = 128, text: str = "text", id_column: str = "doc_id") -> DataFrame:
