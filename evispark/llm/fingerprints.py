@@ -109,14 +109,14 @@ def with_next(df: DataFrame, columns: list[str], id_column: str = "doc_id", per_
     """Add ``next_<column>``: the values of the row that follows in descending order of the ids; after the last, the first.
 
     Ids are cut into ranges at quantiles; the row at a cut goes to both its ranges, so that no range needs another.
-    The result lies together by ``range``, another new column. Null ids come last; rows of one id are ordered by
+    The result lies together by ``range``, another new column, and ``_row`` numbers the rows of a range. Null ids come last; rows of one id are ordered by
     ``columns``; equal rows may follow one another in any order.
     """
     keyed = df.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))))
     ids = keyed.select("_id")
     edges = quantile_edges(ids, "_id", bucket_count(ids.count(), per_bucket, 1 << 14))
     if not edges:
-        return keyed.drop("_id").withColumns({f"next_{c}": F.col(c) for c in columns} | {"range": F.lit(0)})
+        return keyed.drop("_id").withColumns({f"next_{c}": F.col(c) for c in columns} | {"range": F.lit(0), "_row": F.lit(0)})
     own = keyed.withColumn("_bucket", bucket_of(F.col("_id"), edges))
     bucket, first, last = F.col("_bucket"), F.col("_id") == edges[0], F.col("_id") == edges[-1]
     place = lambda where, kind: F.struct(where.cast("int").alias("range"), F.lit(kind).alias("kind"))
