@@ -73,7 +73,8 @@ def proof(items: DataFrame, pages: DataFrame, max_pages: int = 100) -> DataFrame
 
 def stable_snapshots(snapshots: DataFrame) -> DataFrame:
     """Whether the last two snapshots (run, snapshot, item) of a run have the same items and the union of all has no more."""
-    sets = snapshots.groupBy("run", "snapshot").agg(F.countDistinct("item").alias("n"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("h"))
+    snapshots = snapshots.select("run", "snapshot", "item").distinct()
+    sets = snapshots.groupBy("run", "snapshot").agg(F.count("*").alias("n"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("h"))
     order = Window.partitionBy("run").orderBy(F.desc("snapshot"))
     last = sets.withColumns({"nth": F.row_number().over(order), "n2": F.lead("n").over(order), "h2": F.lead("h").over(order)}).where("nth = 1")
     every = snapshots.groupBy("run").agg(F.countDistinct("item").alias("all_items"))

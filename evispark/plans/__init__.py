@@ -6,10 +6,10 @@ for companies, events for the event log, documents for evidence texts and pages
 
 from __future__ import annotations
 
-from . import documents, events, joins, queue, rollups, text
+from . import documents, events, joins, queue, results, rollups, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (queue, rollups, joins, text, documents, events):
+for _module in (queue, rollups, joins, text, documents, events, results):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
