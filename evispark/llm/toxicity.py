@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .tokens import texts
 
-#: Features are hashed to this many places; a sample has at most so many labelled rows of each class.
-SPACE, PER_CLASS = 1 << 19, 4000
+#: Features are hashed to this many places; a sample has at most so many toxic rows, and twice as many clean ones.
+SPACE, PER_CLASS = 1 << 19, 2500
 GRADES = 4
 #: Labelled rows that must have a feature for it to count.
 LEAST = 10
@@ -86,14 +86,19 @@ def severity_grades(flat: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> n
     return np.where(toxic, 1 + (hits > cuts[0]).astype(int) + (hits > cuts[1]).astype(int), 0)
 
 
+def _frequent(flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries whose feature LEAST rows or more have."""
+    often = (np.bincount(flat, minlength=SPACE) >= LEAST)[flat]
+    return flat[often], owner[often]
+
+
 def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps: int = 150, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """Maximum likelihood with a quadratic penalty, by Adam over all rows; thresholds stay in ascending order.
 
     Features that fewer than LEAST rows have get no weight: they would only learn these rows by heart.
     """
     n, levels = len(grades), GRADES - 1
-    often = np.bincount(flat, minlength=SPACE)[flat] >= LEAST
-    flat, owner = flat[often], owner[often]
+    flat, owner = _frequent(flat, owner)
     weights, gaps = np.zeros(SPACE), np.array([1.0, *[0.0] * (levels - 1)])  # first threshold, then logs of the gaps
     state = [np.zeros(SPACE), np.zeros(SPACE), np.zeros(levels), np.zeros(levels)]
     low, high = grades - 1, grades
@@ -118,11 +123,11 @@ def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, text and toxic of at most ``per_class`` labelled rows of each class, chosen by a hash of the id."""
+    """doc_id, text and toxic of at most ``per_class`` toxic and twice as many clean labelled rows, chosen by a hash of the id."""
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("_toxic"))
     order = F.xxhash64("_id", F.lit(3))
-    chosen = known.where("_toxic").orderBy(order, "_id").limit(per_class).union(known.where("not _toxic").orderBy(order, "_id").limit(per_class))
-    # Both sides of the union are bounded, so this is at most twice per_class narrow rows.
+    chosen = known.where("_toxic").orderBy(order, "_id").limit(per_class).union(known.where("not _toxic").orderBy(order, "_id").limit(2 * per_class))
+    # Both sides of the union are bounded, so these are at most three times per_class narrow rows.
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
 
 
@@ -138,9 +143,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     if rows.empty:
         return Model(np.zeros(SPACE, dtype=np.float32), np.array([40.0, 41.0, 42.0]))
     rows = rows.sort_values(["doc_id", "features"], kind="stable")
-    each = [np.frombuffer(bytes(x), dtype=np.int32) for x in rows["features"]]
-    flat, owner = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
-    toxic = rows["toxic"].to_numpy(dtype=bool)
+    toxic, features = rows["toxic"].to_numpy(dtype=bool), rows["features"].tolist()
+    del rows
+    flat = np.frombuffer(b"".join(features), dtype=np.int32)
+    owner = np.repeat(np.arange(len(features), dtype=np.int32), [len(x) // 4 for x in features])
+    del features
+    flat, owner = _frequent(flat, owner)
     return fit_ordinal(flat, owner, severity_grades(flat, owner, toxic))
 
 
