@@ -52,7 +52,7 @@ def tree(hashed: DataFrame) -> dict[int, DataFrame]:
     """For each level, 0 the lowest and LEVELS the roots, a table (archive, node, digest) of the ranges of offsets.
 
     A lowest range holds the records that begin in it, a higher one the sixteen ranges below, a root its archive; each
-    digest is over what lies below in order, so no group is larger than a range or sixteen rows. The lowest is stored.
+    digest is over what lies below in order, so no group is larger than a range or sixteen rows. All levels are stored.
     """
 
     def over(rows: DataFrame, node, parts: list[str]) -> DataFrame:
@@ -63,7 +63,7 @@ def tree(hashed: DataFrame) -> dict[int, DataFrame]:
     levels = {0: materialise(over(hashed, F.shiftright("offset", LEAF_BITS), ["offset", "length", "digest"]), "fixity-level")}
     for level in range(1, LEVELS + 1):
         node = F.shiftright("below", FAN_BITS) if level < LEVELS else F.lit(0).cast("long")
-        levels[level] = over(levels[level - 1].withColumnRenamed("node", "below"), node, ["below", "digest"])
+        levels[level] = materialise(over(levels[level - 1].withColumnRenamed("node", "below"), node, ["below", "digest"]), "fixity-level")
     return levels
 
 
@@ -79,16 +79,16 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     ``status`` is altered, missing (from the second) or extra (in the second); digests and lengths are of either replica.
     Equal replicas give an empty result, as do empty tables. Where several records claim one offset, they are compared in
     order of their digests. Trees are stored in the shared folder, then compared from the roots down: each level opens
-    only the children of nodes that differ above.
+    only the children of nodes that differ above, and what it opens is stored for the next.
     """
     sides = [materialise(leaves(x), "fixity-leaves") for x in (first, second)]
     trees = [tree(side) for side in sides]
-    open_nodes = differing(trees[0][LEVELS], trees[1][LEVELS])
+    open_nodes = materialise(differing(trees[0][LEVELS], trees[1][LEVELS]), "fixity-open")
     for level in reversed(range(LEVELS)):
         parent = F.shiftright("node", FAN_BITS) if level < LEVELS - 1 else F.lit(0).cast("long")
         above = open_nodes.withColumnRenamed("node", "_parent")
         below = [t[level].withColumn("_parent", parent).join(above, ["archive", "_parent"], "left_semi").drop("_parent") for t in trees]
-        open_nodes = differing(*below)
+        open_nodes = materialise(differing(*below), "fixity-open")
     within = Window.partitionBy("archive", "offset").orderBy("digest", F.col("page_id").asc_nulls_first())
     opened = []
     for side, name in zip(sides, "ab", strict=True):
