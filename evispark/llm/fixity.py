@@ -13,11 +13,11 @@ from .common import bucket_count
 LEAF_BITS, FAN_BITS, LEVELS = 16, 4, 4
 
 
-def warc_records(pages: DataFrame, pages_per_archive: int = 2000) -> DataFrame:
-    """Pages as WARC response records: archive, offset, length and record, in archives of about so many pages.
+def records_of(pages: DataFrame, pages_per_archive: int = 2000) -> DataFrame:
+    """Pages as WARC response records: page_id, archive, length and record, in archives of about so many pages.
 
-    A page's archive goes by a hash of its id, so archives are dealt evenly and reruns agree; records lie in an archive in
-    order of id, without gaps. Null urls and pages count as empty, null ids come first, equal rows are records of their own.
+    A page's archive goes by a hash of its id, so archives are dealt evenly and reruns agree. Null urls and pages count as
+    empty; equal rows are records of their own.
     """
     rows = pages.count()
     archives = bucket_count(rows, pages_per_archive)
@@ -37,15 +37,26 @@ def warc_records(pages: DataFrame, pages_per_archive: int = 2000) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"),
         F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int").alias("archive"),
         record.alias("record"),
-    ).withColumn("length", F.octet_length("record").cast("long"))
-    order = [F.col("page_id").asc_nulls_first(), F.col("record")]
+    )
+    return named.withColumn("length", F.octet_length("record").cast("long"))
+
+
+def placed(records: DataFrame, content: str = "record") -> DataFrame:
+    """Add each record's offset: an archive's records lie in order of id, null ids first, then of content, without gaps."""
+    order = [F.col("page_id").asc_nulls_first(), F.col(content)]
     before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return named.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
+    return records.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
+
+
+def warc_records(pages: DataFrame, pages_per_archive: int = 2000) -> DataFrame:
+    """The records of ``pages`` with their offsets."""
+    return placed(records_of(pages, pages_per_archive))
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """The records' digests, without the records. Records at one place are told apart by their order of digest."""
-    return records.select("archive", "offset", "length", "page_id", F.sha2("record", 256).alias("digest"))
+    """The records' digests, without the records."""
+    digest = F.sha2("record", 256) if "record" in records.columns else F.col("digest")
+    return records.select("archive", "offset", "length", "page_id", digest.alias("digest"))
 
 
 def tree(hashed: DataFrame) -> dict[int, DataFrame]:
@@ -74,7 +85,7 @@ def differing(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """The records at which two replicas (archive, offset, length, page_id, record) differ.
+    """The records at which two replicas (archive, offset, length, page_id, and record or its digest) differ.
 
     ``status`` is altered, missing (from the second) or extra (in the second); digests and lengths are of either replica.
     Equal replicas give an empty result, as do empty tables. Where several records claim one offset, they are compared in
@@ -108,17 +119,29 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
+def changed(record):
+    """A record with its first byte changed."""
+    return F.concat(F.lit("X"), F.substr(record, F.lit(2)))
+
+
 def damaged(records: DataFrame) -> DataFrame:
     """A replica with known damage, for audits of the audit: of ids that leave 3 by 97 one byte is changed, those that
-    leave 5 by 89 are missing, and those that leave 7 by 83 are there a second time, one byte further."""
+    leave 5 by 89 are missing, and those that leave 7 by 83 are there a second time, one byte further.
+
+    Where only digests are there, ``changed`` is the digest of the changed record.
+    """
     page = F.col("page_id")
-    changed = F.when(F.pmod(page, F.lit(97)) == 3, F.concat(F.lit("X"), F.substr("record", F.lit(2)))).otherwise(F.col("record"))
-    kept = records.where(page.isNull() | (F.pmod(page, F.lit(89)) != 5)).withColumn("record", changed)
+    column, other = ("record", changed(F.col("record"))) if "record" in records.columns else ("digest", F.col("changed"))
+    kept = records.where(page.isNull() | (F.pmod(page, F.lit(89)) != 5))
+    kept = kept.withColumn(column, F.when(F.pmod(page, F.lit(97)) == 3, other).otherwise(F.col(column)))
     extra = kept.where(F.pmod(page, F.lit(83)) == 7).withColumn("offset", F.col("offset") + 1)
     return kept.unionByName(extra)
 
 
 def audited(pages: DataFrame) -> DataFrame:
-    """The audit of all pages' records against the damaged replica."""
-    records = warc_records(pages)
-    return audit(records, damaged(records))
+    """The audit of all pages' records against the damaged replica. Records are hashed where they are read; only digests
+    are placed, stored and compared."""
+    record = F.col("record")
+    hashed = records_of(pages).select("page_id", "archive", "length", F.sha2(record, 256).alias("digest"), F.sha2(changed(record), 256).alias("changed"))
+    stored = materialise(placed(hashed, "digest"), "fixity-records")
+    return audit(stored, damaged(stored))
