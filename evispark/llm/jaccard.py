@@ -168,7 +168,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     continue
                 seen.add(key)
                 rarity = shared.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                tokens.append(s[np.argsort(rarity, kind="stable")[: n - need(n) + 1]].view(np.int64))
+                tokens.append(s[np.argsort(rarity, kind="stable")[: n - need(n) + must_share(n)]].view(np.int64))
                 keys.append(key[0])
                 sizes.append(n)
             many = [len(t) for t in tokens]

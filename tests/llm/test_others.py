@@ -64,6 +64,15 @@ def test_a_family_at_the_threshold(spark):
     check_components(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_copies_with_an_added_passage(spark):
+    rows = []
+    for i, (size, ratio, ahead) in enumerate((s, r, a) for s in (40, 64, 200, 333, 1000) for r in (1.18, 1.2, 1.22, 1.24, 1.25) for a in (False, True)):
+        body, own = [f"b{i}x{k}" for k in range(size + 4)], [f"own{i}x{k}" for k in range(int(size * ratio + 1e-6) - size)]
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(own + body if ahead else body + own))]
+    found = check_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in found)
+
+
 def test_shingle_hashes_tell_texts_apart():
     texts = ["a b c d e f", "A B C D E F", "a b c d e  f\n", "ab c d e f", "a", "b", "", "a b", "b a", "a b c d e", "e d c b a", "é b c d e", "É b c d e"]
     sets = [tuple(s.tolist()) for s in jaccard.shingle_sets([t.encode() for t in texts])]
