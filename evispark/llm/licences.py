@@ -7,9 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where a sentence ends.
-ENDS = r"(?<=[.!?])[\x20\x09-\x0D]+|\n"
-#: Sentences without any of these are no licence sentences.
-GATE = r"(?i)licen[cs]e|copyright|creative commons|\bcc[ -]?by|permission is|redistribut|warrant|public domain|\bgpl|spdx"
+ENDS = r"(?<=[.!?])[\x20\x09-\x0D]++(?!(?i:nor\s+the\s+names?\b))|\n"
+#: Texts without any of these have neither a known sentence nor one that speaks of licences.
+GATE = (
+    r"(?i)licen[cs]e|copyright|\([\W_]*c[\W_]*\)|creative[\W_]+commons|cc[\W_]*by|cc0|permission|redistribut|warrant|public[\W_]+domain|gpl|gnu"
+    r"|spdx|apache|bsd|mozilla|attribution|dedication|contributors|free[\W_]+software|this[\W_]+program|all[\W_]+rights"
+)
+#: Sentences that aren't known and have none of these don't speak of licences.
+SPEAKS = r"(?i)licen[cs]e|copyright|creative commons|\bcc[ -]?by|permission is|redistribut|warrant|public domain|\bgpl|spdx"
 
 #: Known sentences, as patterns over the normalised sentence (lower case, single spaces, no punctuation but
 #: that of names and versions), each with its identifier. The first pattern that matches counts.
@@ -81,8 +86,8 @@ def normalise(sentence: Column) -> Column:
 
 
 def sentence_id(sentence: Column) -> Column:
-    """The identifier of a normalised sentence; ``Unknown`` for one that speaks of licences but isn't known."""
-    found = F.lit("Unknown")
+    """The identifier of a normalised sentence; ``Unknown`` for one that speaks of licences but isn't known, null for others."""
+    found = F.when(sentence.rlike(SPEAKS), "Unknown")
     for name, pattern in reversed(SENTENCES):
         found = F.when(sentence.rlike(f"^(?:{pattern})$"), name).otherwise(found)
     return found
@@ -99,8 +104,8 @@ def scan(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
     # Most texts have no such word at all, and are not split.
     asked = docs.where(F.coalesce(F.col("text").rlike(GATE), F.lit(False))).select(*(F.col(c).alias(k) for k, c in kept.items()), body.alias("_text"))
-    spoken = asked.select(*kept, F.filter(F.split("_text", ENDS, -1), lambda s: s.rlike(GATE)).alias("_spoken"))
-    named = spoken.select(*kept, F.transform(F.transform("_spoken", normalise), sentence_id).alias("_ids")).where(F.size("_ids") > 0)
+    plain = asked.select(*kept, F.transform(F.split("_text", ENDS, -1), normalise).alias("_plain"))
+    named = plain.select(*kept, F.filter(F.transform("_plain", sentence_id), lambda x: x.isNotNull()).alias("_ids")).where(F.size("_ids") > 0)
     matched = F.concat(F.lit(";"), F.array_join("_ids", ";;"), F.lit(";"))
     for licence, ids in RULES:
         matched = F.replace(matched, F.lit("".join(f";{x};" for x in ids)), F.lit(f"<{licence}>"))

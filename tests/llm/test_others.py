@@ -99,6 +99,23 @@ def test_licences(spark, odd, empty):
     assert licences.scan(odd).count() == 0 and licences.scan(empty).count() == 0
 
 
+def test_known_licence_sentences_that_do_not_say_licence(spark):
+    bsd = "Redistribution and use in source and binary forms are permitted. Redistributions of source code must retain the above copyright notice. "
+    bsd += "Redistributions in binary form must reproduce the above copyright notice. "
+    texts = {
+        1: ("Copyright 2020 Foo. All rights reserved.", "all-rights-reserved", 0),
+        2: (bsd + "Neither the name of Google Inc. nor the names of its contributors may be used to endorse products.", "BSD-3-Clause", 0),
+        3: ("(c) 2020 Foo", "", 1),
+        4: ("CC0 1.0", "CC0-1.0", 0),
+        5: ("Apache-2.0", "Apache-2.0", 0),
+        6: ("It is under BSD 3-Clause.", "BSD", 0),
+        7: ("(c) 2020 Foo.\nSome prose.\nAll rights reserved.", "all-rights-reserved", 0),
+    }
+    df = spark.createDataFrame([(i, t[0]) for i, t in texts.items()], "doc_id long, text string")
+    found = {r["doc_id"]: (r["licences"], r["n_unknown"]) for r in licences.scan(df).collect()}
+    assert found == {i: t[1:] for i, t in texts.items()}
+
+
 def test_licences_of_the_table(docs, texts):
     told = {
         "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
