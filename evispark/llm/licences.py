@@ -6,8 +6,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where a sentence ends.
-ENDS = r"(?<=[.!?])[\x20\x09-\x0D]++(?!(?i:nor\s+the\s+names?\b))|\n"
+from .common import let
+
+#: Where a sentence ends: after a stop, at a line without letters and digits, and after a line that ends in a colon.
+ENDS = r"(?<=[.!?])[\x20\x09-\x0D]++(?!(?i:nor\s+the\s+names?\b))|\n[^\p{L}\p{N}\n]*\n|(?<=:)[\x20\x09\x0D]*\n"
+#: Lines that are notices by themselves, and what starts a sentence where it starts a line.
+NOTICE = r"(?imd)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\p{N}\n]*(?:\(c\)|\u00a9|\d)|\(c\)|all[ ]rights[ ]reserved|spdx[ -]license[ -]identifier)[^\n]*$"
+STARTS = (
+    r"(?imd)^(?=[^\p{L}\p{N}\n]*(?:[0-9a-z]{1,2}[.)][\x20\x09]+)?(?:permission is hereby granted|the above copyright notice and this|the software is provided"
+    r"|redistribution and use in|redistributions of source|redistributions in binary|neither the name of|this program is|you should have received|see the gnu))"
+)
 #: Texts without any of these have neither a known sentence nor one that speaks of licences.
 GATE = (
     r"(?i)licen[cs]e|copyright|\([\W_]*c[\W_]*\)|creative[\W_]+commons|cc[\W_]*by|cc0|permission|redistribut|warrant|public[\W_]+domain|gpl|gnu"
@@ -19,7 +27,11 @@ SPEAKS = r"(?i)licen[cs]e|copyright|creative commons|\bcc[ -]?by|permission is|r
 #: Known sentences, as patterns over the normalised sentence (lower case, single spaces, no punctuation but
 #: that of names and versions), each with its identifier. The first pattern that matches counts.
 SENTENCES = [
-    ("SPDX", r"spdx license identifier [a-z0-9.+-]+"),
+    ("SPDX", r".*\bspdx[ -]license[ -]identifier [a-z0-9.+()-]+.*"),
+    ("GPL3Free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license .*\bversion 3\b.*"),
+    ("GPL2Free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license .*\bversion 2\b.*"),
+    ("GPLSee", r"see the gnu general public license for more details.*"),
+    ("GPLCopy", r"you should have received a copy of the gnu general public license.*"),
     ("Apache2Name", r".*\bapache license,? version 2(\.0)?\b.*"),
     ("Apache2Short", r".*\bapache[ -]2(\.0)?\b.*"),
     ("AGPL3Name", r".*\bgnu affero general public license\b.*\b(version|v) ?3\b.*"),
@@ -51,9 +63,18 @@ SENTENCES = [
     ("Copyright", r"(copyright|\(c\)) .*"),
 ]
 
+#: Known sentences that are whole clauses, which lines may be wrapped in.
+CLAUSES = ["GPL3Free", "GPL2Free", "GPLFree", "GPLHope", "GPLSee", "GPLCopy", "MITGrant", "MITNotice", "MITAsIs", "BSDRedistribute", "BSDSource", "BSDBinary", "BSDEndorse"]
+#: The licence expression of an SPDX tag.
+TAG = r"(?i)spdx[ -]license[ -]identifier ([a-z0-9.+()-]+(?: (?:or|and|with) [a-z0-9.+()-]+)*)"
+
 #: Licence rules in the order in which they are tried; each is a sequence of sentence identifiers in a row.
 RULES = [
+    ("GPL-3.0-notice", ["GPL3Free", "GPLHope", "GPLSee", "GPLCopy"]),
+    ("GPL-2.0-notice", ["GPL2Free", "GPLHope", "GPLSee", "GPLCopy"]),
     ("GPL-3.0-notice", ["GPLFree", "GPLHope", "GPLCopy"]),
+    ("GPL-3.0", ["GPL3Free"]),
+    ("GPL-2.0", ["GPL2Free"]),
     ("MIT", ["MITGrant", "MITNotice", "MITAsIs"]),
     ("BSD-3-Clause", ["BSDRedistribute", "BSDSource", "BSDBinary", "BSDEndorse"]),
     ("BSD-2-Clause", ["BSDRedistribute", "BSDSource", "BSDBinary"]),
@@ -74,15 +95,19 @@ RULES = [
     ("CC-BY-SA", ["CCBySa"]),
     ("CC-BY", ["CCBy"]),
     ("CC0-1.0", ["CC0"]),
-    ("SPDX-tag", ["SPDX"]),
     ("all-rights-reserved", ["Copyright", "AllRights"]),
 ]
 
 
+def plain(sentence: Column) -> Column:
+    """Single spaces, and only letters, digits, parentheses, and dots, hyphens and pluses within words."""
+    spaced = F.regexp_replace(sentence, r"[^\p{L}\p{N}.+()-]+", " ")
+    return F.trim(F.regexp_replace(spaced, r"(?<![\p{L}\p{N}])[.+-]+|[.-]+(?![\p{L}\p{N}])", ""))
+
+
 def normalise(sentence: Column) -> Column:
-    """Lower case, single spaces, and only letters, digits, parentheses, and dots, hyphens and pluses within words."""
-    plain = F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}.+()-]+", " ")
-    return F.trim(F.regexp_replace(plain, r"(?<![\p{L}\p{N}])[.+-]+|[.-]+(?![\p{L}\p{N}])", ""))
+    """``plain`` in lower case."""
+    return plain(F.lower(sentence))
 
 
 def sentence_id(sentence: Column) -> Column:
@@ -93,6 +118,27 @@ def sentence_id(sentence: Column) -> Column:
     return found
 
 
+def tagged(lines: Column) -> Column:
+    """The identifiers of plain lines; that of an SPDX tag has the tag's licence expression after a colon."""
+    one = lambda s: let(sentence_id(F.lower(s)), lambda x: F.when(x == "SPDX", F.concat(F.lit("SPDX:"), F.regexp_extract(s, TAG, 1))).otherwise(x))
+    return F.transform(lines, one)
+
+
+def sentence_ids(lines: Column) -> Column:
+    """The identifiers of a sentence that is written in plain ``lines``: a clause is one, whatever its lines are; else lines
+    that are known by themselves count each where there are several, or where the sentence as a whole isn't known."""
+    known = lambda ids: F.filter(ids, lambda x: x.isNotNull() & (x != "Unknown"))
+
+    def chosen(whole: Column) -> Column:
+        def by_line(ids: Column) -> Column:
+            few = F.when(whole[0].isNotNull() & (whole[0] != "Unknown"), 2).otherwise(1)
+            return F.when(F.size(known(ids)) >= few, ids).otherwise(whole)
+
+        return F.when((F.size(lines) < 2) | F.coalesce(whole[0].isin(CLAUSES), F.lit(False)), whole).otherwise(let(tagged(lines), by_line))
+
+    return let(tagged(F.array(F.array_join(lines, " "))), chosen)
+
+
 def scan(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
     """Rows of ``docs`` that have a licence sentence: ``keep``, the sentence ids in order, and the licences found.
 
@@ -104,11 +150,14 @@ def scan(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
     # Most texts have no such word at all, and are not split.
     asked = docs.where(F.coalesce(F.col("text").rlike(GATE), F.lit(False))).select(*(F.col(c).alias(k) for k, c in kept.items()), body.alias("_text"))
-    plain = asked.select(*kept, F.transform(F.split("_text", ENDS, -1), normalise).alias("_plain"))
-    named = plain.select(*kept, F.filter(F.transform("_plain", sentence_id), lambda x: x.isNotNull()).alias("_ids")).where(F.size("_ids") > 0)
+    apart = F.regexp_replace(F.regexp_replace("_text", NOTICE, "\n\n$0\n\n"), STARTS, "\n\n")
+    cut = asked.select(*kept, F.split(apart, ENDS, -1).alias("_cut"))
+    lines = cut.select(*kept, F.transform("_cut", lambda s: F.filter(F.transform(F.split(s, "\n", -1), plain), lambda x: x != "")).alias("_lines"))
+    named = lines.select(*kept, F.filter(F.flatten(F.transform("_lines", sentence_ids)), lambda x: x.isNotNull()).alias("_ids")).where(F.size("_ids") > 0)
     matched = F.concat(F.lit(";"), F.array_join("_ids", ";;"), F.lit(";"))
     for licence, ids in RULES:
         matched = F.replace(matched, F.lit("".join(f";{x};" for x in ids)), F.lit(f"<{licence}>"))
+    matched = F.regexp_replace(matched, ";SPDX:([^;<>]+);", "<$1>")
     found = named.select(*kept, F.array_join("_ids", ",").alias("sentence_ids"), matched.alias("_matched"))
     return found.select(
         *(F.col(k).alias(c) for k, c in kept.items()),

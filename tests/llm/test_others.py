@@ -116,6 +116,71 @@ def test_known_licence_sentences_that_do_not_say_licence(spark):
     assert found == {i: t[1:] for i, t in texts.items()}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD3 = """Copyright 2008 Google Inc.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+    * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+    * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+    * Neither the name of Google Inc. nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_wrapped_licence_texts(spark):
+    texts = {
+        1: (MIT, "MIT,MIT"),
+        2: (BSD3, "all-rights-reserved,BSD-3-Clause"),
+        3: (GPL, "GPL-3.0-notice"),
+        4: ("/*\n" + "\n".join(f" * {x}" for x in GPL.split("\n")) + "\n */\nint x;", "GPL-3.0-notice"),
+        5: (GPL.replace("version 3", "version 2").replace("\n", "\r\n"), "GPL-2.0-notice"),
+        6: ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        7: ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */\n(c) 2020 Foo", "GPL-2.0-only WITH Linux-syscall-note"),
+        8: ("Licensed under CC BY-NC 4.0\nReleased under the MIT License", "CC-BY-NC,MIT"),
+        9: ("This work is under the GNU General Public\nLicense, version 3", "GPL-3.0"),
+        10: ("A heading\nCopyright (c) 2020 Foo\nAll rights reserved.\nProse", "all-rights-reserved"),
+        11: (MIT.split("\n\n", 2)[2].replace("\n\n", "\n"), "MIT"),
+    }
+    df = spark.createDataFrame([(i, t[0]) for i, t in texts.items()], "doc_id long, text string")
+    found = {r["doc_id"]: r["licences"] for r in licences.scan(df).collect()}
+    assert found == {i: t[1] for i, t in texts.items()}
+
+
 def test_licences_of_the_table(docs, texts):
     told = {
         "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
