@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..session import materialise
 from .dedup import best_by
 
 
@@ -94,20 +95,25 @@ def applied_urls(rows: DataFrame, url: str, history: DataFrame, recorded: str) -
     return rows.join(hits.withColumn("_hit", F.lit(True)), url, "left").withColumn("applied", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, levels: int = 16) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame, stored: int = 4) -> DataFrame:
     """(root, id, depth) for what hangs below roots by edges (parent, id); each id keeps its shortest way to a root.
 
-    One join a level; it ends when a level adds nothing.
+    One join a level; it ends when a level adds nothing. What each ``stored`` levels add is written, which cuts the lineage.
     """
     frontier = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    found = frontier
-    for depth in range(1, levels + 1):
+    before, recent, depth = None, frontier, 0
+    while True:
+        found = recent if before is None else before.unionByName(recent)
+        depth += 1
         below = frontier.select("root", F.col("id").alias("parent")).join(edges, "parent").select("root", "id", F.lit(depth).alias("depth")).distinct()
         frontier = below.join(found.select("root", "id"), ["root", "id"], "left_anti")
         if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+            return found
+        recent = recent.unionByName(frontier)
+        if depth % stored == 0:
+            part = materialise(recent, "descendants")
+            before = part if before is None else before.unionByName(part)
+            frontier, recent = part.where(F.col("depth") == depth), part.where("false")
 
 
 def contains_first(rows: DataFrame, row_key: list[str], names: DataFrame, text: str, name: str, order: str) -> DataFrame:

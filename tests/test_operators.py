@@ -161,6 +161,14 @@ def test_descendants(spark):
     assert rows(joins.descendants(edges, spark.createDataFrame([(1,)], "id int"))) == [(1, 1, 0), (1, 2, 1), (1, 3, 2)]
 
 
+def test_descendants_of_a_deep_tree(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(20, 1), (1, 10)], "parent int, id int")
+    far = lambda i: i - 1 if i < 10 else i - 9
+    assert rows(joins.descendants(edges, spark.createDataFrame([(1,)], "id int"))) == [(1, i, far(i)) for i in range(1, 21)]
+    chain = edges.where("not (parent = 1 and id = 10)")
+    assert rows(joins.descendants(chain, spark.createDataFrame([(1,)], "id int"))) == [(1, i, i - 1) for i in range(1, 21)]
+
+
 def test_zero_filled_and_clusters(spark):
     df = spark.createDataFrame([("a", i) for i in range(5)], "s string, i int")
     assert rows(rollups.zero_filled(df, "s", ["a", "b"])) == [("a", 5), ("b", 0)]
