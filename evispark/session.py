@@ -44,18 +44,40 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, a new local one is made and set."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a local session gets a new folder; a cluster, whose
+    executors couldn't read one another's files there, gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     base = base or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evispark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Paths that this process has given out, by application.
+_GIVEN: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that operators have stored in the shared folder for this application so far; how many paths went.
+
+    Results that aren't written yet may still read these tables, so call it when they are.
+    """
+    given = _GIVEN.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in given:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(given)
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:

@@ -61,3 +61,11 @@ def test_stream_task_states(spark, tmp_path):
     _run(events.task_states(stream), "states", "update")
     last = spark.table("states").groupBy("task_id").agg(F.max_by("state", "attempts").alias("s"), F.max("attempts").alias("a"))
     assert sorted(map(tuple, last.collect())) == [(1, "ok", 1), (2, "running", 2)]
+
+
+def test_stored_tables_are_released(spark):
+    from evispark.session import materialise, release
+
+    release(spark)
+    kept = materialise(spark.range(3))
+    assert kept.count() == 3 and release(spark) == 1 and release(spark) == 0
