@@ -2,6 +2,10 @@
 
 P(grade <= k) = sigmoid(threshold_k - weights . features), with one weight vector for all thresholds. Features say which
 words and word beginnings a text has. The model is fitted on a bounded sample of labelled rows and applied to whole texts.
+
+Labels say toxic or not. How severe a toxic row is, is told by the density of words that mark toxic rows, and which words do
+is learned from the other half of the sample. So a row's grade isn't a count of its own features: it rests on other rows'
+labels, and on how often the words stand in how long a text.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .common import words
 from .tokens import texts
 
 #: Features are hashed to this many places; a sample has at most so many toxic rows, and twice as many clean ones.
@@ -23,6 +29,8 @@ SPACE, PER_CLASS = 1 << 19, 2500
 GRADES = 4
 #: Labelled rows that must have a feature for it to count.
 LEAST = 10
+#: The columns that scoring adds.
+NEW = ("severity", "p_toxic", "grade", "toxic")
 STRIP = ".,;:!?*#$%&()[]{}<>|\"'-_"
 
 
@@ -72,94 +80,135 @@ class Model:
         return np.diff(np.concatenate([np.zeros((len(scores), 1)), upto, np.ones((len(scores), 1))], axis=1), axis=1)
 
 
-def severity_grades(flat: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Grades 0 to 3 for labelled rows: 0 where not toxic, else by thirds of how many marked features the row has.
-
-    A feature is marked if it is in five toxic rows or more and at least twenty times as often there as in clean rows.
-    """
-    n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    in_toxic = np.bincount(flat[toxic[owner]], minlength=SPACE)
-    in_clean = np.bincount(flat[~toxic[owner]], minlength=SPACE)
-    marked = (in_toxic >= 5) & (in_toxic / n_toxic >= 20 * in_clean / n_clean)
-    hits = np.bincount(owner, weights=marked[flat].astype(float), minlength=len(toxic))
-    cuts = np.quantile(hits[toxic], [1 / 3, 2 / 3]) if toxic.any() else [0, 0]
-    return np.where(toxic, 1 + (hits > cuts[0]).astype(int) + (hits > cuts[1]).astype(int), 0)
+def _starts(owner: np.ndarray, n: int) -> np.ndarray:
+    """Where each row's entries begin; ``owner`` is ascending."""
+    return np.searchsorted(owner, np.arange(n + 1))
 
 
-def _frequent(flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The entries whose feature LEAST rows or more have."""
-    often = (np.bincount(flat, minlength=SPACE) >= LEAST)[flat]
-    return flat[often], owner[often]
+def _blocks(starts: np.ndarray, most: int = 1 << 18) -> list[tuple[int, int]]:
+    """Ranges of rows with about ``most`` entries each, so that what is computed for one at a time stays small."""
+    out, at, n = [], 0, len(starts) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + most, side="right")) - 1)
+        out.append((at, min(end, n)))
+        at = out[-1][1]
+    return out
 
 
 def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps: int = 150, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """Maximum likelihood with a quadratic penalty, by Adam over all rows; thresholds stay in ascending order.
 
-    Features that fewer than LEAST rows have get no weight: they would only learn these rows by heart.
+    ``flat`` has the features of all rows, ``owner`` (ascending) their rows. Features that fewer than LEAST rows have get no
+    weight: they would only learn these rows by heart. Memory is the entries' and that of a block of rows.
     """
     n, levels = len(grades), GRADES - 1
-    flat, owner = _frequent(flat, owner)
-    weights, gaps = np.zeros(SPACE), np.array([1.0, *[0.0] * (levels - 1)])  # first threshold, then logs of the gaps
-    state = [np.zeros(SPACE), np.zeros(SPACE), np.zeros(levels), np.zeros(levels)]
-    low, high = grades - 1, grades
+    parts = _blocks(starts := _starts(owner, n))
+    counts = np.zeros(SPACE, dtype=np.int64)
+    for lo, hi in parts:
+        counts += np.bincount(flat[starts[lo] : starts[hi]], minlength=SPACE)
+    places = np.flatnonzero(counts >= LEAST)
+    number = np.full(SPACE, -1, dtype=np.int32)
+    number[places] = np.arange(len(places), dtype=np.int32)
+    rows = []  # of each block: its rows, its entries' weights, and the row of each entry
+    for lo, hi in parts:
+        inner = number[flat[starts[lo] : starts[hi]]]
+        often = inner >= 0
+        rows.append((lo, hi, inner[often], (owner[starts[lo] : starts[hi]][often] - lo).astype(np.int32)))
+    size = len(places)
+    weights, gaps = np.zeros(size), np.array([1.0, *[0.0] * (levels - 1)])  # first threshold, then logs of the gaps
+    state = [np.zeros(size), np.zeros(size), np.zeros(levels), np.zeros(levels)]
+    s = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, steps + 1):
-        thresholds = np.cumsum([gaps[0], *np.exp(gaps[1:])])
-        scores = np.bincount(owner, weights=weights[flat], minlength=n)
-        edge = np.concatenate([[-60.0], thresholds, [60.0]])
-        a, b = edge[low + 1] - scores, edge[high + 1] - scores
-        s = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-        sa, sb = s(a), s(b)
-        mass = np.maximum(sb - sa, 1e-9)
-        da, db = -sa * (1 - sa) / mass, sb * (1 - sb) / mass  # of log likelihood by either threshold
-        grad_w = -np.bincount(flat, weights=-(da + db)[owner], minlength=SPACE) / n + decay * weights
-        by_edge = -(np.bincount(low + 1, weights=da, minlength=GRADES + 1) + np.bincount(high + 1, weights=db, minlength=GRADES + 1)) / n
+        edge = np.concatenate([[-60.0], np.cumsum([gaps[0], *np.exp(gaps[1:])]), [60.0]])
+        grad_w, by_edge = decay * weights, np.zeros(GRADES + 1)
+        for lo, hi, inner, row in rows:
+            scores = np.bincount(row, weights=weights[inner], minlength=hi - lo)
+            low, high = grades[lo:hi], grades[lo:hi] + 1
+            sa, sb = s(edge[low] - scores), s(edge[high] - scores)
+            mass = np.maximum(sb - sa, 1e-9)
+            da, db = -sa * (1 - sa) / mass, sb * (1 - sb) / mass  # of log likelihood by either threshold
+            grad_w += np.bincount(inner, weights=(da + db)[row], minlength=size) / n
+            by_edge -= (np.bincount(low, weights=da, minlength=GRADES + 1) + np.bincount(high, weights=db, minlength=GRADES + 1)) / n
         by_threshold = by_edge[1:-1]
         grad_g = np.array([by_threshold.sum(), *(by_threshold[k:].sum() * np.exp(gaps[k]) for k in range(1, levels))])
         for value, grad, m, v in ((weights, grad_w, state[0], state[1]), (gaps, grad_g, state[2], state[3])):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
             value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(weights.astype(np.float32), np.cumsum([gaps[0], *np.exp(gaps[1:])]))
+    every = np.zeros(SPACE, dtype=np.float32)
+    every[places] = weights
+    return Model(every, np.cumsum([gaps[0], *np.exp(gaps[1:])]))
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, text and toxic of at most ``per_class`` toxic and twice as many clean labelled rows, chosen by a hash of the id."""
+    """row, text and toxic of at most ``per_class`` toxic and twice as many clean labelled documents, chosen by a hash of the id.
+
+    ``row`` is a hash of id and text. Labels without an id or a verdict don't count.
+    """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("_toxic"))
     order = F.xxhash64("_id", F.lit(3))
     chosen = known.where("_toxic").orderBy(order, "_id").limit(per_class).union(known.where("not _toxic").orderBy(order, "_id").limit(2 * per_class))
     # Both sides of the union are bounded, so these are at most three times per_class narrow rows.
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
+    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return found.select(F.xxhash64("_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.col("_toxic").alias("toxic"))
+
+
+def densities(sample: DataFrame, least: int = 5, times: int = 20) -> DataFrame:
+    """(row, density): words in a thousand that mark toxic rows of the other half of ``sample`` (row, text, toxic).
+
+    A word marks toxic rows if ``least`` of a half have it, and ``times`` the share of toxic rows that of clean ones.
+    """
+    half = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(2))
+    each = sample.select("row", "toxic", half.alias("half"), F.explode(words(F.lower("text"))).alias("word"))
+    counted = each.select("row", "toxic", "half", F.btrim("word", F.lit(STRIP)).alias("word")).groupBy("row", "toxic", "half", "word").agg(F.count("*").alias("n"))
+    counted = materialise(counted, "toxic-words")
+    rows = counted.groupBy("half").agg(F.count_distinct(F.when(F.col("toxic"), F.col("row"))).alias("_t"), F.count_distinct(F.when(~F.col("toxic"), F.col("row"))).alias("_c"))
+    by_word = counted.groupBy("half", "word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")).where(F.col("t") >= least)
+    marks = by_word.join(F.broadcast(rows), "half").where(F.col("t") * F.greatest("_c", F.lit(1)) >= times * F.col("c") * F.col("_t"))
+    hits = counted.join(marks.select((1 - F.col("half")).alias("half"), "word", F.lit(1).alias("hit")), ["half", "word"], "left")
+    return hits.groupBy("row").agg((F.sum(F.col("n") * F.coalesce("hit", F.lit(0))) * 1000 / F.sum("n")).alias("density"))
+
+
+def severity_grades(density: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Grades 0 to 3: 0 where not toxic, else by the thirds of the toxic rows' densities."""
+    cuts = np.quantile(density[toxic], [1 / 3, 2 / 3]) if toxic.any() else [0, 0]
+    return np.where(toxic, 1 + (density > cuts[0]).astype(int) + (density > cuts[1]).astype(int), 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit the model on a bounded sample. Without labelled rows every text gets grade 0."""
+    sample = materialise(sample_labelled(docs, labels, per_class), "toxic-sample")
+    graded = sample.join(densities(sample), "row", "left").select("row", "toxic", F.coalesce("density", F.lit(0.0)).alias("density"), "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_WORDS.features(t).tobytes() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "toxic", "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["row", "toxic", "density", "features"])
 
-    rows = sample_labelled(docs, labels, per_class).mapInArrow(featurise, "doc_id long, toxic boolean, features binary").toPandas()
-    if rows.empty:
+    rows = graded.mapInArrow(featurise, "row long, toxic boolean, density double, features binary").toArrow()
+    if not rows.num_rows:
         return Model(np.zeros(SPACE, dtype=np.float32), np.array([40.0, 41.0, 42.0]))
-    rows = rows.sort_values(["doc_id", "features"], kind="stable")
-    toxic, features = rows["toxic"].to_numpy(dtype=bool), rows["features"].tolist()
-    del rows
-    flat = np.frombuffer(b"".join(features), dtype=np.int32)
-    owner = np.repeat(np.arange(len(features), dtype=np.int32), [len(x) // 4 for x in features])
-    del features
-    flat, owner = _frequent(flat, owner)
-    return fit_ordinal(flat, owner, severity_grades(flat, owner, toxic))
+    rows = rows.sort_by([("row", "ascending"), ("density", "ascending")])
+    toxic, density = rows["toxic"].to_numpy(), rows["density"].to_numpy()
+    features = rows["features"].combine_chunks()
+    features = features.chunk(0) if isinstance(features, pa.ChunkedArray) else features
+    ends = np.frombuffer(features.buffers()[1], dtype=np.int32, count=len(features) + 1, offset=4 * features.offset) // 4
+    flat = np.frombuffer(features.buffers()[2], dtype=np.int32)[ends[0] : ends[-1]]
+    owner = np.repeat(np.arange(len(features), dtype=np.int32), np.diff(ends))
+    return fit_ordinal(flat, owner, severity_grades(density, toxic))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:
     """``keep`` and severity, p_toxic, grade and toxic for each row; whole texts are read.
 
     ``severity`` is the expected grade, ``grade`` the likeliest, and ``toxic`` holds where a grade above 0 is likelier
-    than not. Null and empty texts have no features and so the chances of a text without any known word.
+    than not. Null and empty texts have no features and so the chances of a text without any known word. Equal rows have equal
+    results, and an empty table has an empty one. The new columns take the place of kept ones with their names. A very
+    long text takes memory for its own words only.
     """
+    keep = [c for c in keep if c not in NEW]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep, "text").schema
+    schema = docs.select(*keep).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -168,10 +217,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
             chances = m.chances(scores)
             p = 1 - chances[:, 0]
             more = [pa.array(chances @ np.arange(GRADES)), pa.array(p), pa.array(chances.argmax(axis=1).astype(np.int32)), pa.array(p >= 0.5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*batch.schema.names[: len(keep)], "severity", "p_toxic", "grade", "toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*keep, *NEW])
 
     kept = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in keep)
-    asked = docs.select(*keep, F.col("text").alias("_text"))
+    asked = docs.select(*(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)), F.col("text").alias("_text"))
     return asked.mapInArrow(apply, f"{kept}, severity double, p_toxic double, grade int, toxic boolean")
 
 

@@ -228,6 +228,61 @@ def test_ordinal_gradient():
     assert np.allclose(chances.sum(axis=1), 1) and np.corrcoef(chances @ np.arange(4), np.minimum(hits, 3))[0, 1] > 0.9
 
 
+def test_ordinal_fit_equals_a_dense_one():
+    """The fit in blocks takes the steps of a plain one over a dense matrix with numerical gradients."""
+    rng = np.random.default_rng(4)
+    n, m = 60, 6
+    rows = [np.flatnonzero(rng.random(m) < 0.5) for _ in range(n)]
+    grades = np.minimum([(r < 2).sum() + (rng.random() < 0.2) for r in rows], 3).astype(int)
+    x = np.zeros((n, m))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    value = np.concatenate([np.zeros(m), [1.0, 0.0, 0.0]])
+
+    def loss(v):
+        edge = np.concatenate([[-60.0], np.cumsum([v[m], *np.exp(v[m + 1 :])]), [60.0]])
+        s = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        mass = s(edge[grades + 1] - x @ v[:m]) - s(edge[grades] - x @ v[:m])
+        return -np.log(np.maximum(mass, 1e-9)).mean() + 0.5e-3 * (v[:m] ** 2).sum()
+
+    first, second = np.zeros(m + 3), np.zeros(m + 3)
+    for step in range(1, 31):
+        grad = np.array([(loss(value + h) - loss(value - h)) / 2e-6 for h in np.eye(m + 3) * 1e-6])
+        first += 0.1 * (grad - first)
+        second += 0.001 * (grad * grad - second)
+        value = value - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    model = toxicity.fit_ordinal(np.concatenate(rows).astype(np.int32), np.repeat(np.arange(n), [len(r) for r in rows]), grades, steps=30)
+    assert np.allclose(model.weights[:m], value[:m], atol=2e-3) and np.allclose(model.thresholds, np.cumsum([value[m], *np.exp(value[m + 1 :])]), atol=2e-3)
+
+
+def test_scores_equal_brute_force(docs, texts, spark, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.score(docs, model).collect():
+        s = model.weights[toxicity._WORDS.features(texts[r["doc_id"]].encode())].sum()
+        upto = [0, *(1 / (1 + np.exp(s - t)) for t in model.thresholds), 1]
+        p = np.diff(upto)
+        assert abs(r["severity"] - (p * np.arange(4)).sum()) < 1e-5 and abs(r["p_toxic"] - 1 + p[0]) < 1e-5 and r["toxic"] == (r["p_toxic"] >= 0.5)
+
+
+def test_densities_equal_brute_force(spark):
+    rows = [(i, " ".join(["Vile!" if k < i % 7 else f"w{k}" for k in range(20)]) if i % 2 else "calm words. here", bool(i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "row long, text string, toxic boolean")
+    found = {r["row"]: r["density"] for r in toxicity.densities(df).collect()}
+    for i, text, toxic in rows:
+        # Words that toxic rows alone have mark them: all but those of the calm text.
+        assert found[i] == (1000.0 if toxic else 0.0)
+
+
+def test_toxicity_keeps_clashing_columns_apart(odd, empty, spark, data):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(13)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    out = toxicity.scored(odd, labels)
+    assert out.count() == odd.count() and toxicity.scored(empty, labels).count() == 0
+    model = toxicity.fit(odd, labels)
+    wide = toxicity.score(odd, model, odd.columns)
+    assert len(set(wide.columns)) == len(wide.columns) and wide.count() == odd.count()
+
+
 def test_fixity(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     ids = [r["page_id"] for r in pages.select("page_id").collect()]
