@@ -31,6 +31,9 @@ COUNTERS, BLOCK = 1 << 22, 1 << 16
 SLOTS = 1 << 24
 #: Classes and shingles of a group, about.
 MEMBERS, TOKENS = 48, 100_000
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 19
+_NONE = np.empty(0, dtype=np.uint64)
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -45,50 +48,68 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(bodies: list[bytes]) -> list[np.ndarray]:
-    """For each text, its distinct shingles as ascending 64-bit hashes."""
-    out: list[np.ndarray] = []
+    """For each text, its distinct shingles as ascending 64-bit hashes.
+
+    Texts are hashed word by word in pieces of about PIECE bytes, many short ones or a part of a long one, so beside its words'
+    hashes no text needs more memory than a piece.
+    """
+    words: list[list[np.ndarray]] = [[] for _ in bodies]
+    held, size = [], 0
+    for i, body in enumerate(bodies):
+        for part in _parts(body):
+            held.append((i, part))
+            size += len(part) + 1
+            if size >= PIECE:
+                _hash_words(held, words)
+                held, size = [], 0
+    if held:
+        _hash_words(held, words)
+    return [_shingles(w[0] if len(w) == 1 else np.concatenate(w) if w else _NONE) for w in words]
+
+
+def _parts(body: bytes) -> Iterator[bytes]:
+    """A text in pieces that end at white space."""
     at = 0
-    while at < len(bodies):  # a few megabytes at once
-        size, end = 0, at
-        while end < len(bodies) and (end == at or size + len(bodies[end]) < 4_000_000):
-            size += len(bodies[end]) + 1
+    while len(body) - at > PIECE:
+        end = at + PIECE
+        while end < len(body) and not _SPACES[body[end]]:
             end += 1
-        out += _shingles(bodies[at:end])
+        yield body[at:end]
         at = end
-    return out
+    yield body[at:]
 
 
-def _shingles(bodies: list[bytes]) -> list[np.ndarray]:
-    data = _LOWER[np.frombuffer(b" ".join(bodies) + b" ", dtype=np.uint8)]
+def _hash_words(held: list[tuple[int, bytes]], words: list[list[np.ndarray]]) -> None:
+    """Add to each text's list the hashes of the words of its pieces."""
+    data = _LOWER[np.frombuffer(b" ".join(part for _, part in held) + b" ", dtype=np.uint8)]
     space = _SPACES[data]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], space])))
     starts, ends = edges[0::2], edges[1::2]
-    limits = np.cumsum([len(b) + 1 for b in bodies])
-    first = np.searchsorted(starts, np.concatenate([[0], limits]))
     if not starts.size:
-        return [np.empty(0, dtype=np.uint64) for _ in bodies]
+        return
+    first = np.searchsorted(starts, np.cumsum([0, *(len(part) + 1 for _, part in held)]))
     # A word's hash: its bytes mixed with their places, summed, and its length, mixed again.
-    index = np.arange(len(data))
-    begun = np.zeros(len(data), dtype=np.int64)
-    begun[starts] = starts
-    place = (index - np.maximum.accumulate(begun)).astype(np.uint64)
-    mixed = _mix((place << np.uint64(8)) + data + np.uint64(0x9E3779B97F4A7C15))
+    place = np.zeros(len(data), dtype=np.int64)
+    place[starts] = starts
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(data)), place, out=place)
+    mixed = _mix((place.view(np.uint64) << np.uint64(8)) + data + np.uint64(0x9E3779B97F4A7C15))
     mixed[space] = 0
-    sums = np.add.reduceat(mixed, starts)
-    words = _mix(sums + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    sets = []
-    for lo, hi in zip(first[:-1], first[1:], strict=True):
-        w = words[lo:hi]
-        n = len(w)
-        if not n:
-            sets.append(np.empty(0, dtype=np.uint64))
-            continue
-        wide = min(WIDTH, n)
-        h = np.full(n - wide + 1, wide, dtype=np.uint64)
-        for k in range(wide):
-            h = _mix(h * np.uint64(0x9FB21C651E98DF25) + w[k : n - wide + 1 + k])
-        sets.append(np.unique(h))
-    return sets
+    hashes = _mix(np.add.reduceat(mixed, starts) + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for (i, _), lo, hi in zip(held, first[:-1], first[1:], strict=True):
+        if hi > lo:
+            words[i].append(hashes[lo:hi])
+
+
+def _shingles(w: np.ndarray) -> np.ndarray:
+    n = len(w)
+    if not n:
+        return _NONE
+    wide = min(WIDTH, n)
+    h = np.full(n - wide + 1, wide, dtype=np.uint64)
+    for k in range(wide):
+        h = _mix(h * np.uint64(0x9FB21C651E98DF25) + w[k : n - wide + 1 + k])
+    return np.unique(h)
 
 
 def need(n):
@@ -119,9 +140,9 @@ def survey(docs: DataFrame) -> DataFrame:
         make = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
         for batch in batches:
             sets = shingle_sets(list(texts(batch)))
-            if any(s.size for s in sets):
-                low = (np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64)
-                counters += np.bincount(low, minlength=COUNTERS).astype(np.uint32)
+            for some in (sets[i : i + 500] for i in range(0, len(sets), 500)):
+                low, times = np.unique(np.concatenate(some) & np.uint64(COUNTERS - 1), return_counts=True)
+                counters[low.astype(np.int64)] += times.astype(np.uint32)
             rows = len(sets)
             yield make(batch.column(0), [len(s) for s in sets], [_key(s) for s in sets], [None] * rows, [None] * rows)
         pack = zstandard.ZstdCompressor(level=1)

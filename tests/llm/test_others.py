@@ -82,6 +82,29 @@ def test_shingle_hashes_tell_texts_apart():
             assert (sets[i] == sets[j]) == (expected[i] == expected[j]) and len(sets[i]) == len(expected[i])
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)).encode() for n in (0, 1, 4, 5, 200, 3000)] + [b"x" * 500, b" \n ", b"a" * 90 + b" b"]
+    whole = jaccard.shingle_sets(texts)
+    monkeypatch.setattr(jaccard, "PIECE", 64)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, jaccard.shingle_sets(texts), strict=True))
+    assert [len(s) for s in whole] == [len(shingles(t.decode())) for t in texts]
+
+
+def test_random_containment(spark):
+    """Pairs of which one holds the other, with Jaccard from 0.75 to 0.9, beside texts that share boilerplate."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        size = int(np.exp(rng.uniform(np.log(5), np.log(3000))))
+        body = [f"b{i}x{k}" for k in range(size + 4)]
+        own = [f"o{i}x{k}" for k in range(int(size / rng.uniform(0.75, 0.9)) - size)]
+        at = int(rng.integers(0, len(own) + 1))
+        shared = ["the", "same", "words", "stand", "here", "and", "there"] if i % 3 == 0 else []
+        rows += [(2 * i, " ".join(shared + body)), (2 * i + 1, " ".join(shared + own[:at] + body + own[at:]))]
+    check_components(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_licences(spark, odd, empty):
     texts = {
         1: "Prose.\nLicensed under the Apache License, Version 2.0.\nMore prose.",
