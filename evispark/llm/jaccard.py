@@ -313,14 +313,8 @@ def verified(pairs: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame) -> DataFrame:
-    """The links, stored; rows are handed to Python a few at a time, as each holds the sets of two groups."""
-    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, "32")
-    try:
-        return materialise(verified(pairs), "links")
-    finally:
-        conf.set(name, before)
+    """The links, stored. A row holds the sets of two groups, a few megabytes at most; Spark bounds a batch by its bytes."""
+    return materialise(verified(pairs), "links")
 
 
 def grouped(classes: DataFrame, kind: str) -> DataFrame:

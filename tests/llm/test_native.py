@@ -102,6 +102,17 @@ def test_a_hot_text_is_spread(spark):
     assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)
 
 
+def test_small_groups_stay_whole_beside_long_texts(spark):
+    long = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("long"), F.floor(F.col("id") / 2)), 4000).alias("text"))
+    short = spark.range(2000).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("s"), F.floor(F.col("id") / 2)).alias("text"))
+    rows = sharding.sharded(long.unionByName(short)).collect()
+    shards = collections.defaultdict(set)
+    for r in rows:
+        shards[r["text_crc32"], r["size"]].add(r["shard"])
+    assert not [k for k, v in shards.items() if len(v) > 1 and k[1] < 1000] and len(rows) == 2040
+    assert sum(len(v) > 1 for v in shards.values()) <= 7
+
+
 def targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
