@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,16 +33,38 @@ def long_array(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def quantile_edges(df: DataFrame, column: str, buckets: int) -> list[int]:
-    """At most ``buckets`` + 1 values of a long column, the smallest and largest among them, that cut it into about equal counts.
-
-    The driver receives these values only. An empty or all-null column has none.
-    """
+def quantiles(df: DataFrame, column: str, buckets: int) -> list[int]:
+    """The smallest and largest of a long column and its quantiles, ascending, ``buckets`` + 1 values; none of an all-null one."""
     probabilities = [i / buckets for i in range(1, buckets)]
     found = df.agg(
         F.min(column), F.max(column), F.percentile_approx(column, probabilities or [0.5], max(10_000, 10 * buckets))
     ).first()
-    return sorted({x for x in [found[0], found[1], *(found[2] or [])] if x is not None})
+    return [] if found[0] is None else sorted([found[0], *found[2], found[1]])
+
+
+def quantile_edges(df: DataFrame, column: str, buckets: int) -> list[int]:
+    """Ascending values of a long column, the smallest and largest among them, that cut it into about equal counts."""
+    return sorted(set(quantiles(df, column, buckets)))
+
+
+def quantile_cuts(df: DataFrame, column: str, buckets: int) -> tuple[list[int], dict[int, int]]:
+    """(edges, hot): ``quantile_edges``, and the values that fill more than a bucket, with the buckets that each is worth.
+
+    A hot value has an edge of its own and one after it, so its bucket has no other value.
+    """
+    values = quantiles(df, column, buckets)
+    hot = {x: n for x, n in Counter(values[1:-1]).items() if n > 1}
+    return sorted({*values, *(x + 1 for x in hot if x < values[-1])}), hot
+
+
+def part_of(value: Column, tie: Column, hot: dict[int, int]) -> Column:
+    """0, but for rows of a hot value one of as many parts as it is worth, by a hash of ``tie``."""
+    if not hot:
+        return F.lit(0).cast("long")
+    keys = sorted(hot)
+    at = F.array_position(long_array(keys), value).cast("int")
+    parts = F.when(at > 0, F.try_element_at(long_array([hot[k] for k in keys]), F.greatest(at, F.lit(1)))).otherwise(F.lit(1))
+    return F.pmod(F.xxhash64(tie, F.lit(13)), parts)
 
 
 def bucket_of(value: Column, edges: list[int]) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import WORD, bucket_count, running_start
 
 WEIGHTS = (5, 2, 1)
@@ -27,7 +28,8 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     Sources in order of code points, null last, weigh 5, 2, 1 in turn and share ``share`` times all sizes. No target
     exceeds ``most`` times its source's size; what is above is shared among the rest by weight until none is above.
     The result is min(cap, level * weight) for one level: sources are taken by cap per weight, and the level is what
-    remains for those above over their weights. There is one row for each source here, not for each document.
+    remains for those above over their weights. There is one row for each source here, not for each document, and one task
+    sorts these; it holds for tens of millions of sources.
     """
     turn = F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(WEIGHTS)))
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), turn.cast("int") + 1)
@@ -54,44 +56,54 @@ def curriculum(docs: DataFrame, rows_per_bucket: int = 200, seed: int = 17) -> D
     most twice; the last document taken is taken in part. ``first_taken`` and ``second_taken`` are the words of either
     reading, and ``first_position`` and ``second_position`` (null where nothing is taken) the places in the whole mix.
     Null texts have no words; null sources are one source; equal rows are taken one after another.
-    An empty table gives an empty one. Columns that start with an underscore are dropped.
+    An empty table gives an empty one. Columns that start with an underscore are dropped, and columns with the names of
+    the new ones are replaced.
     """
-    kept = [c for c in docs.columns if not c.startswith("_") and c not in ("size", "source_size", "target", "taken")]
-    sized = docs.select(*kept, n_words(F.col("text")).alias("size"))
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
+    return scheduled(docs.select(*docs.columns, n_words(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie")), rows_per_bucket, seed)
+
+
+#: The columns that ``scheduled`` adds.
+NEW = ("size", "source_size", "target", "taken", "first_taken", "second_taken", "first_position", "second_position")
+
+
+def scheduled(docs: DataFrame, rows_per_bucket: int = 200, seed: int = 17) -> DataFrame:
+    """``curriculum`` of rows whose words are counted in ``_size``, and that ``_tie`` tells apart where their ids don't."""
+    kept = [c for c in docs.columns if not c.startswith("_") and c not in NEW]
+    sized = docs.select(*kept, F.col("_size").alias("size"), "_tie")
+    sums = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n")), "source-sizes")
     rows = sums.agg(F.sum("_n")).first()[0] or 0
-    targets = source_targets(sums.select("source", "source_size"))
+    targets = materialise(source_targets(sums.select("source", "source_size")), "source-targets")
     whole = targets.agg(F.sum("target"), F.sum(F.col("target") * F.col("slope"))).first()
     demand, lean = whole[0] or 0.0, whole[1] or 0.0
     buckets = bucket_count(rows, rows_per_bucket)
-    key = F.xxhash64("doc_id", F.lit(seed))
+    key = F.xxhash64("doc_id", F.lit(seed), "_tie")
     keyed = sized.withColumn("_key", key).withColumn("_bucket", F.pmod(F.col("_key"), F.lit(buckets)).cast("int"))
     placed = running_start(keyed, ["source"], "_bucket", [F.col("_key"), F.col("doc_id").asc_nulls_first(), F.col("size")], {"_start": "size"})
-    t = targets.select(F.col("source").alias("_source"), "source_size", "slope", "target")
+    t = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("slope").alias("_slope"), F.col("target").alias("_target"))
     joined = placed.join(t, placed["source"].eqNullSafe(t["_source"]))
 
-    goal = F.floor(F.col("target") + F.lit(0.5)).cast("long")
+    goal = F.floor(F.col("_target") + F.lit(0.5)).cast("long")
     took = lambda start: F.least(F.greatest(goal - start, F.lit(0).cast("long")), F.col("size"))
 
     def position(start: Column, taken: Column) -> Column:
         """Solve target * (t + slope * (t*t - t)) = middle for t; then the words all sources have given by t."""
-        share = F.least(F.lit(1.0), (start + taken / 2) / F.col("target"))
-        a, b = F.col("slope"), 1 - F.col("slope")
+        share = F.least(F.lit(1.0), (start + taken / 2) / F.col("_target"))
+        a, b = F.col("_slope"), 1 - F.col("_slope")
         time = F.when(a == 0, share).otherwise((-b + F.sqrt(b * b + 4 * a * share)) / (2 * a))
         return F.when(taken > 0, F.lit(demand) * time + F.lit(lean) * (time * time - time))
 
-    again = F.col("_start") + F.col("source_size")
-    taken = joined.withColumns({"first_taken": took(F.col("_start")), "second_taken": took(again)})
+    again = F.col("_start") + F.col("_source_size")
+    taken = joined.withColumns({"_first": took(F.col("_start")), "_second": took(again)})
     return taken.select(
         *kept,
         "size",
-        "source_size",
-        "target",
-        (F.col("first_taken") + F.col("second_taken")).alias("taken"),
-        "first_taken",
-        "second_taken",
-        position(F.col("_start"), F.col("first_taken")).alias("first_position"),
-        position(again, F.col("second_taken")).alias("second_position"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("_first") + F.col("_second")).alias("taken"),
+        F.col("_first").alias("first_taken"),
+        F.col("_second").alias("second_taken"),
+        position(F.col("_start"), F.col("_first")).alias("first_position"),
+        position(again, F.col("_second")).alias("second_position"),
     )
 
 
@@ -111,8 +123,12 @@ def training_order(placed: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix of ``docs`` in the order of the first training position; documents that aren't taken come first."""
-    placed = curriculum(docs.select("doc_id", "text", "source")).drop("text")
+    """The mix of ``docs`` in the order of the first training position; documents that aren't taken come first.
+
+    Texts are read once, for their words and hash; what is read again is narrow. Odd rows are as for ``curriculum``.
+    """
+    narrow = docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie"))
+    placed = scheduled(materialise(narrow, "sizes"))
     return placed.repartitionByRange(F.col("first_position"), F.col("doc_id")).sortWithinPartitions("first_position", "doc_id").select(
         "doc_id", "size", "source_size", "target", "taken", "first_position", "second_position"
     )

@@ -133,7 +133,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY, per_bucket: int = 200) -> Da
     places = cut.sparkSession.sparkContext.broadcast(Places(best_two_fit(counts, capacity)))
     buckets = long_array([min(1 << 16, 1 + counts.get(i, 0) // per_bucket) for i in range(capacity + 1)])
     order = [F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("ids_crc32")]
-    keyed = cut.withColumns({"_bucket": F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(buckets, F.col("length").cast("int") + 1)), "_one": F.lit(1).cast("long")})
+    keyed = cut.withColumns({"_bucket": F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(buckets, F.col("length").cast("int") + 1)), "_one": F.lit(1).cast("long")})
     ranked = running_start(keyed, ["length"], "_bucket", order, {"_rank": "_one"}).drop("_bucket", "_one")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,5 +149,9 @@ def place(cut: DataFrame, capacity: int = CAPACITY, per_bucket: int = 200) -> Da
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece of ``docs`` with its place. Rows with equal ids or texts are packed each on its own."""
+    """Every piece of ``docs`` with its place.
+
+    Rows with equal ids or texts are packed each on its own; null texts are empty ones, whose only piece is the end id. Other
+    columns, whatever their names, are left out. An empty table gives an empty result.
+    """
     return place(materialise(pieces(docs, tokenizer or default_tokenizer(), capacity), "pieces"), capacity)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, shared_path
-from .common import bucket_count, bucket_of, quantile_edges
+from .common import bucket_count, bucket_of, part_of, quantile_cuts
 
 END_ID = 1
 #: Fixed values of the seekable zstandard format: skippable frame, seek table, and "checksums are there".
@@ -203,12 +203,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, docs_per_fil
 
     Files are ranges of ids at quantiles. A file's name is new for each attempt of its task and only files of finished
     tasks are in the table, so a lost executor leaves no half-written file in it.
-    Null texts count as empty, null ids come first, rows of one id follow one another. An empty table has no files.
+    Null texts count as empty, null ids come first, rows of one id follow one another; an id with more rows than a file
+    holds has several files, by a hash of the text. Other columns, whatever their names, are left out. An empty table
+    has no files.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     ids = keyed.select("doc_id")
-    edges = quantile_edges(ids, "doc_id", bucket_count(ids.count(), docs_per_file, 1 << 14))
-    ranged = keyed.withColumn("file", bucket_of(F.col("doc_id"), edges).cast("int"))
+    edges, hot = quantile_cuts(ids, "doc_id", bucket_count(ids.count(), docs_per_file, 1 << 14))
+    ranged = keyed.withColumn("file", bucket_of(F.col("doc_id"), edges).cast("long") * (1 << 14) + part_of(F.col("doc_id"), F.col("text"), hot))
     dealt = ranged.repartition(F.col("file")).sortWithinPartitions("file", "doc_id", F.col("text").asc_nulls_first())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,16 +234,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, docs_per_fil
                     yield ahead[1], ahead[2]
                     ahead = next(todo, None)
 
-            path = f"{folder}/tokens-{file:06d}-{uuid.uuid4().hex}.zst"
+            path = f"{folder}/tokens-{file:09d}-{uuid.uuid4().hex}.zst"
             with open_output(path) as stream:
                 count, total = write_frames(stream, of_file())
             columns = [[file], [path], [count], [total]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["file", "path", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["file", "path", "n_docs", "n_tokens"])
 
-    return dealt.select("file", "doc_id", "text").mapInArrow(write, "file int, path string, n_docs long, n_tokens long")
+    return dealt.select("file", "doc_id", "text").mapInArrow(write, "file long, path string, n_docs long, n_tokens long")
 
 
-def read_token_files(files: DataFrame) -> DataFrame:
+def read_token_files(files: DataFrame, files_per_task: int = 16) -> DataFrame:
     """One row for each document of the files: doc_id, start, n_tokens and the crc32 of its ids.
 
     ``start`` counts the ids of all documents before it; the files' own starts are a running sum over their table, which
@@ -261,7 +263,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     arrays = [doc_ids, pa.array(reader.starts[: len(checks)] + base), pa.array(counts), pa.array(checks, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = based.repartition(F.col("file"))
+    # A given number of partitions, as the few bytes of a path stand for a whole file; tasks take it file by file.
+    dealt = based.repartition(max(1, -(-files.count() // files_per_task)), "file")
     return dealt.select("file", "path", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -281,7 +284,11 @@ def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Write ``docs`` to token files in the shared folder and read every document back from them."""
+    """Write ``docs`` to token files in the shared folder and read every document back from them.
+
+    Null and empty texts have the end id alone, null ids come first, equal rows are documents of their own, other columns are
+    left out, and an empty table gives an empty result.
+    """
     folder = shared_path(docs.sparkSession, "token-files")
     from pyarrow import fs
 

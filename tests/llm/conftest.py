@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns whose names the operators use inside.
-CLASH = ["size", "mark", "range", "fail_bits", "_key", "_bucket", "shard", "slot", "taken", "target", "id", "key", "n", "token", "grp", "length", "piece", "severity", "toxic", "file"]
+CLASH = ["size", "mark", "range", "fail_bits", "_key", "_bucket", "shard", "slot", "taken", "target", "id", "key", "n", "token", "grp", "length", "severity", "toxic", "file", "slope", "weight", "cap", "source_size", "first_taken", "second_taken", "first_position", "second_position", "position", "p_toxic", "grade", "piece", "sequence_id", "offset", "component_id", "n_shingles"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
 
 

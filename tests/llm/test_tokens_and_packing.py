@@ -44,6 +44,16 @@ def test_token_files(docs, texts, whole, odd, empty):
     assert tokens.token_table(empty).count() == 0
 
 
+def test_a_hot_id_has_several_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.range(900).select(F.when(F.col("id") < 500, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    files = tokens.write_token_files(df, f"file://{tmp_path}", PATH, docs_per_file=50).cache()
+    assert files.agg(F.sum("n_docs"), F.max("n_docs")).first()[0] == 900 and files.agg(F.max("n_docs")).first()[0] < 150
+    rows = sorted(tokens.read_token_files(files, 2).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [7] * 500 + list(range(500, 900)) and [r["start"] for r in rows] == np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1].tolist()
+
+
 def test_frames_are_read_one_by_one_and_checked():
     out = io.BytesIO()
     docs = [(7, np.arange(5, dtype="<u4").tobytes()), (9, b""), (9, np.arange(3, dtype="<u4").tobytes())]
