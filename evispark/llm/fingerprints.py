@@ -1,10 +1,13 @@
 """Document fingerprints: a homomorphic multiset hash of a text's passages, in DataFrame functions only.
 
-Each passage is hashed to a wide vector of 128 bits, and a document's fingerprint is the sum of its passages' vectors,
-every component modulo 2**20, with their number. So the order of passages doesn't matter, passages can be added and
-taken away later, and the difference of two fingerprints is that of the two multisets.
-A passage is a paragraph (line) or a part of one: lines are cut after punctuation and after words that end in one of the
-letters a to h, so that a change moves no boundaries beyond the next one.
+Each paragraph (line) is hashed to a wide vector of sixteen components drawn over all of 0 to 2**32 - 1, and a document's
+fingerprint is the sum of its paragraphs' vectors modulo 2**32, with their number. So the order of paragraphs doesn't matter,
+paragraphs can be added and taken away later, and the difference of two fingerprints is that of the two multisets.
+
+Sums over the whole modulus tell whether multisets are equal, not how alike they are. For that, the fingerprint has 128 more
+components, one bit of a passage each, summed modulo 2**20: a passage is a part of a paragraph, which is cut after punctuation
+and after words that end in one of the letters a to h, so that a change moves no boundaries beyond the next one. They add up
+and are taken away in the same manner.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import bucket_count, bucket_of, long_array, quantile_edges
 
-CUT = r"(?<=[.!?,;:a-h*&$#%])[\x20\x09-\x0D]+|\n"
+CUT = r"(?<=[.!?,;:a-h*&$#%])[\x20\x09-\x0D]+"
+#: Components of a paragraph's vector, and their modulus.
+WIDE, FULL = 16, (1 << 32) - 1
 #: Two components a long, 32 bits apart, so that sums of up to 2**31 passages don't run into each other.
 BITS, HALF, WIDTH = 20, 32, 64
 PAIR = (1 << HALF) | 1
@@ -23,47 +28,61 @@ SPARE = PAIR << BITS
 COUNT = (1 << 40) - 1
 
 
-def passages(text: Column) -> Column:
-    """The passages of a text; those without anything but white space are left out by ``fingerprints``."""
-    return F.split(F.coalesce(text, F.lit("")), CUT, -1)
+def passages(paragraph: Column) -> Column:
+    """The passages of a paragraph; those without anything but white space are left out by ``fingerprints``."""
+    return F.split(paragraph, CUT, -1)
+
+
+def _real(text: Column) -> Column:
+    return F.coalesce(F.length(F.btrim(text, F.lit(" \t\n\x0b\f\r"))) > 0, F.lit(False))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and ``mark``, the fingerprint of each key's text, as an array of longs.
 
     Null and empty texts have the zero fingerprint. Rows of one key are one multiset. Where the rows already lie together
-    by some of the keys, there is no shuffle.
+    by some of the keys, there is no shuffle. Paragraphs and passages of white space only don't count.
     """
-    each = texts.select(*keys, F.explode_outer(passages(F.col(text))).alias("_p"))
-    real = F.coalesce(F.length(F.btrim("_p", F.lit(" \t\n\x0b\f\r"))) > 0, F.lit(False))
+    lines = texts.select(*keys, F.explode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_line"))
+    # A paragraph's own hashes stand beside its first passage only.
+    named = lines.select(*keys, "_line", F.when(_real(F.col("_line")), F.xxhash64("_line")).alias("_x"), F.xxhash64(F.lit(2), "_line").alias("_y"))
+    each = named.select(*keys, "_x", "_y", F.posexplode_outer(passages(F.col("_line"))).alias("_at", "_p"))
+    real, first = _real(F.col("_p")), (F.col("_at") == 0) & F.col("_x").isNotNull()
     hashed = each.select(
         *keys,
         F.when(real, F.xxhash64("_p")).otherwise(0).alias("_a"),
         F.when(real, F.xxhash64(F.lit(1), "_p")).otherwise(0).alias("_b"),
         real.cast("long").alias("_n"),
+        *(F.when(first, F.xxhash64("_x", "_y", F.lit(i))).otherwise(0).alias(f"_w{i}") for i in range(WIDE // 2)),
+        first.cast("long").alias("_m"),
     )
     sums = [
         F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(PAIR))).alias(f"{h}{i}") for h in ("_a", "_b") for i in range(HALF)
     ]
-    summed = hashed.groupBy(*keys).agg(*sums, F.sum("_n").alias("_n"))
+    wide = [F.sum(half).alias(f"{h}{k}") for h in (f"_w{i}" for i in range(WIDE // 2)) for k, half in (("l", F.col(h).bitwiseAND(F.lit(FULL))), ("h", F.shiftrightunsigned(h, 32)))]
+    summed = hashed.groupBy(*keys).agg(*sums, F.sum("_n").alias("_n"), *wide, F.sum("_m").alias("_m"))
     lanes = [F.col(f"{h}{i}").bitwiseAND(F.lit(KEEP)) for h in ("_a", "_b") for i in range(HALF)]
-    return summed.select(*keys, F.array(*lanes, F.col("_n").bitwiseAND(F.lit(COUNT))).alias("mark"))
+    more = [F.col(f"_w{i}{k}").bitwiseAND(F.lit(FULL)) for i in range(WIDE // 2) for k in "lh"]
+    count = lambda c: F.col(c).bitwiseAND(F.lit(COUNT))
+    return summed.select(*keys, F.array(*lanes, count("_n"), *more, count("_m")).alias("mark"))
+
+
+def _by_part(left: Column, right: Column, lanes, single) -> Column:
+    """Two fingerprints put together: the bit components by ``lanes``, what follows by ``single`` and its modulus."""
+    pair = lambda at, n, f: F.zip_with(F.slice(left, at, n), F.slice(right, at, n), f)
+    count = lambda at: pair(at, 1, lambda x, y: single(x, y).bitwiseAND(F.lit(COUNT)))
+    wide = pair(WIDTH + 2, WIDE, lambda x, y: single(x, y).bitwiseAND(F.lit(FULL)))
+    return F.concat(pair(1, WIDTH, lanes), count(WIDTH + 1), wide, count(WIDTH + WIDE + 2))
 
 
 def combine(left: Column, right: Column) -> Column:
     """The fingerprint of both multisets together."""
-    lanes = F.zip_with(F.slice(left, 1, WIDTH), F.slice(right, 1, WIDTH), lambda x, y: (x + y).bitwiseAND(F.lit(KEEP)))
-    return F.concat(lanes, F.array((left[WIDTH] + right[WIDTH]).bitwiseAND(F.lit(COUNT))))
+    return _by_part(left, right, lambda x, y: (x + y).bitwiseAND(F.lit(KEEP)), lambda x, y: x + y)
 
 
 def remove(whole: Column, part: Column) -> Column:
-    """The fingerprint of ``whole`` without the passages of ``part``."""
-    lanes = F.zip_with(
-        F.slice(whole, 1, WIDTH),
-        F.slice(part, 1, WIDTH),
-        lambda x, y: (x.bitwiseOR(F.lit(SPARE)) - y).bitwiseAND(F.lit(KEEP)),
-    )
-    return F.concat(lanes, F.array((whole[WIDTH] - part[WIDTH]).bitwiseAND(F.lit(COUNT))))
+    """The fingerprint of ``whole`` without the paragraphs of ``part``."""
+    return _by_part(whole, part, lambda x, y: (x.bitwiseOR(F.lit(SPARE)) - y).bitwiseAND(F.lit(KEEP)), lambda x, y: x - y)
 
 
 def as_text(mark: Column) -> Column:

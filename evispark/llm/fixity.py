@@ -16,8 +16,8 @@ LEAF_BITS, FAN_BITS, LEVELS = 16, 4, 4
 def records_of(pages: DataFrame, pages_per_archive: int = 2000) -> DataFrame:
     """Pages as WARC response records: page_id, archive, length and record, in archives of about so many pages.
 
-    A page's archive goes by a hash of its id, so archives are dealt evenly and reruns agree. Null urls and pages count as
-    empty; equal rows are records of their own.
+    A page's archive goes by a hash of its id, url and text, so archives are dealt evenly, whatever ids repeat, and reruns
+    agree. Null urls and pages count as empty; equal rows are records of their own. Other columns are left out.
     """
     rows = pages.count()
     archives = bucket_count(rows, pages_per_archive)
@@ -35,15 +35,15 @@ def records_of(pages: DataFrame, pages_per_archive: int = 2000) -> DataFrame:
     )
     named = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
-        F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int").alias("archive"),
+        F.pmod(F.xxhash64("page_id", url, html), F.lit(archives)).cast("int").alias("archive"),
         record.alias("record"),
     )
     return named.withColumn("length", F.octet_length("record").cast("long"))
 
 
-def placed(records: DataFrame, content: str = "record") -> DataFrame:
+def placed(records: DataFrame) -> DataFrame:
     """Add each record's offset: an archive's records lie in order of id, null ids first, then of content, without gaps."""
-    order = [F.col("page_id").asc_nulls_first(), F.col(content)]
+    order = [F.col("page_id").asc_nulls_first(), F.col("record")]
     before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return records.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
 
@@ -125,23 +125,46 @@ def changed(record):
 
 
 def damaged(records: DataFrame) -> DataFrame:
-    """A replica with known damage, for audits of the audit: of ids that leave 3 by 97 one byte is changed, those that
-    leave 5 by 89 are missing, and those that leave 7 by 83 are there a second time, one byte further.
-
-    Where only digests are there, ``changed`` is the digest of the changed record.
-    """
+    """A replica (page_id, offset, record and others) with known damage, for audits of the audit: of ids that leave 3 by 97
+    one byte is changed, those that leave 5 by 89 are missing, and those that leave 7 by 83 are there a second time, one
+    byte further."""
     page = F.col("page_id")
-    column, other = ("record", changed(F.col("record"))) if "record" in records.columns else ("digest", F.col("changed"))
     kept = records.where(page.isNull() | (F.pmod(page, F.lit(89)) != 5))
-    kept = kept.withColumn(column, F.when(F.pmod(page, F.lit(97)) == 3, other).otherwise(F.col(column)))
-    extra = kept.where(F.pmod(page, F.lit(83)) == 7).withColumn("offset", F.col("offset") + 1)
-    return kept.unionByName(extra)
+    kept = kept.withColumn("record", F.when(F.pmod(page, F.lit(97)) == 3, changed(F.col("record"))).otherwise(F.col("record")))
+    twice = F.sequence(F.lit(0), F.when(F.pmod(page, F.lit(83)) == 7, 1).otherwise(0))
+    return kept.withColumn("_more", F.explode(twice)).withColumn("offset", F.col("offset") + F.col("_more")).drop("_more")
+
+
+def index(records: DataFrame) -> DataFrame:
+    """The index of a replica (archive, page_id, digest, length, n, offset) from its records' digests.
+
+    Records alike are counted first and lie side by side, so no group of copies is ever sorted; ``offset`` is the first's.
+    """
+    alike = records.groupBy("archive", "page_id", "digest", "length").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("archive").orderBy(F.col("page_id").asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return alike.withColumn("offset", F.coalesce(F.sum(F.col("n") * F.col("length")).over(before), F.lit(0).cast("long")))
 
 
 def audited(pages: DataFrame) -> DataFrame:
-    """The audit of all pages' records against the damaged replica. Records are hashed where they are read; only digests
-    are placed, stored and compared."""
-    record = F.col("record")
-    hashed = records_of(pages).select("page_id", "archive", "length", F.sha2(record, 256).alias("digest"), F.sha2(changed(record), 256).alias("changed"))
-    stored = materialise(placed(hashed, "digest"), "fixity-records")
-    return audit(stored, damaged(stored))
+    """The audit of all pages' records against a stored replica with planted damage (see ``damaged``).
+
+    The replica's records are written to the shared folder and read back, so the bytes of both sides are hashed on their own.
+    What the replica says of itself is only whence each record came (its name in the first one's index), not its digest; its offsets are
+    the index's. Records are hashed where they are read, and only digests are shuffled.
+    Null ids, urls and pages and repeated rows are records like others; other columns, whatever their names, are left out.
+    An empty table gives an empty result.
+    """
+    records = records_of(pages)
+    digest = F.sha2("record", 256)
+    first = materialise(index(records.select("archive", "page_id", digest.alias("digest"), "length")), "fixity-index")
+    replica = damaged(records.select("archive", "page_id", digest.alias("name"), F.lit(0).cast("long").alias("offset"), "record"))
+    stored = materialise(replica, "fixity-replica")
+    read = stored.select("archive", "page_id", "name", "offset", digest.alias("digest"), F.octet_length("record").cast("long").alias("length"))
+    # Copies of a record are alike on both sides, so they are counted and matched as one row, then told apart by their places.
+    counted = read.groupBy("archive", "page_id", "name", "offset", "digest", "length").agg(F.count("*").alias("found"))
+    known = first.select("archive", F.col("page_id").alias("_page"), F.col("digest").alias("name"), F.col("length").alias("_step"), F.col("offset").alias("_at"))
+    matched = counted.join(known, ["archive", "name"]).where(F.col("page_id").eqNullSafe(F.col("_page")))
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = first.withColumn("_i", copies("n")).select("archive", (F.col("offset") + F.col("_i") * F.col("length")).alias("offset"), "length", "page_id", "digest")
+    right = matched.withColumn("_i", copies("found")).select("archive", (F.col("_at") + F.col("_i") * F.col("_step") + F.col("offset")).alias("offset"), "length", "page_id", "digest")
+    return audit(left, right)

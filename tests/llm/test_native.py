@@ -32,7 +32,7 @@ def test_fingerprints(docs, texts):
 
 
 def test_fingerprints_add_and_take_away(spark):
-    df = spark.createDataFrame([(1, "a fine day. b was here.\nc"), (2, "c\nb was here.\na fine day."), (3, "a fine day."), (4, "b was here.\nc")], "k int, text string")
+    df = spark.createDataFrame([(1, "a fine day.\nb was here.\nc"), (2, "c\nb was here.\na fine day."), (3, "a fine day."), (4, "b was here.\nc")], "k int, text string")
     marks = table(fingerprints.fingerprints(df, ["k"]), "k")
     assert marks[1]["mark"] == marks[2]["mark"] != marks[3]["mark"]
     both = spark.createDataFrame([(marks[1]["mark"], marks[3]["mark"], marks[4]["mark"])], "w array<bigint>, a array<bigint>, b array<bigint>")
@@ -40,6 +40,37 @@ def test_fingerprints_add_and_take_away(spark):
     assert row["sum"] and row["rest"] and row["same"] == 1.0
 
 
+def test_wide_components_use_the_whole_modulus(spark):
+    df = spark.range(400).select(F.floor(F.col("id") / 2).alias("k"), F.concat(F.lit("line "), "id").alias("text"))
+    marks = [r["mark"] for r in fingerprints.fingerprints(df, ["k"]).collect()]
+    wide = [m[65:81] for m in marks]
+    assert all(m[64] == 4 and m[81] == 2 for m in marks) and all(0 <= x < 1 << 32 for w in wide for x in w)
+    # Sums of two random components wrap half of the time, and are spread over the whole modulus.
+    assert all(1.7e9 < sum(w[i] for w in wide) / len(wide) < 2.6e9 and max(w[i] for w in wide) > 4e9 for i in range(16))
+    split = fingerprints.fingerprints(spark.createDataFrame([(1, "a fine day. it was"), (2, "a fine day.\nit was")], "k int, text string"), ["k"])
+    one, two = (r["mark"] for r in split.orderBy("k").collect())
+    assert one[:64] == two[:64] and one[65:81] != two[65:81]
+
+
+def exact_likeness(a, b):
+    cut = lambda t: collections.Counter(p for line in t.split("\n") for p in re.split(fingerprints.CUT, line) if p.strip(" \t\n\x0b\f\r"))
+    x, y = cut(a), cut(b)
+    dot = lambda u, v: sum(n * v[k] for k, n in u.items())
+    return dot(x, y) / max(1, dot(x, x) + dot(y, y) - dot(x, y))
+
+
+def test_likeness_of_each_row_is_near_the_exact_one(docs, texts):
+    found = table(fingerprints.document_fingerprints(docs))
+    ids = sorted(texts, reverse=True)
+    off = []
+    for this, following in zip(ids, ids[1:] + ids[:1]):
+        a, b = texts[this], texts[following]
+        edited = a[: len(a) - len(a) // 3] + b[: len(a) // 3]
+        off += [abs(found[this]["near_edited"] - exact_likeness(a, edited)), abs(found[this]["near_next"] - exact_likeness(a, b))]
+    # The standard error is about 0.09 of the larger size; no row may be six times that off.
+    assert max(off) < 0.55 and sum(off) / len(off) < 0.1
+
+
 def test_fingerprints_of_odd_rows(odd, empty):
     rows = fingerprints.document_fingerprints(odd).collect()
     assert len(rows) == odd.count() and all(r["n_chars"] is not None for r in rows)

@@ -328,6 +328,22 @@ def test_fixity_of_odd_pages(spark):
     assert fixity.audit(records.where("false"), records.where("false")).count() == 0
 
 
+def test_audited_equals_brute_force(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")
+    odd = spark.createDataFrame([(None, "u", "x"), (None, "u", "x"), (3, None, None), (5, "u", "gone"), (7, "u", "twice"), (7, "u", "twice"), (100, "", "changed")], "page_id long, url string, html string")
+    for frame in (pages, odd.withColumn("digest", F.lit("clash")).withColumn("offset", F.lit(1))):
+        expected = []
+        for r in frame.collect():
+            i = r["page_id"]
+            if i is not None:
+                gone = i % 89 == 5
+                more = 1 if i % 83 == 7 and not gone else 0
+                expected += [(i, "missing")] * gone + [(i, "altered")] * (i % 97 == 3 and not gone) + [(i, "extra")] * more
+        found = [(r["page_id"], r["status"]) for r in fixity.audited(frame).collect()]
+        assert sorted(found) == sorted(expected) and expected
+    assert fixity.audited(pages.where("false")).count() == 0
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
