@@ -117,3 +117,40 @@ MOJIBAKE = ("�", "Ã", "Â", "â€", "锟斤拷", "烫烫烫")
 TERMINAL_STOPS = ("terminal_pagination", "last_page", "reported_last_page", "reported_total_reached")
 RETRY_HTTP = (408, 425, 429, 500, 502, 503, 504)
 RETRY_KINDS = ("timeout", "transport", "rate_limited", "upstream_unavailable")
+
+# Rules of the audit of recovered jobs.
+
+AUDIT_AGENT = (
+    (2, "(?iu)(?:Agent|智能体|大模型|LLM).{0,12}(?:开发|研发|工程|应用|Infra)|RAG"),
+    (3, "(?iu)(?:Agent|智能体|大模型|LLM|自然语言处理|NLP).{0,12}(?:算法|研究|训练|推理)"),
+)
+VISUAL_AFFIRMATIVE = (
+    "(?iu)计算机视觉|机器视觉|视觉\\s*AI|AI\\s*视觉|视觉算法|深度学习算法|CNN|卷积神经网络|Vision\\s*Transformer|\\bViT\\b|"
+    "多模态视觉模型|视觉大模型|图像生成模型|"
+    "(?:目标检测|图像分割|图像分类|图像识别|视觉识别|影像识别|目标跟踪|视觉跟踪|姿态估计).{0,12}(?:算法|模型|网络|训练|开发|优化|研究|工程师)|"
+    "(?:训练|开发|优化|研究).{0,12}(?:目标检测|图像分割|图像分类|图像识别|视觉识别|影像识别|目标跟踪|视觉跟踪|姿态估计)",
+    "(?iu)(?:训练|微调|评估|部署|优化|开发|构建).{0,28}(?:深度学习|机器学习|视觉|图像|影像).{0,16}(?:模型|算法)|"
+    "(?:深度学习|机器学习|视觉|图像|影像).{0,16}(?:模型|算法).{0,28}(?:训练|微调|评估|部署|优化|开发|构建)|"
+    "(?:深度学习|机器学习).{0,16}(?:训练|微调|评估|部署|优化|开发|构建).{0,20}(?:模型|算法)|"
+    "(?:模型|算法模型).{0,20}(?:训练|微调|评估|部署|优化).{0,50}(?:深度学习|机器学习)",
+)
+IMAGE_WEAK = (
+    "(?iu)图像处理|图像增强|图像配准|图像重建|图像拼接|图像去噪|图像压缩|图像渲染|计算机图形学|图形学|\\bISP\\b|OpenCV|医学影像(?:处理)?|"
+    "显微(?:镜)?图像(?:处理)?|影像处理|影像重建|影像配准|图像算法|目标检测|图像分割|图像分类|图像识别|视觉识别|影像识别|目标跟踪|视觉跟踪|姿态估计|"
+    "预训练(?:视觉|图像|影像)?模型|图像API|视觉API|识别API"
+)
+IMAGE_INTEGRATION = (
+    "(?iu)(?:调用|接入|集成|使用).{0,24}(?:预训练(?:视觉|图像|影像)?模型|图像API|视觉API|识别API)|"
+    "预训练(?:视觉|图像|影像)?模型.{0,24}(?:调用|接入|集成|使用)"
+)
+MODEL_OWNERSHIP = (
+    "(?iu)(?:负责|主导|开发|(?<!预)训练|微调|评估|部署|优化|构建|设计).{0,24}(?:模型|算法|检测|分割|分类|识别|跟踪|姿态估计)|"
+    "(?:模型|算法|检测|分割|分类|识别|跟踪|姿态估计).{0,24}(?:负责|主导|开发|(?<!预)训练|微调|评估|部署|优化|构建|设计)"
+)
+CAMPUS, SOCIAL = "(?iu)campus|校招|校园|应届|20\\d{2}届", "(?iu)social|社招"
+AI_MENTION = (
+    "(?iu)(?<![A-Za-z])(?:AI(?=$|[\\s\\-_/（(]|Infra\\b|算法|应用|工程|产品|模型|设计|工作流|能力|相关|时代|驱动)|"
+    "人工智能|机器学习|深度学习|大模型|LLM(?=$|[\\s\\-_/（(]|算法|应用|工程|产品|模型)|"
+    "Agent(?=$|[\\s\\-_/（(]|开发|算法|工程|应用|框架|产品|系统|平台|智能体)|CV(?=$|[\\s\\-_/（(]|算法|模型|工程)|NLP(?=$|[\\s\\-_/（(]|算法|模型|工程))"
+)
+COMPANY_COPY, ROLE_COPY = "公司|企业|关于我们|行业新闻|欢迎加入", "职责|要求|专业|岗位|开发|研发|算法|模型|产品"
