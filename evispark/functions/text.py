@@ -185,10 +185,8 @@ def company_tokens(value: Column) -> Column:
 
     def bare(x: Column) -> Column:
         token = F.regexp_replace(F.lower(x), "[^0-9a-z\\x{4e00}-\\x{9fff}]+", "")
-        # Six suffixes at most are taken off, one by one, while two characters stay.
-        for _ in range(6):
-            token = F.regexp_replace(token, f"(?<=..)(?:{'|'.join(rules.COMPANY_SUFFIXES)})$", "")
-        return token
+        # All suffixes at the end are taken off, while two characters stay.
+        return F.regexp_replace(token, f"^(..+?)(?:{'|'.join(rules.COMPANY_SUFFIXES)})+$", "$1")
 
     return F.array_distinct(F.filter(F.transform(parts, bare), lambda x: F.length(x) >= 2))
 

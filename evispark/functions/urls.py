@@ -25,7 +25,7 @@ def host(url: Column) -> Column:
 
 
 def _params(url: Column) -> Column:
-    return F.filter(F.split(F.substring(part(url, 4), 2, 1 << 20), "&", -1), lambda p: p != "")
+    return F.filter(F.split(F.substring(part(url, 4), 2, (1 << 31) - 1), "&", -1), lambda p: p != "")
 
 
 def _without_tracking(params: Column, extra: str = "fbclid|gclid") -> Column:

@@ -82,15 +82,18 @@ def merge_records(df: DataFrame, key: list[str], order: str, identity: list[str]
 def without_repeated_lines(docs: DataFrame, text: str, key: list[str], least: int = 20) -> DataFrame:
     """Each text without lines of ``least`` characters or more that it had before, and how many went.
 
-    Lines are compared within their own text only, in one pass over its array, without a shuffle.
+    Lines are compared within their own text only, without a shuffle: they are sorted with their places, those after an equal
+    one are marked, and the rest is put back in order, so a text of n lines takes in the order of n log n steps.
     """
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    trimmed = F.col("_lines")
-    first = F.map_from_entries(
-        F.transform(F.array_distinct(F.transform(trimmed, lambda x: x["line"])), lambda v: F.struct(v, F.array_position(F.transform(trimmed, lambda x: x["line"]), v)))
-    )
-    kept = F.filter(trimmed, lambda x: (F.length(F.trim(x["line"])) < least) | (F.element_at(F.col("_first"), x["line"]) == x["at"] + 1))
-    out = docs.withColumn("_lines", lines).withColumn("_first", first).withColumn("_kept", kept)
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("at")))
+    short = lambda x: F.length(F.trim(x["line"])) < least
+    first = lambda x, i: (i == 0) | (x["line"] != F.try_element_at(F.col("_sorted"), F.greatest(i, F.lit(1)))["line"])
+    sorted_lines = docs.withColumn("_lines", lines).withColumn("_sorted", F.array_sort(F.filter("_lines", lambda x: ~short(x))))
+    whole = F.size(F.array_distinct(F.transform("_sorted", lambda x: x["line"]))) == F.size("_sorted")
+    firsts = sorted_lines.withColumn("_whole", whole).withColumn("_first", F.when(~F.col("_whole"), F.filter("_sorted", first)))
+    by_place = lambda rows: F.array_sort(F.transform(rows, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"))))
+    kept = F.when(F.col("_whole"), by_place(F.col("_lines"))).otherwise(by_place(F.concat(F.filter("_lines", short), F.col("_first"))))
+    out = firsts.withColumn("_kept", kept)
     return out.select(
         *key,
         F.array_join(F.transform("_kept", lambda x: x["line"]), "\n").alias("text"),

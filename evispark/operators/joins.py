@@ -48,8 +48,8 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def backfill(rows: DataFrame, source: DataFrame, key: list[str], column: str) -> DataFrame:
-    """Blank values of a column taken from the other table's row of the same key."""
-    known = source.select(*key, F.col(column).alias("_known")).where(F.coalesce("_known", F.lit("")) != "").dropDuplicates(key)
+    """Blank values of a column taken from the other table's row of the same key; of several values the least counts."""
+    known = source.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy(*key).agg(F.min(column).alias("_known"))
     return rows.join(known, key, "left").withColumn(column, F.coalesce(F.when(F.col(column) != "", F.col(column)), "_known")).drop("_known")
 
 
@@ -66,24 +66,20 @@ def augment(rows: DataFrame, more: DataFrame, key: list[str]) -> DataFrame:
 def applied_companies(rows: DataFrame, company: str, history: DataFrame, recorded: str) -> DataFrame:
     """Mark rows whose company is among recorded ones: an equal name, one that begins the other, or one (3 or more) inside.
 
-    Equal names, and names that begin another, are found by equi joins over the names' beginnings, and names inside others
-    by equi joins over their substrings, so there is no nested loop however long the history is.
+    Equal names, names that begin another, and names inside others are found by equi joins over parts of names, so there is no
+    nested loop however long the history is. Only parts of lengths that recorded names have are looked at.
     """
     tokens = rows.select(company).distinct().select(company, F.explode(T.company_tokens(F.col(company))).alias("token"))
-    known = history.select(F.explode(T.company_tokens(F.col(recorded))).alias("known")).distinct()
-    lengths = lambda c, least: F.when(F.length(c) >= least, F.sequence(F.lit(least), F.length(c))).otherwise(F.array().cast("array<int>"))
-    starts = lambda c: F.transform(lengths(c, 2), lambda n: F.substr(c, F.lit(1), n))
-    inside = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length("token")),
-            lambda at: F.transform(
-                F.when(F.length("token") - at >= 2, F.sequence(F.lit(3), F.length("token") - at + 1)).otherwise(F.array().cast("array<int>")),
-                lambda n: F.substr("token", at, n),
-            ),
-        )
-    )
-    forward = tokens.select(company, F.explode(F.array_distinct(F.concat(starts(F.col("token")), inside))).alias("known"))
-    backward = known.select(F.explode(starts(F.col("known"))).alias("token")).distinct()
+    known = materialise(history.select(F.explode(T.company_tokens(F.col(recorded))).alias("known")).distinct(), "names")
+    many = known.agg(F.array_sort(F.collect_set(F.length("known")))).first()[0]  # a few dozen lengths
+    lengths = F.array(*map(F.lit, many)).cast("array<int>")
+    # A part that begins the token counts from two characters, one inside it from three.
+    places = lambda n: F.sequence(F.lit(1), F.when(n >= 3, F.length("token") - n + 1).otherwise(1))
+    parts = F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length("token")), lambda n: F.transform(places(n), lambda at: F.substr("token", at, n))))
+    forward = tokens.select(company, F.explode(F.array_distinct(parts)).alias("known"))
+    own = materialise(tokens.select(F.length("token").alias("n")).distinct(), "lengths").agg(F.array_sort(F.collect_set("n"))).first()[0]
+    starts = F.transform(F.filter(F.array(*map(F.lit, own)).cast("array<int>"), lambda n: n <= F.length("known")), lambda n: F.substr("known", F.lit(1), n))
+    backward = known.select(F.explode(starts).alias("token")).distinct()
     hits = forward.join(known, "known", "left_semi").select(company).union(tokens.join(backward, "token", "left_semi").select(company)).distinct()
     return rows.join(hits.withColumn("_hit", F.lit(True)), company, "left").withColumn("applied", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
@@ -114,14 +110,3 @@ def descendants(edges: DataFrame, roots: DataFrame, stored: int = 4) -> DataFram
             part = materialise(recent, "descendants")
             before = part if before is None else before.unionByName(part)
             frontier, recent = part.where(F.col("depth") == depth), part.where("false")
-
-
-def contains_first(rows: DataFrame, row_key: list[str], names: DataFrame, text: str, name: str, order: str) -> DataFrame:
-    """For each row, the first name (by ``order``) that its text contains, by equi join over the words' runs of the text.
-
-    Names are compared by their first word, so only names that begin with a word of the text are looked at.
-    """
-    first = F.element_at(F.split(F.col(name), " ", -1), 1)
-    words = rows.select(*row_key, text, F.explode(F.array_distinct(F.split(text, " ", -1))).alias("_word"))
-    hit = words.join(names.withColumn("_word", first), "_word").where(F.contains(F.col(text), F.col(name)))
-    return rows.join(best_by(hit, row_key, [F.col(order)], [name, order]), row_key, "left")

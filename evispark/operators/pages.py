@@ -193,7 +193,3 @@ def page_status(title: Column, text: Column, article: Column, http: Column, pass
     blocked = http.isin(401, 403, 429) | (title.rlike(BLOCKED) & short) | (no_article & short & (text.rlike(BLOCKED) | password_form))
     return F.when(deleted, "deleted").when(blocked, "blocked").when(http >= 400, "error").when(F.length(text) == 0, "partial").otherwise("ok")
 
-
-def decoded(content: Column) -> Column:
-    """Bytes as UTF-8 where they are valid, else as GB18030."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "GB18030"))

@@ -43,7 +43,7 @@ def platform(host: Column) -> Column:
 
 def is_list_route(url: Column) -> Column:
     """Whether path or fragment end in the list of positions."""
-    fragment = F.rtrim(F.substring_index(F.substring(U.part(url, 5), 2, 1 << 30), "?", 1), F.lit("/"))
+    fragment = F.rtrim(F.substring_index(F.substring(U.part(url, 5), 2, (1 << 31) - 1), "?", 1), F.lit("/"))
     return F.rtrim(U.part(url, 3), F.lit("/")).rlike("/position/list$") | fragment.rlike("/position/list$")
 
 
@@ -65,7 +65,7 @@ def public_image(url: Column, hosts: dict[str, Iterable[str]]) -> Column:
     for host, paths in hosts.items():
         for path in paths:
             place = place | ((U.host(url) == host) & F.startswith(U.part(url, 3), F.lit(path)))
-    params = F.filter(F.split(F.substring(U.part(url, 4), 2, 1 << 30), "&", -1), lambda p: p != "")
+    params = F.filter(F.split(F.substring(U.part(url, 4), 2, (1 << 31) - 1), "&", -1), lambda p: p != "")
     known = F.forall(params, lambda p: p.rlike(f"^(?:{'|'.join(IMAGE_PARAMETERS)})=[A-Za-z0-9_-]{{1,20}}$"))
     plain = ~F.contains(U.part(url, 2), F.lit("@")) & U.part(url, 2).rlike("^[^:]*(?::443)?$") & (U.part(url, 5) == "")
     return F.coalesce((F.lower(U.part(url, 1)) == "https") & place & plain & known, F.lit(False))

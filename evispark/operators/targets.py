@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..session import materialise
 from .dedup import best_by, first_wins
 from .rollups import company_rollup
 
@@ -14,13 +15,13 @@ from .rollups import company_rollup
 UNVERIFIED = ("csv_declared", "limited_source_ai_mention")
 
 
-def admitted(candidates: DataFrame) -> DataFrame:
+def admitted(candidates: DataFrame, industry_pattern: str = rules.INDUSTRY) -> DataFrame:
     """Candidates with a company, in the industry, whose owner isn't excluded; with the columns of ``ownership``."""
     own = T.ownership(F.col("enterprise_nature"), F.col("ownership_status"))
     text = F.concat_ws(" ", F.col("company"), F.col("industry"))
-    shown = candidates.drop("ownership_status").join(candidates.select("candidate", own.alias("_own")), "candidate")
-    kept = shown.where((T.clean(F.col("company")) != "") & text.rlike(rules.INDUSTRY) & (F.col("_own.confidence") != "high"))
-    return kept.withColumns({"ownership_status": F.col("_own.status"), "ownership_confidence": F.col("_own.confidence")}).drop("_own")
+    shown = candidates.withColumn("_own", own).drop("ownership_status")
+    kept = shown.where((T.clean(F.col("company")) != "") & text.rlike(industry_pattern) & (F.col("_own.confidence") != "high"))
+    return kept.withColumns({"ownership_status": F.col("_own.status"), "ownership_confidence": F.col("_own.confidence"), "ownership_evidence": F.col("_own.evidence")}).drop("_own")
 
 
 def declared_roles(candidates: DataFrame) -> DataFrame:
@@ -79,20 +80,23 @@ def limited_kind(status: Column, host: Column, stop_reason: Column) -> Column:
     )
 
 
-def build(candidates: DataFrame, tasks: DataFrame, jobs: DataFrame, audits: DataFrame) -> dict[str, DataFrame]:
-    """Companies and jobs.
+def build(
+    candidates: DataFrame, tasks: DataFrame, jobs: DataFrame, audits: DataFrame, industry_pattern: str = rules.INDUSTRY, screening_scope: str = ""
+) -> dict[str, DataFrame]:
+    """Companies and jobs, stamped with ``screening_scope`` where one is given.
 
     ``candidates``: candidate (a number, their order), company, enterprise_nature, ownership_status, industry,
     matched_roles, source_row. ``tasks``: candidate, status, host, stop_reason, page_text. ``jobs``: candidate, at, title,
     job_text, url. ``audits``: company, source_row (blank: any), evidence.
     Of rows with one company or job id the last candidate's counts.
     """
-    kept = admitted(candidates).join(tasks, "candidate", "left")
+    kept = admitted(candidates, industry_pattern).join(tasks, "candidate", "left")
     exact = audits.select("company", "source_row", F.col("evidence").alias("_exact"))
     loose = audits.where("coalesce(source_row, '') = ''").select("company", F.col("evidence").alias("_loose"))
     kept = kept.join(exact, ["company", "source_row"], "left").join(loose, "company", "left")
     limited = limited_kind(F.coalesce("status", F.lit("")), F.coalesce("host", F.lit("")), F.coalesce("stop_reason", F.lit("")))
-    kept = kept.withColumns({"limited": limited, "audit": F.coalesce("_exact", "_loose", F.lit(""))}).drop("_exact", "_loose")
+    # Stored, as roles are taken from it in three ways and it is joined to them again.
+    kept = materialise(kept.withColumns({"limited": limited, "audit": F.coalesce("_exact", "_loose", F.lit(""))}).drop("_exact", "_loose"), "candidates")
     own = jobs.join(kept.select("candidate"), "candidate", "left_semi")
     every = declared_roles(kept).unionByName(structured_roles(own)).unionByName(page_roles(kept.select("candidate", "page_text"), own))
     key = F.lower("role")
@@ -117,6 +121,8 @@ def build(candidates: DataFrame, tasks: DataFrame, jobs: DataFrame, audits: Data
     columns = ["company", "ownership_status", "ownership_confidence", "industry", "best_priority", "matched_role_count", "evidence_level", "status", "source_row"]
     company_rows = best_by(companies, ["company_id"], [-F.col("candidate")], columns)
     company_rows = company_rows.withColumn("matched_role_count", F.coalesce("matched_role_count", F.lit(0).cast("long")))
+    if screening_scope:
+        company_rows, job_rows = (x.withColumn("screening_scope", F.lit(screening_scope)) for x in (company_rows, job_rows))
     return {"companies": company_rows, "jobs": job_rows}
 
 
@@ -151,3 +157,22 @@ def merge_scopes(frames: dict[str, DataFrame], key: str, order: list[str]) -> Da
         every = stamped if every is None else every.unionByName(stamped, allowMissingColumns=True)
     checked = every.withColumn(key, F.when(F.coalesce(F.trim(key), F.lit("")) == "", F.raise_error(F.lit(f"a row has no {key}"))).otherwise(F.col(key)))
     return fullest(checked, ["screening_scope", key], [F.col(c) for c in order])
+
+
+def target_summary(companies: DataFrame, jobs: DataFrame, unverified: tuple = UNVERIFIED) -> DataFrame:
+    """(measure, value, n): totals, and jobs by evidence level and priority with 0 where there are none, companies by status."""
+    applicable = F.col("matched_role_count") > 0
+    failed = F.coalesce(F.col("status").isin("error", "blocked", "failed"), F.lit(False))
+    shown = ~F.col("evidence_level").isin(*unverified)
+    total = lambda df, counts: df.agg(*(c.alias(n) for n, c in counts.items())).unpivot([], list(counts), "value", "n").select(F.lit("total").alias("measure"), "value", "n")
+    by_company = {"analyzed": F.count("*"), "applicable": F.count_if(applicable), "verified": F.count_if(applicable & shown), "pending": F.count_if(~applicable & ~failed), "error": F.count_if(failed)}
+    by_job = {"jobs": F.count("*"), "verified_details": F.count_if("details_verified")}
+
+    def by(df: DataFrame, measure: str, column, domain: list) -> DataFrame:
+        counts = {str(v): F.count_if(column == v) for v in domain}
+        return total(df, counts).withColumn("measure", F.lit(measure))
+
+    out = total(companies, by_company).unionByName(total(jobs, by_job))
+    out = out.unionByName(by(jobs, "evidence_level", F.col("evidence_level"), list(rules.EVIDENCE_RANK))).unionByName(by(jobs, "priority", F.col("priority"), list(rules.PRIORITY_LABELS)))
+    status = companies.groupBy(F.coalesce("status", F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+    return out.unionByName(status.select(F.lit("fetch_status").alias("measure"), "value", "n"))

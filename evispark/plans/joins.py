@@ -96,14 +96,14 @@ def q_backfill_dimension(t):
 
 @R.add(
     """WITH c AS (SELECT DISTINCT c_name AS company, lower(regexp_replace(c_name, '[^0-9a-zA-Z]+', '', 'g')) AS a FROM customer),
-    h AS (SELECT DISTINCT lower(regexp_replace(replace(c_name, 'Customer', 'Cust'), '[^0-9a-zA-Z]+', '', 'g')) AS b FROM customer WHERE c_custkey % 7 = 0
-          UNION SELECT lower(regexp_replace(c_name, '[^0-9a-zA-Z]+', '', 'g')) FROM customer WHERE c_custkey % 11 = 0)
+    h AS (SELECT DISTINCT lower(regexp_replace(replace(c_name, 'Customer', 'Cust'), '[^0-9a-zA-Z]+', '', 'g')) AS b FROM customer WHERE c_mktsegment = 'BUILDING'
+          UNION SELECT lower(regexp_replace(c_name, '[^0-9a-zA-Z]+', '', 'g')) FROM customer WHERE c_acctbal < 0)
     SELECT company, bool_or(coalesce(a = b OR starts_with(a, b) OR starts_with(b, a) OR (length(b) >= 3 AND contains(a, b)), false)) AS applied FROM c LEFT JOIN h ON a = b OR starts_with(a, b) OR starts_with(b, a) OR (length(b) >= 3 AND contains(a, b)) GROUP BY 1"""
 )
 def q_theta_company_match(t):
     """Companies whose name equals, begins, continues or holds a recorded one."""
     names = t.customer.select(F.col("c_name").alias("company")).distinct()
-    history = t.customer.where("c_custkey % 7 = 0").selectExpr("replace(c_name, 'Customer', 'Cust') AS recorded").union(t.customer.where("c_custkey % 11 = 0").select("c_name"))
+    history = t.customer.where("c_mktsegment = 'BUILDING'").selectExpr("replace(c_name, 'Customer', 'Cust') AS recorded").union(t.customer.where("c_acctbal < 0").select("c_name"))
     return joins.applied_companies(names, "company", history, "recorded").select("company", "applied")
 
 
@@ -136,13 +136,12 @@ def q_overlap_marks(t):
 
 
 @R.add(
-    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'new' || c_custkey ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 2 = 0
-    UNION ALL SELECT c_custkey, 'new' || c_custkey FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 5 = 0"""
+    """SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'new' || c_custkey WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS segment FROM customer"""
 )
 def q_overlay_nonempty(t):
     """New values over old ones where they say something."""
-    old = t.customer.where("c_custkey % 2 = 0").selectExpr("c_custkey", "c_mktsegment AS segment")
-    new = t.customer.where("c_custkey % 5 = 0 OR c_custkey % 2 = 0").selectExpr("c_custkey", "CASE WHEN c_custkey % 5 = 0 THEN concat('new', c_custkey) ELSE '' END AS segment")
+    old = t.customer.where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey", "c_mktsegment AS segment")
+    new = t.customer.where("c_mktsegment = 'BUILDING' OR c_acctbal > 0").selectExpr("c_custkey", "CASE WHEN c_acctbal > 5000 THEN concat('new', c_custkey) ELSE '' END AS segment")
     return dedup.overlay(old, new, ["c_custkey"])
 
 
@@ -159,13 +158,13 @@ def q_merge_records(t):
 
 @R.add(
     """WITH k AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS h, rtrim(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/') AS p FROM pages),
-    b AS (SELECT DISTINCT regexp_replace(h, '^www\\.', '') AS host FROM k WHERE page_id % 10 = 0)
+    b AS (SELECT DISTINCT regexp_replace(h, '^www\\.', '') AS host FROM k WHERE page_id IN (SELECT page_id FROM pages WHERE length(html) > 4000))
     SELECT page_id, regexp_replace(h, '^www\\.', '') IN (SELECT host FROM b) AS applied FROM k"""
 )
 def q_url_key_match(t):
     """Pages whose URL shares a key with a recorded one."""
     rows = t.pages.select("page_id", "url")
-    return joins.applied_urls(rows, "url", rows.where("page_id % 10 = 0").withColumnRenamed("url", "recorded"), "recorded").select("page_id", "applied")
+    return joins.applied_urls(rows, "url", t.pages.where("length(html) > 4000").select(F.col("url").alias("recorded")), "recorded").select("page_id", "applied")
 
 
 @R.add(

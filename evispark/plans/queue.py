@@ -12,7 +12,7 @@ STATUS = "CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'pending' ELSE 're
 
 
 def tasks(t):
-    return t.orders.selectExpr("o_orderkey AS task_id", "o_custkey", f"{STATUS} AS status", "6 - cast(substr(o_orderpriority, 1, 1) AS int) AS priority", "cast(o_orderdate AS timestamp) AS available_at", "o_totalprice")
+    return t.orders.selectExpr("o_orderkey AS task_id", "o_custkey", f"{STATUS} AS status", "6 - cast(substr(o_orderpriority, 1, 1) AS int) AS priority", "cast(o_orderdate AS timestamp) AS available_at", "o_totalprice", "o_orderpriority")
 
 
 @R.add(
@@ -22,7 +22,7 @@ def tasks(t):
 )
 def q_queue_import(t):
     """Tasks and their sources, by segment and level."""
-    joined = tasks(t).join(t.customer.where("c_name <> ''"), F.col("o_custkey") == F.col("c_custkey")).join(t.orders.select(F.col("o_orderkey").alias("task_id"), "o_orderpriority"), "task_id")
+    joined = tasks(t).join(t.customer.where("c_name <> ''"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy(F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("level")).agg(
         F.count("*").alias("tasks"),
         F.countDistinct("o_custkey").alias("sources"),

@@ -92,12 +92,11 @@ def q_store_over_files(t):
 
 
 @R.add(
-    """SELECT doc_id, source, true AS listed FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, source, NULL FROM documents WHERE doc_id % 5 = 0 AND doc_id % 3 <> 0"""
+    """SELECT doc_id, true AS listed FROM labels UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
 )
 def q_augment(t):
-    """Rows of the limited sources that aren't listed yet are added."""
-    rows = t.documents.where("doc_id % 3 = 0").select("doc_id", "source", F.lit(True).alias("listed"))
-    return joins.augment(rows, t.documents.where("doc_id % 5 = 0").select("doc_id", "source"), ["doc_id"])
+    """Documents that no label lists are added to those that are labelled."""
+    return joins.augment(t.labels.select("doc_id", F.lit(True).alias("listed")), t.documents.select("doc_id"), ["doc_id"])
 
 
 QUERIES, ORACLE_SQL = R.queries, R.sql

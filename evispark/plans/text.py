@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import targets
 from .base import Registry
 
 R = Registry()
@@ -101,9 +102,8 @@ def q_candidate_admission(t):
     """Companies that are admitted, and what is known of their owners."""
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("s_suppkey") % len(values) + 1).cast("int"))
     rows = t.supplier.select("s_suppkey", "s_name", pick(("国企", "民企", "外企", "", "国有控股", "事业单位")).alias("nature"), pick(("医疗器械", "生物医药", "软件", "基因检测", "金融")).alias("industry"))
-    own = T.ownership(F.col("nature"), F.lit(None).cast("string"))
-    kept = rows.where((F.col("s_name") != "") & F.col("industry").rlike(rules.INDUSTRY)).select("s_suppkey", own.alias("o"))
-    return kept.where("o.confidence <> 'high'").select("s_suppkey", F.col("o.confidence").alias("confidence"), F.col("o.evidence").alias("evidence"))
+    named = rows.select(F.col("s_suppkey").alias("candidate"), F.col("s_name").alias("company"), F.col("nature").alias("enterprise_nature"), F.lit(None).cast("string").alias("ownership_status"), "industry")
+    return targets.admitted(named).select(F.col("candidate").alias("s_suppkey"), F.col("ownership_confidence").alias("confidence"), F.col("ownership_evidence").alias("evidence"))
 
 
 @R.add(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -10,13 +12,13 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 def read_raw_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV with a header, all fields text, with ``input_path`` and ``row_number`` (the header is row 1).
 
-    Row numbers follow the order of the file, so one file is read by one task; many files are read in parallel.
+    Fields may have line breaks, so one file is read by one task; many files are read in parallel. Where no field has any,
+    ``read_plain_csv`` splits files.
     """
     lines = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("input_path"))
     schema = StructType([StructField(c, StringType()) for c in columns])
 
     def parse(batches):
-        import csv
         import io
 
         import pyarrow as pa
@@ -32,6 +34,31 @@ def read_raw_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return lines.mapInArrow(parse, StructType([*fields, StructField("row_number", IntegerType())]))
 
 
+def read_plain_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """``read_raw_csv`` for files without line breaks in fields: files are split, and row numbers are the places of lines.
+
+    Lines are numbered within the split that Spark reads, and splits by their offset in the file, so no task sees a whole file.
+    Files may have their columns in different orders.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta.file_path.alias("input_path"), meta.file_block_start.alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = lines.groupBy("input_path", "_block").agg(F.count("*").alias("_lines"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("input_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_base", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
+    numbered = lines.join(F.broadcast(starts), ["input_path", "_block"]).withColumn("row_number", (F.col("_base") + F.col("_at") - F.col("_first") + 1).cast("int"))
+    heads = numbered.where("row_number = 1").groupBy(F.regexp_replace("value", "^\\x{feff}|\\r$", "").alias("head")).agg(F.collect_list("input_path").alias("files")).collect()
+    out = None
+    for row in heads:  # one for each different header, not for each file
+        names = next(csv.reader([row["head"]]))
+        fields = ", ".join(f"_c{i} string" for i in range(len(names)))
+        body = numbered.where(F.col("input_path").isin(row["files"]) & (F.col("row_number") > 1) & (F.trim("value") != ""))
+        parsed = body.select(F.from_csv(F.regexp_replace("value", "\\r$", ""), fields, {"escape": '"'}).alias("r"), "input_path", "row_number")
+        cell = lambda c: F.coalesce(F.col(f"r._c{names.index(c)}"), F.lit("")) if c in names else F.lit("")
+        part = parsed.select(*(cell(c).alias(c) for c in columns), "input_path", "row_number")
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns) + ", input_path string, row_number int") if out is None else out
+
+
 def read_queue(spark: SparkSession, path: str, schema: str) -> dict[str, DataFrame]:
     """JSON lines: ``rows`` that parse and ``bad`` ones with their text."""
     parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
@@ -46,24 +73,24 @@ def first_url(row_columns: list[str]):
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """(company, status, urls, applied) from Markdown tables whose header names a company column."""
+    """(company, status, urls, applied) from Markdown tables; in each file, the first row that names a company column is the header
+    of what follows."""
     from ..functions.rules import PENDING_MARKERS
 
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     cells = F.transform(F.split(F.regexp_replace(F.trim("line"), "^\\||\\|$", ""), "\\|", -1), lambda x: F.trim(x))
-    lines = text.select(F.posexplode(F.split(F.regexp_replace("value", "^\\x{feff}", ""), "\\r?\\n", -1)).alias("at", "line")).where(F.ltrim("line").startswith("|"))
-    rows = lines.select("at", cells.alias("cells"))
+    lines = text.select("file", F.posexplode(F.split(F.regexp_replace("value", "^\\x{feff}", ""), "\\r?\\n", -1)).alias("at", "line")).where(F.ltrim("line").startswith("|"))
+    rows = lines.select("file", "at", cells.alias("cells"))
     lowered = F.transform("cells", F.lower)
-    place = lambda names: F.try_element_at(F.filter(F.sequence(F.lit(1), F.size("cells")), lambda i: F.element_at(lowered, i).isin(*names)), F.lit(1))
-    urls_at = F.filter(F.sequence(F.lit(1), F.size("cells")), lambda i: F.element_at(lowered, i).isin("index", "url", "link", "链接", "网址", "投递链接"))
-    heads = rows.where(place(("company", "公司")).isNotNull()).select(F.struct("at", place(("company", "公司")).alias("company"), place(("状态",)).alias("status"), urls_at.alias("urls")).alias("head"))
-    head = heads.agg(F.min("head").alias("h")).first()["h"]  # the one header row
-    if head is None:
-        return spark.createDataFrame([], "company string, status string, urls array<string>, applied boolean")
-    body = rows.where(F.col("at") > head["at"]).where(F.exists("cells", lambda c: (c != "") & ~c.rlike("^:?-{2,}:?$")))
-    company, status = F.try_element_at("cells", F.lit(head["company"])), F.try_element_at("cells", F.lit(head["status"]).cast("int"))
-    found = F.flatten(F.transform(F.array(*map(F.lit, head["urls"])).cast("array<int>"), lambda i: F.coalesce(F.regexp_extract_all(F.try_element_at(F.col("cells"), i), F.lit("https?://[^\\s\\])]+"), F.lit(0)), F.array().cast("array<string>"))))
-    shown = body.select(company.alias("company"), F.coalesce(status, F.lit("")).alias("status"), F.transform(found, lambda u: F.rtrim(u, F.lit(">),，。"))).alias("urls"))
+    places = lambda names: F.filter(F.sequence(F.lit(1), F.size("cells")), lambda i: F.element_at(lowered, i).isin(*names))
+    place = lambda names: F.try_element_at(places(names), F.lit(1))
+    named = F.struct("at", place(("company", "公司")).alias("company"), place(("状态",)).alias("status"), places(("index", "url", "link", "链接", "网址", "投递链接")).alias("urls"))
+    heads = rows.where(place(("company", "公司")).isNotNull()).groupBy("file").agg(F.min_by(named, "at").alias("head"))
+    body = rows.join(heads, "file").where(F.col("at") > F.col("head.at")).where(F.exists("cells", lambda c: (c != "") & ~c.rlike("^:?-{2,}:?$")))
+    cell = lambda i: F.try_element_at(F.col("cells"), i.cast("int"))
+    urls = lambda i: F.coalesce(F.regexp_extract_all(cell(i), F.lit("https?://[^\\s\\])]+"), F.lit(0)), F.array().cast("array<string>"))
+    found = F.flatten(F.transform("head.urls", urls))
+    shown = body.select(cell(F.col("head.company")).alias("company"), F.coalesce(cell(F.col("head.status")), F.lit("")).alias("status"), F.transform(found, lambda u: F.rtrim(u, F.lit(">),，。"))).alias("urls"))
     waits = F.exists(F.array(*map(F.lit, PENDING_MARKERS)), lambda m: F.contains(F.replace(F.col("status"), F.lit(" "), F.lit("")), m))
     return shown.where("coalesce(company, '') <> ''").withColumn("applied", ~waits)
 

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..session import materialise
+from ..session import materialise, shared_path
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -60,3 +61,20 @@ def merge_batches(batches: DataFrame, order: list[str], key: list[str], upto: in
     from ..operators.dedup import first_wins
 
     return materialise(first_wins(batches.where(F.col("batch") <= upto), key, [F.col("batch"), *map(F.col, order)]), "candidates")
+
+
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives from all that lies at its source now: its rows with ``batch``, the number of their micro-batch.
+
+    Micro-batches are written to the shared folder, each to a folder of its own, so a batch that is run again replaces itself.
+    """
+    spark = stream.sparkSession
+    path, state = shared_path(spark, "stream"), shared_path(spark, "stream-state")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")  # so that a stream without batches can be read
+
+    def store(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(store).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(path).where("batch >= 0")
