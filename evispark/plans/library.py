@@ -68,10 +68,10 @@ def q_titles(t):
     )
 
 
-@R.add("""SELECT p_partkey, unnest(CASE p_partkey % 5 WHEN 0 THEN ['大模型算法', 'Agent开发'] WHEN 1 THEN ['算法工程师', '测试工程师'] WHEN 2 THEN ['视觉AI'] WHEN 3 THEN ['销售/运营（全国/北京）'] ELSE ['后端'] END) AS role FROM part""")
+@R.add("""SELECT p_partkey, unnest(CASE p_partkey % 5 WHEN 0 THEN ['大模型算法', 'Agent开发'] WHEN 1 THEN ['视觉算法工程师', '测试工程师'] WHEN 2 THEN ['视觉AI'] WHEN 3 THEN ['销售/运营（全国/北京）'] ELSE ['后端'] END) AS role FROM part""")
 def q_expand_roles(t):
     """The titles in declared roles: lists, blobs of categories, dense cells and slashes."""
-    told = _pick(("大模型算法；Agent开发", "算法工程师 测试工程师", "视觉AI/行政", "销售/运营（全国/北京）", "后端、技术类设计类产品类"), "p_partkey")
+    told = _pick(("大模型算法；Agent开发", "视觉算法工程师 测试工程师", "视觉AI/行政", "销售/运营（全国/北京）", "后端、技术类设计类产品类"), "p_partkey")
     return t.part.select("p_partkey", F.explode(T.expand_role(told)).alias("role"))
 
 
