@@ -255,3 +255,67 @@ def test_scopes(spark):
         targets.merge_scopes({" ": a}, "company_id", ["company"])
     with pytest.raises(Exception, match="has no company_id"):
         targets.merge_scopes({"s": spark.createDataFrame([("", "x")], "company_id string, company string")}, "company_id", ["company"]).collect()
+
+
+def test_preferred_role_is_an_ordered_fold(spark):
+    from evispark.operators import audit
+
+    data = [("k", i, f"t{i}", "s" * n, "e" * m, hit) for i, (n, m, hit) in enumerate([(10, 5, False), (6, 6, False), (9, 2, False), (3, 1, True), (2, 2, False), (2, 1, True), (1, 1, True)])]
+    df = spark.createDataFrame(data, "k string, o int, title string, segment string, excerpt string, matched boolean")
+    held = data[0]
+    for x in data[1:]:
+        if (x[5] and not held[5]) or (x[5] == held[5] and len(x[3]) > len(held[4])):
+            held = x
+    assert audit.preferred_role(df, "k", "o").first()["title"] == held[2]
+
+
+def test_role_mentions(spark):
+    from evispark.operators import audit
+
+    df = spark.createDataFrame([("AI算法", ""), ("销售", "我们公司是AI 企业"), ("销售", "公司岗位要求: 机器学习"), ("销售", "x\ny"), (None, None)], "t string, s string")
+    assert [r[0] for r in df.select(audit.role_mentions_ai(F.col("t"), F.col("s"))).collect()] == [True, False, True, False, False]
+
+
+def test_registry_of_rules(spark):
+    from evispark.operators import routing
+
+    rules = routing.Registry()
+    rules.register(routing.Rule("mine", 300, lambda u: F.contains(u, F.lit("mine"))))
+    assert rules.describe()[0]["name"] == "mine"
+    df = spark.createDataFrame([("https://mine.example/",), ("https://b.zhiye.com/x",), ("no",)], "u string")
+    assert [r[0] for r in df.select(rules.chosen(F.col("u"))).collect()] == ["mine", "ZhiyePublicPortal", None]
+    try:
+        rules.register(routing.Rule("mine", 1, lambda u: F.lit(True)))
+        raise AssertionError("a name was taken twice")
+    except ValueError:
+        pass
+
+
+def test_names_in_titles_without_blanks(spark):
+    from evispark.operators import routing
+
+    titles = spark.createDataFrame([(1, "上海某某科技招聘"), (2, "没有"), (3, ""), (4, None)], "k int, title string")
+    names = spark.createDataFrame([("某某科技", 2), ("科技", 1), ("海", 3)], "name string, o int")
+    assert rows(routing.contained_names(titles, names, "k", "title", "name", "o").select("k", "contained"), "k") == [(1, "科技"), (2, None), (3, None), (4, None)]
+
+
+def test_artifact_references(spark):
+    from evispark.operators import acceptance
+
+    df = spark.createDataFrame([("a", ["b", "", "a"], [("c", None)])], "x string, l array<string>, e array<struct<raw_ref:string,path:string>>")
+    assert df.select(acceptance.artifact_refs([F.col("x")], [F.col("l")], F.col("e"), ["raw_ref", "path"])).first()[0] == ["a", "b", "c"]
+
+
+def test_public_images(spark):
+    from evispark.operators import routing
+
+    urls = ["https://mmbiz.example/a/1.jpg?wx_fmt=png", "http://mmbiz.example/a/1", "https://mmbiz.example:8443/a/1", "https://u@mmbiz.example/a/1", "https://mmbiz.example/a/1?x=1", "https://mmbiz.example/b", "https://mmbiz.example/a/1#f"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in df.select(routing.public_image(F.col("u"), {"mmbiz.example": ["/a/"]})).collect()] == [True, *[False] * 6]
+
+
+def test_search_and_listing_order(spark):
+    from evispark.operators import export
+
+    df = spark.createDataFrame([(1, "Ab", "u")], "source_id int, company string, url string")
+    assert export.listing(df).columns == ["company", "url", "source_id"] and export.searched(df, "B U").count() == 1 and export.searched(df, "zz").count() == 0

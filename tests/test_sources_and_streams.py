@@ -69,3 +69,36 @@ def test_stored_tables_are_released(spark):
     release(spark)
     kept = materialise(spark.range(3))
     assert kept.count() == 3 and release(spark) == 1 and release(spark) == 0
+
+
+def test_plain_csv_numbers_lines_in_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("﻿x,y\n" + "".join(f'{i},"v, {i}"\n' for i in range(5000)), encoding="utf-8")
+    (tmp_path / "b.csv").write_text('y,x\nb,"say ""hi"""\n', encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        out = tables.read_plain_csv(spark, str(tmp_path), ["x", "y", "z"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    a = {r["row_number"]: (r["x"], r["y"], r["z"]) for r in out if r["input_path"].endswith("a.csv")}
+    assert len(a) == 5000 and all(a[i + 2] == (str(i), f"v, {i}", "") for i in range(5000))
+    assert [(r["x"], r["y"], r["row_number"]) for r in out if r["input_path"].endswith("b.csv")] == [('say "hi"', "b", 2)]
+
+
+def test_history_takes_each_file_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.md").write_text("| company | index |\n|---|---|\n| 甲 | https://a.com/x |\n", encoding="utf-8")
+    (tmp_path / "b.md").write_text("| link | 状态 | 公司 |\n|---|---|---|\n| https://b.com | 未投 | 乙 |\n", encoding="utf-8")
+    out = {r["company"]: (r["urls"], r["applied"]) for r in tables.read_history(spark, str(tmp_path)).collect()}
+    assert out == {"甲": (["https://a.com/x"], True), "乙": (["https://b.com"], False)}
+
+
+def test_delivery_files(spark, tmp_path):
+    from evispark.operators import export
+
+    df = spark.createDataFrame([("a", ["x", "y"], True), ("b", [], False)], "k string, tags array<string>, campus boolean")
+    export.write_delivery(df, str(tmp_path / "d"), F.col("campus"))
+    assert spark.read.json(str(tmp_path / "d" / "all_lists_jsonl")).count() == 2 and spark.read.json(str(tmp_path / "d" / "campus_lists_jsonl")).count() == 1
+    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "d" / "all_lists_csv").glob("*.csv"))
+    assert text.startswith("﻿k") and '"[""x"",""y""]"' in text
+    export.write_evidence(spark.createDataFrame([(7, "# Evidence 7")], "task int, markdown string"), str(tmp_path / "e"), "task")
+    assert (tmp_path / "e" / "task=7").is_dir()
