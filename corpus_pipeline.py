@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.llm import jaccard, mixing, packing, quality, toxicity
-from evispark.llm.common import documents
+from evispark.llm.common import WORD, documents
 from evispark.session import materialise, prepare
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,16 +29,25 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; documents without words or doc_id stay."""
+    """One row of each group: the one with the smallest doc_id, null last; texts without words stay.
+
+    Rows are told apart by a hash of doc_id and text, so a doc_id on several texts takes none of them away, and copies without
+    a doc_id go like others. Of rows alike in both, one stays.
+    """
     prepare(spark)
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    # Rows that repeat a doc_id are one document; the rest pass unshuffled where there are none.
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    key = F.xxhash64("doc_id", "text", F.lit(23))
+    found = jaccard.near_duplicates(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    named = docs.select(key.alias("_key"), "doc_id").distinct()
+    rows = materialise(found.join(named, "_key"), "groups")
+    best = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).getField("_key").alias("_key"))
+    gone = rows.select("_key").join(best.select("_key"), "_key", "left_anti").distinct()
+    kept = docs.withColumn("_key", key).join(gone, "_key", "left_anti")
+    # Rows alike pass unshuffled where there are none.
+    repeated = materialise(docs.select(key.alias("_key"), "text").where(F.col("text").rlike(WORD)).groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"), "repeated")
     if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+        return kept.select(*COLUMNS)
+    once = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.join(repeated, "_key", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

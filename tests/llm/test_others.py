@@ -365,3 +365,67 @@ def test_pipeline_stages_on_odd_rows(spark, data, odd):
     assert corpus_pipeline.drop_low_quality(spark, docs, data).count() >= 0
     kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, data).collect()]
     assert sorted(i for i in kept if i is not None) == [0, 1, 2, 3, 5, 8, 10, 11, 12]
+
+
+def test_pipeline_stages_equal_brute_force(spark, data, docs, texts):
+    """Each stage over the whole table, row by row against plain Python."""
+    import collections
+    import zlib
+
+    import corpus_pipeline
+    from evispark.llm import packing, tokens
+    from test_native import measures, targets
+
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    bad = {r["doc_id"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("toxic").collect()}
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert ids(stage["toxicity"](spark, docs, data)) == sorted(set(texts) - bad)
+
+    def good(text):
+        n, chars, symbols, dup, repeat = measures(text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return not (n < 50 or 100 * repeat > 50 * n or 10 * symbols > n or (len(lines) >= 4 and 2 * dup > len(lines)) or 5 * text.count("!") > n)
+
+    assert ids(stage["quality rules"](spark, docs, data)) == sorted(i for i, t in texts.items() if good(t or ""))
+    comp, n = brute_components(sorted(texts.items()))
+    assert ids(stage["near duplicates"](spark, docs, data)) == sorted(i for i in texts if comp[i] == i or not n[i])
+
+    mixed = stage["source mix"](spark, docs, data).collect()
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    sizes, taken, words = collections.Counter(), collections.Counter(), re.compile(r"[^\x20\x09-\x0D]+")
+    for i, t in texts.items():
+        sizes[source[i]] += len(words.findall(t or ""))
+    for r in mixed:
+        taken[source[r["doc_id"]]] += len(words.findall(r["text"]))
+        assert texts[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"])
+    assert all(abs(taken[s] - goal) <= 1 for s, goal in targets(dict(sizes)).items())
+
+    encode, bins, whole = tokens.encoder(tokens.default_tokenizer()), collections.defaultdict(list), collections.defaultdict(int)
+    for r in stage["packing"](spark, docs, data).collect():
+        part = (encode.ids((texts[r["doc_id"]] or "").encode()) + (1).to_bytes(4, "little"))[4 * r["start"] : 4 * (r["start"] + r["length"])]
+        assert zlib.crc32(part) == r["ids_crc32"] and len(part) == 4 * r["length"]
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        whole[r["doc_id"]] += r["length"]
+    for parts in bins.values():
+        parts.sort()
+        assert sum(x for _, x in parts) <= packing.CAPACITY and [o for o, _ in parts] == np.cumsum([0] + [x for _, x in parts])[:-1].tolist()
+    assert set(whole) == set(texts)
+
+
+def test_pipeline_stages_on_empty_tables(spark, data, empty):
+    import corpus_pipeline
+
+    docs = empty.select(*corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, data).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark, data):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (2, b), (2, a), (None, b), (None, b), (3, a), (4, ""), (4, ""), (5, b + " more"), (5, b + " more")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, df, data).collect())
+    assert out == [(1, a), (2, b), (4, ""), (4, "")]
