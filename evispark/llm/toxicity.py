@@ -3,9 +3,9 @@
 P(grade <= k) = sigmoid(threshold_k - weights . features), with one weight vector for all thresholds. Features say which
 words and word beginnings a text has. The model is fitted on a bounded sample of labelled rows and applied to whole texts.
 
-Labels say toxic or not. How severe a toxic row is, is told by the density of words that mark toxic rows, and which words do
-is learned from the other half of the sample. So a row's grade isn't a count of its own features: it rests on other rows'
-labels, and on how often the words stand in how long a text.
+Labels say toxic or not. How severe a toxic row is, is told by how many of its words mark toxic rows, and which words do is
+learned from the other half of the sample. So a row's grade isn't a count of its own features: it rests on other rows' labels, and
+on how often such words stand in it.
 """
 
 from __future__ import annotations
@@ -143,18 +143,20 @@ def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps:
 def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """row, text and toxic of at most ``per_class`` toxic and twice as many clean labelled documents, chosen by a hash of the id.
 
-    ``row`` is a hash of id and text. Labels without an id or a verdict don't count.
+    There are twice as many clean rows as toxic ones, however many of these there are, so the model's threshold means the same
+    at every size. ``row`` is a hash of id and text. Labels without an id or a verdict don't count.
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("_toxic"))
     order = F.xxhash64("_id", F.lit(3))
-    chosen = known.where("_toxic").orderBy(order, "_id").limit(per_class).union(known.where("not _toxic").orderBy(order, "_id").limit(2 * per_class))
+    most = min(per_class, known.where("_toxic").count())
+    chosen = known.where("_toxic").orderBy(order, "_id").limit(per_class).union(known.where("not _toxic").orderBy(order, "_id").limit(2 * max(1, most)))
     # Both sides of the union are bounded, so these are at most three times per_class narrow rows.
     found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     return found.select(F.xxhash64("_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.col("_toxic").alias("toxic"))
 
 
-def densities(sample: DataFrame, least: int = 5, times: int = 20) -> DataFrame:
-    """(row, density): words in a thousand that mark toxic rows of the other half of ``sample`` (row, text, toxic).
+def marking_words(sample: DataFrame, least: int = 5, times: int = 20) -> DataFrame:
+    """(row, hits): how many words of a row mark toxic rows of the other half of ``sample`` (row, text, toxic), repeats counted.
 
     A word marks toxic rows if ``least`` of a half have it, and ``times`` the share of toxic rows that of clean ones.
     """
@@ -166,36 +168,36 @@ def densities(sample: DataFrame, least: int = 5, times: int = 20) -> DataFrame:
     by_word = counted.groupBy("half", "word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")).where(F.col("t") >= least)
     marks = by_word.join(F.broadcast(rows), "half").where(F.col("t") * F.greatest("_c", F.lit(1)) >= times * F.col("c") * F.col("_t"))
     hits = counted.join(marks.select((1 - F.col("half")).alias("half"), "word", F.lit(1).alias("hit")), ["half", "word"], "left")
-    return hits.groupBy("row").agg((F.sum(F.col("n") * F.coalesce("hit", F.lit(0))) * 1000 / F.sum("n")).alias("density"))
+    return hits.groupBy("row").agg(F.sum(F.col("n") * F.coalesce("hit", F.lit(0))).alias("hits"))
 
 
-def severity_grades(density: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Grades 0 to 3: 0 where not toxic, else by the thirds of the toxic rows' densities."""
-    cuts = np.quantile(density[toxic], [1 / 3, 2 / 3]) if toxic.any() else [0, 0]
-    return np.where(toxic, 1 + (density > cuts[0]).astype(int) + (density > cuts[1]).astype(int), 0)
+def severity_grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Grades 0 to 3: 0 where not toxic, else by the thirds of the toxic rows' marking words."""
+    cuts = np.quantile(hits[toxic], [1 / 3, 2 / 3]) if toxic.any() else [0, 0]
+    return np.where(toxic, 1 + (hits > cuts[0]).astype(int) + (hits > cuts[1]).astype(int), 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit the model on a bounded sample. Without labelled rows every text gets grade 0."""
     sample = materialise(sample_labelled(docs, labels, per_class), "toxic-sample")
-    graded = sample.join(densities(sample), "row", "left").select("row", "toxic", F.coalesce("density", F.lit(0.0)).alias("density"), "text")
+    graded = sample.join(marking_words(sample), "row", "left").select("row", "toxic", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_WORDS.features(t).tobytes() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["row", "toxic", "density", "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["row", "toxic", "hits", "features"])
 
-    rows = graded.mapInArrow(featurise, "row long, toxic boolean, density double, features binary").toArrow()
+    rows = graded.mapInArrow(featurise, "row long, toxic boolean, hits long, features binary").toArrow()
     if not rows.num_rows:
         return Model(np.zeros(SPACE, dtype=np.float32), np.array([40.0, 41.0, 42.0]))
-    rows = rows.sort_by([("row", "ascending"), ("density", "ascending")])
-    toxic, density = rows["toxic"].to_numpy(), rows["density"].to_numpy()
+    rows = rows.sort_by([("row", "ascending"), ("hits", "ascending")])
+    toxic, hits = rows["toxic"].to_numpy(), rows["hits"].to_numpy()
     features = rows["features"].combine_chunks()
     features = features.chunk(0) if isinstance(features, pa.ChunkedArray) else features
     ends = np.frombuffer(features.buffers()[1], dtype=np.int32, count=len(features) + 1, offset=4 * features.offset) // 4
     flat = np.frombuffer(features.buffers()[2], dtype=np.int32)[ends[0] : ends[-1]]
     owner = np.repeat(np.arange(len(features), dtype=np.int32), np.diff(ends))
-    return fit_ordinal(flat, owner, severity_grades(density, toxic))
+    return fit_ordinal(flat, owner, severity_grades(hits, toxic))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:

