@@ -143,13 +143,12 @@ def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps:
 def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """row, text and toxic of at most ``per_class`` toxic and twice as many clean labelled documents, chosen by a hash of the id.
 
-    There are twice as many clean rows as toxic ones, however many of these there are, so the model's threshold means the same
-    at every size. ``row`` is a hash of id and text. Labels without an id or a verdict don't count.
+    There are three times as many clean rows as toxic ones at most, so that few toxic rows aren't drowned. ``row`` is a hash of id and text. Labels without an id or a verdict don't count.
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("_toxic"))
     order = F.xxhash64("_id", F.lit(3))
     most = min(per_class, known.where("_toxic").count())
-    chosen = known.where("_toxic").orderBy(order, "_id").limit(per_class).union(known.where("not _toxic").orderBy(order, "_id").limit(2 * max(1, most)))
+    chosen = known.where("_toxic").orderBy(order, "_id").limit(per_class).union(known.where("not _toxic").orderBy(order, "_id").limit(min(2 * per_class, 3 * max(1, most))))
     # Both sides of the union are bounded, so these are at most three times per_class narrow rows.
     found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     return found.select(F.xxhash64("_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.col("_toxic").alias("toxic"))
