@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import long_array, running_start
-from .tokens import END_ID, default_tokenizer, encoder, texts
+from .tokens import END_ID, default_tokenizer, encoder
 
 CAPACITY = 4096
 
@@ -111,8 +111,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                ids = encode.ids(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.many(batch.column(1)), strict=True):
+                ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -11,10 +11,12 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +43,11 @@ class Encoder:
     Words of plain Latin letters go to the file's merges by piece; all others go through the whole tokenizer.
     """
 
-    #: Words and pieces that are remembered at most; both memories are emptied when full.
+    #: Words that a half of the memory holds at most. When it is full it becomes the old half, and what was old and wasn't met
+    #: since is forgotten, so frequent words stay. Pieces of words are remembered as words.
     MOST = 300_000
     PLAIN = re.compile("[\x21-\x7e\xa1-įı-ſ]+")
+    MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
@@ -58,7 +62,7 @@ class Encoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.by_word: dict[bytes, bytes] = {}
-        self.by_piece: dict[str, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
 
     def _has_known_rules(self, path: str) -> bool:
         """Whether the file lower-cases, cuts by PIECES and maps bytes, so that the short way is right."""
@@ -70,37 +74,110 @@ class Encoder:
         norm = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers") or []]
         return cut[0].get("pattern", {}).get("Regex") == self.PIECES and norm == ["NFC", "Replace", "Lowercase"]
 
+    def _merged(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+
     def _encode(self, word: bytes) -> bytes:
+        if self.plain_rules:
+            # ASCII letters are one piece, with a mark after them two.
+            if word.isalpha():
+                low = word.lower()
+                return self._merged(low.decode()) if low == word else self._word(low)
+            if word[-1:] in self.MARKS and word[:-1].isalpha():
+                return self._word(word[:-1].lower()) + self._word(word[-1:])
         text = word.decode("utf-8", "replace")
         if not self.plain_rules or "<|" in text or not self.PLAIN.fullmatch(text):
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out = []
-        for piece in self.pieces.findall(text.lower()):
-            ids = self.by_piece.get(piece)
+        low = text.lower()
+        pieces = [low] if low.isalpha() else self.pieces.findall(low)
+        if len(pieces) == 1 and pieces[0] == text:
+            return self._merged(text)
+        return b"".join([self._word(p.encode()) for p in pieces])
+
+    def _word(self, word: bytes) -> bytes:
+        """The ids of a word, which goes to the new half of the memory."""
+        ids = self.by_word.get(word)
+        if ids is not None:
+            return ids
+        ids = self.old_words.get(word) or self._encode(word)
+        if len(word) <= 64:
+            if len(self.by_word) >= self.MOST:
+                self.old_words, self.by_word = self.by_word, {}
+            self.by_word[word] = ids
+        return ids
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """``_word`` of distinct words, some of them empty; lower-case ASCII ones that are new go straight to the merges."""
+        out = list(map(self.by_word.get, words))
+        old, tokenize, plain = self.old_words.get, self.model.tokenize, self.plain_rules
+        new = {}
+        for i, ids in enumerate(out):
             if ids is None:
-                mapped = "".join([self.letters[b] for b in piece.encode()])
-                ids = np.asarray([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-                if len(self.by_piece) >= self.MOST:
-                    self.by_piece.clear()
-                self.by_piece[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+                word = words[i]
+                ids = old(word)
+                if ids is None:
+                    if plain and word.isalpha() and word.islower():
+                        ids = array("I", [t.id for t in tokenize(word.decode())]).tobytes()
+                    else:
+                        ids = self._encode(word) if word else b""
+                if len(word) <= 64:
+                    new[word] = ids
+                out[i] = ids
+        if len(self.by_word) + len(new) > self.MOST:
+            self.old_words, self.by_word = self.by_word, {}
+        self.by_word.update(new)
+        return out
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian 32-bit integers."""
-        known, out = self.by_word, []
-        for word in text.split():
-            ids = known.get(word)
-            if ids is None:
-                ids = self._encode(word)
-                if len(word) <= 64:
-                    if len(known) >= self.MOST:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
+        words = text.split()
+        out = list(map(self.by_word.get, words))
+        if None in out:
+            out = [self._word(word) if ids is None else ids for word, ids in zip(words, out, strict=True)]
         return b"".join(out)
 
 
+    #: Bytes of text that ``many`` looks at in one go.
+    BLOCK = 8 << 20
+
+    def many(self, column: pa.Array) -> Iterator[bytes]:
+        """``ids`` of each text of a string column, null as empty; words are told apart once for each block of texts."""
+        sizes = column.cast(pa.binary()).fill_null(b"")
+        ends = np.cumsum(pc.binary_length(sizes).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, done = 0, 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(ends, done + self.BLOCK, side="right")))
+            if ends[end - 1] - done > self.BLOCK:
+                yield self.ids(sizes[at].as_py())
+            else:
+                yield from self._block(column.slice(at, end - at).fill_null(""))
+            at, done = end, int(ends[end - 1])
+
+    def _block(self, column: pa.Array) -> list[bytes]:
+        """Each distinct word is a stem, lower-cased where the file does so too, and a mark or nothing; each distinct stem is encoded."""
+        words = pc.ascii_split_whitespace(column)
+        coded = words.flatten().dictionary_encode()
+        stems, known = coded.dictionary, len(coded.dictionary)
+        marks = pa.array([""] * known)
+        if self.plain_rules:
+            bare = pc.replace_substring_regex(stems, r"^([A-Za-z]+)[.,;:!?]$", r"\1")
+            marked = pc.not_equal(pc.binary_length(bare), pc.binary_length(stems))
+            marks = pc.if_else(marked, pc.binary_slice(stems.cast(pa.binary()), -1), pa.scalar(b"", pa.binary()))
+            stems = pc.if_else(pc.match_substring(bare, "<|"), bare, pc.ascii_lower(bare))
+        parts = pa.concat_arrays([stems.cast(pa.binary()), marks.cast(pa.binary())]).dictionary_encode()
+        found = self._words(parts.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        # Two parts for each word of the block, in order.
+        place = parts.indices.to_numpy().reshape(2, known).T[coded.indices.to_numpy()].ravel()
+        begins, n = np.cumsum(sizes) - sizes, sizes[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        source = np.repeat(begins[place] - ends[:-1], n) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(found), dtype="<u4")[source].tobytes()
+        cuts = 4 * ends[2 * np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(), dtype=np.int64)])]
+        return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -220,8 +297,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, docs_per_fil
         def rows():
             for batch in batches:
                 files, doc_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for file, doc_id, text in zip(files, doc_ids, texts(batch), strict=True):
-                    yield file, doc_id, encode.ids(text) + end
+                for file, doc_id, ids in zip(files, doc_ids, encode.many(batch.column(2)), strict=True):
+                    yield file, doc_id, ids + end
 
         todo = rows()
         ahead = next(todo, None)

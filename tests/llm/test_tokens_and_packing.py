@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,7 +30,12 @@ def crc(ids):
 def test_words_encode_as_the_whole_text_does(text):
     full = Tokenizer.from_file(PATH) if not hasattr(test_words_encode_as_the_whole_text_does, "t") else test_words_encode_as_the_whole_text_does.t
     test_words_encode_as_the_whole_text_does.t = full
-    assert np.frombuffer(tokens.encoder(PATH).ids(text.encode()), dtype="<u4").tolist() == full.encode(text, add_special_tokens=False).ids
+    expected = full.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.encoder(PATH).ids(text.encode()), dtype="<u4").tolist() == expected
+    new = tokens.Encoder.__new__(tokens.Encoder)
+    new.__dict__ |= tokens.encoder(PATH).__dict__ | {"by_word": {}, "old_words": {}, "MOST": 3, "BLOCK": 30}
+    found = [np.frombuffer(x, dtype="<u4").tolist() for x in new.many(pa.array([text, None, "", text + " Abc, abc!", text]))]
+    assert found == [expected, [], [], full.encode(text + " Abc, abc!", add_special_tokens=False).ids, expected]
 
 
 def test_token_files(docs, texts, whole, odd, empty):
