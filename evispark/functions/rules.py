@@ -154,3 +154,16 @@ AI_MENTION = (
     "Agent(?=$|[\\s\\-_/（(]|开发|算法|工程|应用|框架|产品|系统|平台|智能体)|CV(?=$|[\\s\\-_/（(]|算法|模型|工程)|NLP(?=$|[\\s\\-_/（(]|算法|模型|工程))"
 )
 COMPANY_COPY, ROLE_COPY = "公司|企业|关于我们|行业新闻|欢迎加入", "职责|要求|专业|岗位|开发|研发|算法|模型|产品"
+
+#: The members under which saved JSON has totals, and jobs their titles, ids, links and texts.
+TOTAL_KEYS = ("total", "Total", "totalCount", "total_count", "totalRows", "totalSize", "count", "Count")
+JOB_TITLE_KEYS = ("jobTitle", "jobName", "positionName", "positionTitle", "JobAdName", "title", "name")
+JOB_ID_KEYS = ("jobId", "positionId", "JobAdId", "Id", "job_id", "id", "code")
+JOB_LINK_KEYS = ("jobUrl", "detailUrl", "url", "href")
+JOB_BODY_KEYS = ("description", "jobDescription", "requirements", "Duty", "Require", "responsibility", "claim")
+#: Members that only jobs have, and those of them that are names.
+JOB_ONLY_KEYS = ("jobId", "positionId", "JobAdId", "JobAdName", "jobTitle", "jobName", "positionName", "positionTitle")
+JOB_ONLY_NAMES = ("JobAdName", "jobTitle", "jobName", "positionName", "positionTitle")
+
+#: Texts of mapped fields that say nothing.
+LIST_PLACEHOLDERS = ("", "-", "--", "n/a", "null", "none", "tbd", "暂无", "待补充", "详见官网", "详见职位详情")
