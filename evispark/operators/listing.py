@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..session import materialise
 from . import pagination
 from .payloads import OBJECT, as_text, kind
 
@@ -121,7 +122,8 @@ def collect(payloads: DataFrame, configs: DataFrame, max_pages: int = 1000) -> t
     are lists or objects are JSON texts, missing and null ones null. Empty tables give empty results.
     """
     c = F.col
-    read = read_pages(payloads, configs)
+    # Bodies are parsed once: records and the proof both read what is stored.
+    read = materialise(read_pages(payloads, configs), "list-pages")
     each = read.select("source", "run", "page", "id_path", "fields", "company", "scope", F.posexplode("items").alias("raw_index", "_item"))
     identity = F.sha2(F.when(c("id_path").isNotNull(), canonical(walk(c("_item"), c("id_path")))).otherwise(canonical(c("_item"))), 256)
     each = each.withColumn("item", identity)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,11 +60,6 @@ def objects(bodies: DataFrame, keep: list[str], body: str = "body") -> DataFrame
     return out
 
 
-def _first(value: Column, names: tuple[str, ...], fits) -> Column:
-    """The first of some members that fits, as VARIANT."""
-    return F.coalesce(*(F.when(fits(member(value, n)), member(value, n)) for n in names))
-
-
 def reported_totals(found: DataFrame, key: list[str]) -> DataFrame:
     """The largest total that objects (see ``objects``) of a key report under any alias; keys without one are left out."""
     text = lambda n: F.try_variant_get(F.col("value"), f"$.{n}", "decimal(38,0)")
@@ -76,40 +73,40 @@ def json_jobs(found: DataFrame, base: str = "base") -> DataFrame:
     A job has a title and an id or link, and a member that only jobs have. Its own link is resolved; on one platform that
     gives none it is made from the id. Members that hold no text come into ``text`` as JSON.
     """
-    v, c = F.col("value"), F.col
-    is_text = lambda x: kind(x) == "STRING"
-    named = lambda names: F.coalesce(*(F.when(is_text(member(v, n)), F.lit(n)) for n in names))
-    has = lambda names: F.exists(F.array(*(member(v, n).isNotNull() for n in names)), lambda x: x)
-    says = lambda names: F.exists(F.array(*(truthy(member(v, n)) for n in names)), lambda x: x)
-    identifier = _first(v, rules.JOB_ID_KEYS, lambda x: is_text(x) | _is_whole(x) | (kind(x) == "BOOLEAN"))
-    told = F.when(kind(identifier) == "BOOLEAN", F.initcap(as_text(identifier))).otherwise(as_text(identifier))
-    body = F.concat_ws("\n", *(F.when(truthy(member(v, n)), as_text(member(v, n))) for n in rules.JOB_BODY_KEYS))
-    rows = found.withColumns(
-        {
-            "_by": named(rules.JOB_TITLE_KEYS),
-            "title": as_text(_first(v, rules.JOB_TITLE_KEYS, is_text)),
-            "_id": told,
-            "_link": F.coalesce(as_text(_first(v, rules.JOB_LINK_KEYS, is_text)), F.lit("")),
-            "_plain_job": says(("responsibility", "claim")),
-            "_special": has(rules.JOB_ONLY_KEYS),
-            "_bodied": has(rules.JOB_BODY_KEYS),
-            "_category": F.coalesce(as_text(member(v, "Category")), F.lit("")),
-            "text": body,
-        }
-    )
-    section = F.when(F.contains("_category", F.lit("校园")), "campus").when(F.contains("_category", F.lit("实习")), "intern").otherwise("social")
-    made = F.concat(F.lit("/"), section, F.lit("/jobdetails?jobId="), c("_id"))
-    link = F.when((c("_link") == "") & c("_id").isNotNull() & F.endswith(U.host(c(base)), F.lit("zhiye.com")), made).otherwise(c("_link"))
-    rows = rows.withColumn("_link", link).where(
-        (c("title") != "")
-        & (c("_id").isNotNull() | (c("_link") != ""))
-        & (((c("_by") == "name") & c("_plain_job")) | c("_special") | ((c("_by") != "name") & c("_bodied")))
-    )
-    target = F.coalesce(U.absolute(c("_link"), c(base)), F.lit(""))
-    rows = rows.withColumn("url", target).withColumn("raw", F.to_json(v))
-    origin = U.split(c(base))["authority"]
-    job_id = F.substring(F.sha2(F.concat(origin, F.lit(":"), F.coalesce("_id", "url")), 256), 1, 24)
-    return rows.withColumn("id", job_id).drop("_by", "_id", "_link", "_plain_job", "_special", "_bodied", "_category", "value")
+    c = F.col
+    names = sorted({*rules.JOB_TITLE_KEYS, *rules.JOB_ID_KEYS, *rules.JOB_LINK_KEYS, *rules.JOB_BODY_KEYS, *rules.JOB_ONLY_KEYS, "Category"})
+    # All members that matter are looked up once; what follows reads them from there.
+    told = lambda x: F.struct(kind(x).alias("kind"), as_text(x).alias("text"), truthy(x).alias("says"), _is_whole(x).alias("whole"))
+    listed = F.array(*map(F.lit, names))
+    looked_up = F.map_from_arrays(listed, F.transform(listed, lambda n: U.let(F.try_variant_get(c("value"), F.concat(F.lit("$."), n), "variant"), told)))
+    any_of = lambda among, holds: functools.reduce(lambda x, y: x | y, (F.coalesce(holds(n), F.lit(False)) for n in among))
+
+    def job(members):
+        m = lambda n: F.element_at(members, F.lit(n))
+        text = lambda n: m(n)["text"]
+        says = lambda n: m(n)["says"]
+        has = lambda n: m(n)["kind"].isNotNull()
+        is_text = lambda n: m(n)["kind"] == "STRING"
+        is_id = lambda n: m(n)["kind"].isin("STRING", "BOOLEAN") | m(n)["whole"]
+        first = lambda among, fits, value: F.coalesce(*(F.when(fits(n), value(n)) for n in among))
+        by = first(rules.JOB_TITLE_KEYS, is_text, F.lit)
+        shown_id = first(rules.JOB_ID_KEYS, is_id, lambda n: F.when(m(n)["kind"] == "BOOLEAN", F.initcap(text(n))).otherwise(text(n)))
+        link = F.coalesce(first(rules.JOB_LINK_KEYS, is_text, text), F.lit(""))
+        named = (by == "name") & any_of(("responsibility", "claim"), says)
+        fits = named | any_of(rules.JOB_ONLY_KEYS, has) | ((by != "name") & any_of(rules.JOB_BODY_KEYS, has))
+        return F.struct(
+            first(rules.JOB_TITLE_KEYS, is_text, text).alias("title"), shown_id.alias("id"), link.alias("link"), F.coalesce(text("Category"), F.lit("")).alias("category"),
+            F.concat_ws("\n", *(F.when(says(n), text(n)) for n in rules.JOB_BODY_KEYS)).alias("text"), (fits & (shown_id.isNotNull() | (link != ""))).alias("fits"),
+        )
+
+    rows = found.withColumn("_job", U.let(looked_up, job)).where(F.col("_job.fits") & (F.col("_job.title") != ""))
+    section = F.when(F.contains("_job.category", F.lit("校园")), "campus").when(F.contains("_job.category", F.lit("实习")), "intern").otherwise("social")
+    made = F.concat(F.lit("/"), section, F.lit("/jobdetails?jobId="), c("_job.id"))
+    link = F.when((c("_job.link") == "") & c("_job.id").isNotNull() & F.endswith(U.host(c(base)), F.lit("zhiye.com")), made).otherwise(c("_job.link"))
+    target = F.coalesce(U.absolute(link, c(base)), F.lit(""))
+    rows = rows.select(*[n for n in found.columns if n != "value"], c("_job.title").alias("title"), target.alias("url"), c("_job.text").alias("text"), F.to_json("value").alias("raw"), c("_job.id").alias("_id"))
+    job_id = F.substring(F.sha2(F.concat(U.split(c(base))["authority"], F.lit(":"), F.coalesce("_id", "url")), 256), 1, 24)
+    return rows.withColumn("id", job_id).drop("_id")
 
 
 def stale_job(title: Column, raw: Column) -> Column:

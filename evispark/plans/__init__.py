@@ -6,10 +6,10 @@ for companies, events for the event log, documents for evidence texts and pages
 
 from __future__ import annotations
 
-from . import acceptance, audit, documents, events, export, joins, library, queue, results, rollups, routing, text
+from . import acceptance, audit, documents, events, export, joins, library, queue, results, rollups, routing, structured, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (queue, rollups, joins, text, documents, events, results, acceptance, audit, export, routing, library):
+for _module in (queue, rollups, joins, text, documents, events, results, acceptance, audit, export, routing, library, structured):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

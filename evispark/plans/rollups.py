@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, pagination, rollups
+from ..operators import checks, rollups
 from .base import Registry
 
 R = Registry()
@@ -66,24 +66,6 @@ def q_status_by_priority(t):
     return rollups.zero_filled(t.orders.selectExpr("cast(substr(o_orderpriority, 1, 1) AS int) AS priority"), "priority", [1, 2, 3, 4, 5, 6])
 
 
-@R.add(
-    """WITH items AS (SELECT l_suppkey AS run, l_orderkey // 500 AS page, l_partkey AS item FROM lineitem),
-    pages AS (SELECT run, page, max(page) OVER (PARTITION BY run) = page AS last, max(page) OVER (PARTITION BY run) AS total_pages, total, n FROM (
-      SELECT run, page, count(*) AS n, sum(count(*)) OVER (PARTITION BY run) + CASE WHEN run % 3 = 0 THEN 1 ELSE 0 END AS total FROM items GROUP BY 1, 2)),
-    r AS (SELECT run, count(*) AS pages_seen, sum(n)::BIGINT AS collected, max(total)::BIGINT AS total FROM pages GROUP BY 1),
-    d AS (SELECT run, count(DISTINCT item) AS u FROM items GROUP BY 1)
-    SELECT run, pages_seen, collected, total, 'last_page' AS terminal, concat_ws(',', CASE WHEN u < collected THEN 'duplicate_item_ids' END,
-      CASE WHEN collected < total THEN 'total_count_mismatch' END) AS reasons, u = collected AND collected = total AS list_complete FROM r JOIN d USING (run)"""
-)
-def q_pagination_proof(t):
-    """Whether each list's pages prove that it is complete."""
-    items = t.lineitem.selectExpr("l_suppkey AS run", "l_orderkey div 500 AS page", "l_partkey AS item")
-    pages = items.groupBy("run", "page").agg(F.count("*").alias("n"))
-    ends = pages.groupBy("run").agg(F.max("page").alias("total_pages"), (F.sum("n") + F.when(F.col("run") % 3 == 0, 1).otherwise(0)).alias("total"))
-    told = pages.join(ends, "run").select("run", "page", "total", "total_pages", (F.col("page") == F.col("total_pages")).alias("last"))
-    return pagination.proof(items, told, max_pages=1_000_000)
-
-
 @R.add(
     """SELECT 'orphan_tasks' AS "check", count(*) AS violations, count(*) = 0 AS passed FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
     UNION ALL SELECT 'tasks_without_children', count(*), count(*) = 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)

@@ -131,15 +131,6 @@ def q_canonical_url(t):
     return t.pages.select("page_id", U.canonical(F.col("url")).alias("canonical"))
 
 
-@R.add(
-    f"""SELECT page_id, lower(regexp_extract(url, '^(https?)', 1)) || '://' || {_HOST} || regexp_replace(CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END, '/+', '/', 'g')
-    || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS canonical FROM (SELECT *, list_filter({_QUERY}, lambda p: NOT regexp_matches(lower(p), '^(spm|from|ref|source)(=|$)')) AS q FROM pages)"""
-)
-def q_canonical_static_url(t):
-    """Canonical URLs of static topics: parameters sorted, no fragment."""
-    return t.pages.select("page_id", U.canonical_static(F.col("url")).alias("canonical"))
-
-
 @R.add(f"SELECT page_id, 'exact:' || regexp_replace({_HOST}, '^www\\.', '') || lower(rtrim({_PATH}, '/')) || ',host:' || regexp_replace({_HOST}, '^www\\.', '') AS keys FROM pages")
 def q_url_keys(t):
     """The keys of URLs."""
