@@ -27,6 +27,11 @@ from .tokens import texts
 #: Features are hashed to this many places; a sample has at most so many toxic rows, and twice as many clean ones.
 SPACE, PER_CLASS = 1 << 19, 2500
 GRADES = 4
+#: Clean rows of a sample for each toxic one at most: many of them tell apart what only looks toxic.
+CLEAN_SHARE = 8
+#: A row is toxic from the chance on at which RECALL of the sample's toxic rows are found by models that haven't seen them, but from
+#: one half on at the latest, and never so low that more than MOST_FLAGGED of its clean rows would be taken for toxic.
+FOLDS, RECALL, MOST_FLAGGED = 3, 0.94, 0.015
 #: Labelled rows that must have a feature for it to count.
 LEAST = 10
 #: The columns that scoring adds.
@@ -73,6 +78,8 @@ _WORDS = Words()
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    #: The chance of a grade above 0 from which on a row counts as toxic.
+    cut: float = 0.5
 
     def chances(self, scores: np.ndarray) -> np.ndarray:
         """P(grade = k) in column k."""
@@ -140,18 +147,45 @@ def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps:
     return Model(every, np.cumsum([gaps[0], *np.exp(gaps[1:])]))
 
 
+def toxic_cut(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> float:
+    """The chance from which on a row counts as toxic, told by rows that a model hasn't seen: each fold is scored by a model of the others."""
+    n, toxic = len(grades), grades > 0
+    if toxic.sum() < 2 * FOLDS or (~toxic).sum() < 2 * FOLDS:
+        return 0.5
+    starts, fold, chances = _starts(owner, n), np.empty(n, dtype=np.int64), np.empty(n)
+    for which in (toxic, ~toxic):  # rows are in order of a hash
+        fold[which] = np.arange(which.sum()) % FOLDS
+    for f in range(FOLDS):
+        own = fold != f
+        number = np.cumsum(own) - 1
+        mine = own[owner]
+        model = fit_ordinal(flat[mine], number[owner[mine]], grades[own])
+        sums = np.zeros(n)
+        for lo, hi in _blocks(starts):
+            sums[lo:hi] = np.bincount(owner[starts[lo] : starts[hi]] - lo, weights=model.weights[flat[starts[lo] : starts[hi]]], minlength=hi - lo)
+        chances[~own] = 1 - model.chances(sums[~own])[:, 0]
+    return float(min(0.5, max(np.quantile(chances[toxic], 1 - RECALL), np.quantile(chances[~toxic], 1 - MOST_FLAGGED))))
+
+
 def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """row, text and toxic of at most ``per_class`` toxic and twice as many clean labelled documents, chosen by a hash of the id.
+    """row, text and toxic of at most ``per_class`` toxic and twice as many clean labelled documents, chosen by a hash of the id; stored.
 
-    There are three times as many clean rows as toxic ones at most, so that few toxic rows aren't drowned. ``row`` is a hash of id and text. Labels without an id or a verdict don't count.
+    There are CLEAN_SHARE times as many clean rows as toxic ones at most. ``row`` is a hash of id and text. Labels without an id or a verdict don't count;
+    where an id stands on several documents, or is labelled several times, the bound holds for all its rows together.
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("_toxic"))
     order = F.xxhash64("_id", F.lit(3))
     most = min(per_class, known.where("_toxic").count())
-    chosen = known.where("_toxic").orderBy(order, "_id").limit(per_class).union(known.where("not _toxic").orderBy(order, "_id").limit(min(2 * per_class, 3 * max(1, most))))
-    # Both sides of the union are bounded, so these are at most three times per_class narrow rows.
+    chosen = known.where("_toxic").orderBy(order, "_id").limit(per_class).union(known.where("not _toxic").orderBy(order, "_id").limit(min(2 * per_class, CLEAN_SHARE * max(1, most))))
+    # Both sides of the union are bounded, so these are at most three times per_class narrow rows. An id may stand on many documents, so
+    # the bound is held again by the rows themselves.
     found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return found.select(F.xxhash64("_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.col("_toxic").alias("toxic"))
+    rows = found.select(F.xxhash64("_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.col("_toxic").alias("toxic"))
+    few = materialise(rows, "toxic-rows")
+    counts = {r["toxic"]: r["n"] for r in few.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if counts.get(True, 0) <= per_class and counts.get(False, 0) <= 2 * per_class:
+        return few
+    return materialise(few.where("toxic").orderBy("row").limit(per_class).unionByName(few.where("not toxic").orderBy("row").limit(2 * per_class)), "toxic-sample")
 
 
 def marking_words(sample: DataFrame, least: int = 5, times: int = 20) -> DataFrame:
@@ -178,7 +212,7 @@ def severity_grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit the model on a bounded sample. Without labelled rows every text gets grade 0."""
-    sample = materialise(sample_labelled(docs, labels, per_class), "toxic-sample")
+    sample = sample_labelled(docs, labels, per_class)
     graded = sample.join(marking_words(sample), "row", "left").select("row", "toxic", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +230,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     ends = np.frombuffer(features.buffers()[1], dtype=np.int32, count=len(features) + 1, offset=4 * features.offset) // 4
     flat = np.frombuffer(features.buffers()[2], dtype=np.int32)[ends[0] : ends[-1]]
     owner = np.repeat(np.arange(len(features), dtype=np.int32), np.diff(ends))
-    return fit_ordinal(flat, owner, severity_grades(hits, toxic))
+    grades = severity_grades(hits, toxic)
+    model = fit_ordinal(flat, owner, grades)
+    model.cut = toxic_cut(flat, owner, grades)
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:
     """``keep`` and severity, p_toxic, grade and toxic for each row; whole texts are read.
 
-    ``severity`` is the expected grade, ``grade`` the likeliest, and ``toxic`` holds where a grade above 0 is likelier
-    than not. Null and empty texts have no features and so the chances of a text without any known word. Equal rows have equal
+    ``severity`` is the expected grade, ``grade`` the likeliest, and ``toxic`` holds where the chance of a grade above 0
+    reaches the model's cut (see ``toxic_cut``). Null and empty texts have no features and so the chances of a text without any known word. Equal rows have equal
     results, and an empty table has an empty one. The new columns take the place of kept ones with their names. A very
     long text takes memory for its own words only.
     """
@@ -217,7 +254,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
             scores = np.array([float(m.weights[_WORDS.features(t)].sum()) for t in texts(batch, "_text")], dtype=float)
             chances = m.chances(scores)
             p = 1 - chances[:, 0]
-            more = [pa.array(chances @ np.arange(GRADES)), pa.array(p), pa.array(chances.argmax(axis=1).astype(np.int32)), pa.array(p >= 0.5)]
+            more = [pa.array(chances @ np.arange(GRADES)), pa.array(p), pa.array(chances.argmax(axis=1).astype(np.int32)), pa.array(p >= m.cut)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*keep, *NEW])
 
     kept = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in keep)

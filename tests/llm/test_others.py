@@ -279,13 +279,13 @@ def test_ordinal_fit_equals_a_dense_one():
 
 
 def test_grades_of_the_table_on_held_out_rows(spark):
-    """Four in five toxic rows of a fold that a fit on some 400 toxic rows did not see are found (measured: 83 of 96 with two clean rows for each toxic one), and one in fifty clean ones flagged at most."""
+    """Nine in ten toxic rows of a fold that a fit on some 350 toxic rows did not see are found, and one in fifty clean ones flagged at most."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     held = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(5)) == 0
     model = toxicity.fit(docs, labels.where(~held))
     told = toxicity.score(docs, model).drop("p_toxic").withColumnRenamed("toxic", "found").join(labels.where(held), "doc_id").collect()
     bad, clean = [r["found"] for r in told if r["toxic"]], [r["found"] for r in told if not r["toxic"]]
-    assert sum(bad) >= 0.8 * len(bad) and sum(clean) <= 0.02 * len(clean) and len(bad) > 50
+    assert sum(bad) >= 0.9 * len(bad) and sum(clean) <= 0.02 * len(clean) and len(bad) > 50
 
 
 def test_scores_equal_brute_force(docs, texts, spark, data):
@@ -295,7 +295,14 @@ def test_scores_equal_brute_force(docs, texts, spark, data):
         s = model.weights[toxicity._WORDS.features(texts[r["doc_id"]].encode())].sum()
         upto = [0, *(1 / (1 + np.exp(s - t)) for t in model.thresholds), 1]
         p = np.diff(upto)
-        assert abs(r["severity"] - (p * np.arange(4)).sum()) < 1e-5 and abs(r["p_toxic"] - 1 + p[0]) < 1e-5 and r["toxic"] == (r["p_toxic"] >= 0.5)
+        assert abs(r["severity"] - (p * np.arange(4)).sum()) < 1e-5 and abs(r["p_toxic"] - 1 + p[0]) < 1e-5 and r["toxic"] == (r["p_toxic"] >= model.cut)
+
+
+def test_an_id_on_many_documents_stays_within_the_bound(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (2, 0)], "doc_id long, toxic int")
+    found = toxicity.sample_labelled(docs, labels, per_class=20).groupBy("toxic").count().collect()
+    assert {r["toxic"]: r["count"] for r in found} == {True: 20, False: 40}
 
 
 def test_marking_words_equal_brute_force(spark):
