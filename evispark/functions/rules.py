@@ -167,3 +167,6 @@ JOB_ONLY_NAMES = ("JobAdName", "jobTitle", "jobName", "positionName", "positionT
 
 #: Texts of mapped fields that say nothing.
 LIST_PLACEHOLDERS = ("", "-", "--", "n/a", "null", "none", "tbd", "暂无", "待补充", "详见官网", "详见职位详情")
+
+#: Fixed value: a line that names a role.
+ROLE_LINE = r"^.{0,45}(?:实习生|工程师|研究员|科学家|产品经理)\s*$"

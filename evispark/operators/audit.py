@@ -96,7 +96,10 @@ def unmatched(items: DataFrame, master: DataFrame, key: list[str]) -> DataFrame:
 
 
 def with_audit(master: DataFrame, audit: DataFrame, company: str, row: str, rows: str) -> DataFrame:
-    """Master rows with the audit of their company that names their row, or no rows at all (``rows`` is an array)."""
+    """Master rows with the audit of their company that names their row, or no rows at all (``rows`` is an array).
+
+    ``company`` has to tell companies apart: a company with many rows and many audits without rows has all pairs of them.
+    """
     fits = (F.size(rows) == 0) | F.array_contains(rows, F.col(row))
     a = audit.withColumnRenamed(company, "_company")
     return master.join(a, (master[company] == a["_company"]) & fits).drop("_company")

@@ -85,17 +85,3 @@ def segments(lines: DataFrame, group: str, order: str, anchor: Column, text: str
     numbered = lines.withColumn("segment", F.sum(F.when(anchor, 1).otherwise(0)).over(by))
     packed = numbered.groupBy(group, "segment").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_l"), F.count("*").alias("lines"))
     return packed.select(group, "segment", "lines", F.array_join(F.transform("_l", lambda x: x[text]), "\n").alias("text"))
-
-
-def ocr_survivors(lines: DataFrame) -> DataFrame:
-    """Recognised lines (image, slice_index, line_index, text, confidence, left, top, width, height) without those that another
-    slice of the same image shows again: same text, overlap of half the smaller box or more, lower confidence (or later)."""
-    a, b = lines.alias("a"), lines.alias("b")
-    c = F.col
-    width = F.least(c("a.left") + c("a.width"), c("b.left") + c("b.width")) - F.greatest(c("a.left"), c("b.left"))
-    height = F.least(c("a.top") + c("a.height"), c("b.top") + c("b.height")) - F.greatest(c("a.top"), c("b.top"))
-    smaller = F.least(c("a.width") * c("a.height"), c("b.width") * c("b.height"))
-    overlap = (width > 0) & (height > 0) & (2 * width * height >= smaller)
-    rank = lambda s: F.struct(-F.coalesce(c(f"{s}.confidence"), F.lit(0.0)), c(f"{s}.slice_index"), c(f"{s}.line_index"))
-    same = (c("a.image") == c("b.image")) & (c("a.text") == c("b.text")) & (c("a.slice_index") != c("b.slice_index"))
-    return a.join(b, same & overlap & (rank("b") < rank("a")), "left_anti").select("a.*")

@@ -201,9 +201,10 @@ def searched(df: DataFrame, needle: str) -> DataFrame:
 
 
 def natural_order(column: str, descending: bool = False) -> list[Column]:
-    """Sort keys of a column of texts: numbers by value first, then other texts by their letters and the numbers in them."""
+    """Sort keys of a column of texts: numbers by value first, then other texts by their letters and the numbers in them, of any length."""
     number = F.expr(f"try_cast(trim(`{column}`) AS double)")
-    parts = F.transform(F.regexp_extract_all(F.lower(F.col(column)), F.lit("\\d+|\\D+"), F.lit(0)), lambda x: F.when(x.rlike("^\\d"), F.lpad(x, 20, "0")).otherwise(x))
+    bare = lambda x: F.regexp_replace(x, "^0+(?=\\d)", "")
+    parts = F.transform(F.regexp_extract_all(F.lower(F.col(column)), F.lit("\\d+|\\D+"), F.lit(0)), lambda x: F.when(x.rlike("^\\d"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 10, "0"), bare(x))).otherwise(x))
     keys = [number.isNull(), number, F.array_join(parts, "")]
     return [k.desc() if descending else k.asc() for k in keys]
 

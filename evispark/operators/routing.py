@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.rules import choose
+from ..session import materialise
 
 #: Hosts that have rules of their own, and names of platforms by the end of their hosts.
 RESERVED = ("51job.com", "jobs.feishu.cn", "zhiye.com", "hotjob.cn", "wjx.cn", "wjx.top")
@@ -217,11 +218,22 @@ def run_plan(asked: DataFrame, done: DataFrame, stopped: DataFrame, key: str, or
     return joined.join(first, key, "left").withColumn("route", route).drop("_done", "_stopped", "_run")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add each row's place, from 1, in an order of all rows: rows are dealt to sorted ranges, stored, numbered within them, and
+    the sizes of the ranges before are added. Rows that are alike in ``order`` share a range, so ``order`` should tell rows apart."""
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    # A row for each range.
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return within.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_n")).drop("_range", "_before", "_n")
+
+
 def next_positions(rows: DataFrame, taken: DataFrame, position: str, order: list[str]) -> DataFrame:
-    """New rows with positions that follow those taken, in order. A pool's new rows are few; they are numbered together."""
+    """New rows with positions that follow those taken, in order."""
     last = taken.agg(F.coalesce(F.max(position), F.lit(0)).alias("_last"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    return numbered.join(F.broadcast(last)).withColumn(position, F.col("_last") + F.col("_n")).drop("_last", "_n")
+    return numbered(rows, order, "_place").join(F.broadcast(last)).withColumn(position, F.col("_last") + F.col("_place")).drop("_last", "_place")
 
 
 def company_order(priority: str, company: str) -> list[Column]:
@@ -234,18 +246,23 @@ def shortlist_order(bucket: str, direct: str, score: str, tie: str) -> list[Colu
     return [F.startswith(F.col(bucket), F.lit("A-")).desc(), (F.col(direct) == "direct").desc(), F.col(score).desc(), F.col(tie).asc()]
 
 
-def contained_names(titles: DataFrame, names: DataFrame, key: str, title: str, name: str, order: str, width: int = 2) -> DataFrame:
-    """Titles with the first name, by ``order``, that they contain, whatever the script.
+def contained_names(names: DataFrame, titles: DataFrame, name: str, title: str, order: str, width: int = 2) -> DataFrame:
+    """Each row of ``names`` with ``contained_in``, the first title by ``order`` that contains its name, in any script; null where none does.
 
-    Names are looked up by their first ``width`` characters among those of each place of a title, by an equi join, and then
-    compared as a whole; shorter names by all of theirs. A name that is a single frequent beginning costs in proportion to its hits.
+    A name is looked up by the one of its pieces of ``width`` characters that the fewest titles have, shorter ones by all of their
+    characters, and then compared as a whole: two names that begin alike meet different titles. A name with a piece that no title has
+    isn't looked up at all. Blank and null names are in no title. Names may be repeated; order ties go to the smaller title.
     """
-    begins = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda at: F.substr(c, at, F.lit(n))))
-    grams = titles.where(F.length(title) > 0).select(key, title, F.explode(F.array_distinct(F.flatten(F.array(*(begins(F.col(title), n) for n in range(1, width + 1)))))).alias("_gram"))
-    known = names.where(F.length(name) > 0).select(F.col(name).alias("_name"), F.col(order).alias("_order"), F.substring(F.col(name), 1, width).alias("_gram"))
-    hits = grams.join(known, "_gram").where(F.contains(F.col(title), F.col("_name")))
-    best = hits.groupBy(key).agg(F.min_by("_name", F.struct("_order", "_name")).alias("contained"))
-    return titles.join(best, key, "left")
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - n + 1, F.lit(1))), lambda at: F.substr(c, at, F.lit(n))))
+    told = titles.where(F.char_length(title) > 0).select(F.col(title).alias("_title"), F.col(order).alias("_order"))
+    grams = told.select("_title", "_order", F.explode(F.array_distinct(F.flatten(F.array(*(pieces(F.col("_title"), n) for n in range(1, width + 1)))))).alias("_gram"))
+    counts = grams.groupBy("_gram").agg(F.count("*").alias("_titles"))
+    wanted = names.where(F.char_length(name) > 0).select(F.col(name).alias("_name")).distinct()
+    own = wanted.select("_name", F.explode(pieces(F.col("_name"), width)).alias("_gram")).join(counts, "_gram", "left")
+    rarest = own.groupBy("_name").agg(F.min(F.struct(F.coalesce("_titles", F.lit(0)).alias("n"), "_gram")).alias("_r")).where("_r.n > 0").select("_name", F.col("_r._gram").alias("_gram"))
+    hits = grams.join(rarest, "_gram").where(F.contains("_title", F.col("_name")))
+    best = hits.groupBy("_name").agg(F.min_by("_title", F.struct("_order", "_title")).alias("contained_in"))
+    return names.join(best, names[name] == best["_name"], "left").drop("_name")
 
 
 def source_fidelity(source: DataFrame, output: DataFrame, key: str, fields: list[str], garbled) -> DataFrame:

@@ -108,15 +108,6 @@ def q_new_jobs(t):
     return A.new_jobs(each.where("p_retailprice > 1000"), each.where("p_retailprice <= 950"), "at").select("at", "jd_id")
 
 
-@R.add("""SELECT c_custkey, o_orderkey FROM customer JOIN (SELECT o_orderkey, o_custkey % 25 AS nation, o_orderpriority AS p, o_custkey FROM orders) ON c_nationkey = nation AND (left(p, 1) IN ('1', '2') OR c_custkey = o_custkey)
-    WHERE o_orderkey < 3000000""")
-def q_audit_rows(t):
-    """Master rows with audits of their company that name the row, or none in particular."""
-    rows = F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), F.array().cast("array<bigint>")).otherwise(F.array("o_custkey"))
-    audit = t.orders.select(F.col("o_orderkey"), (F.col("o_custkey") % 25).cast("int").alias("c_nationkey"), rows.alias("rows"))
-    return A.with_audit(t.customer.select("c_custkey", "c_nationkey"), audit, "c_nationkey", "c_custkey", "rows").select("c_custkey", "o_orderkey")
-
-
 @R.add("""SELECT o_orderkey AS task, CASE WHEN o_orderkey % 10 = 1 THEN 'count' ELSE 'slice' END AS violation FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
     WHERE o_orderkey % 10 = 1 OR (o_orderkey % 10 = 2 AND n > 1)""")
 def q_delta_boundary(t):

@@ -152,21 +152,6 @@ def q_combined_text(t):
     return t.documents.select("doc_id", F.md5(documents.combined_text(F.coalesce("text", F.lit("")), lines)).alias("digest"))
 
 
-@R.add("""SELECT l_orderkey AS image, l_linenumber AS slice_index, n - 1 AS line_index FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) a WHERE NOT EXISTS (
-    SELECT 1 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) b WHERE a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND a.l_linenumber <> b.l_linenumber
-      AND abs(a.l_tax - b.l_tax) * 1000 < 51 AND (-b.l_discount, b.l_linenumber, b.n) < (-a.l_discount, a.l_linenumber, a.n))""")
-def q_ocr_survivors(t):
-    """Recognised lines without those that another slice shows again; boxes are 100 wide, shifted by the tax."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")) - 1
-    lines = t.lineitem.select(
-        F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("slice_index"), n.alias("line_index"), F.col("l_returnflag").alias("text"), F.col("l_discount").alias("confidence"),
-        F.round(F.col("l_tax") * 1000).cast("long").alias("left"), F.lit(0).cast("long").alias("top"), F.lit(100).cast("long").alias("width"), F.lit(10).cast("long").alias("height"),
-    )
-    return documents.ocr_survivors(lines).select("image", "slice_index", F.col("line_index").cast("long"))
-
-
 @R.add(
     """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN 1 + c_custkey % 3 ELSE 0 END AS n, c_custkey % 5 AS l, ['ok', 'partial', 'error'][(c_custkey % 3 + 1)::INT] AS st FROM customer), x AS (SELECT *, n > 0 AS app, st = 'error' AS err FROM c),
     j AS (SELECT p_partkey % 5 AS l, 1 + p_size % 4 AS p FROM part), lv AS (SELECT unnest(['limited_source_ai_mention', 'csv_declared', 'page_text', 'structured_job', 'audit_confirmed']) AS v, unnest([0, 1, 2, 3, 4]) AS l)

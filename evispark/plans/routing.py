@@ -160,13 +160,18 @@ def q_listings(t):
     )
 
 
-@R.add("""SELECT page_id, (SELECT arg_min(p_name, p_partkey) FROM (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1) WHERE contains(title, p_name)) AS contained FROM (SELECT page_id, '前缀' || CASE WHEN page_id % 2 = 0 THEN (SELECT p_name FROM part WHERE p_partkey = page_id % 100) ELSE 'x' END || '招聘' AS title, page_id AS i FROM pages)""")
+@R.add("""WITH t AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages), n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN substr(p_name, 3, 3) ELSE (SELECT substr(any_value(title), 1 + p_partkey % 5, 2 + p_partkey % 3) FROM t WHERE page_id = p_partkey % 50) END AS name FROM part)
+    SELECT p_partkey, name, (SELECT arg_min(title, (page_id, title)) FROM t WHERE title <> '' AND contains(title, name) AND name <> '') AS contained_in FROM n""")
 def q_contained_names(t):
-    """The first name that a title contains, in any script."""
-    names = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
-    of = t.part.select(F.col("p_partkey").alias("_k"), F.col("p_name").alias("_n"))
-    titles = t.pages.select("page_id", (F.col("page_id") % 100).alias("_k")).join(of, "_k").select("page_id", F.concat(F.lit("前缀"), F.when(F.col("page_id") % 2 == 0, F.col("_n")).otherwise("x"), F.lit("招聘")).alias("title"))
-    return X.contained_names(titles, names, "page_id", "title", "p_name", "p_partkey").select("page_id", "contained")
+    """The first page title that contains each name; names are pieces of parts' names and of titles."""
+    title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
+    titles = t.pages.select("page_id", title.alias("title"))
+    own = titles.where("page_id < 50").select(F.col("page_id").alias("_k"), F.col("title").alias("_t"))
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.substring_index("p_name", " ", 1)).when(k % 3 == 1, F.substring("p_name", 3, 3)).otherwise(F.substr("_t", (1 + k % 5).cast("int"), (2 + k % 3).cast("int")))
+    names = t.part.join(own, k % 50 == F.col("_k"), "left").select("p_partkey", name.alias("name"))
+    return X.contained_names(names, titles, "name", "title", "page_id")
+
 
 
 @R.add("""SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 1 THEN 'missing' WHEN c_custkey % 50 = 2 THEN 'repeated' WHEN c_custkey % 50 = 3 THEN 'changed' ELSE 'garbled' END AS problem FROM customer WHERE c_custkey % 50 IN (1, 2, 3, 4)

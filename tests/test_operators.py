@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import text as T
 from evispark.functions import urls as U
-from evispark.operators import checks, dedup, documents, joins, pages, pagination, queue, rollups, targets
+from evispark.operators import checks, dedup, documents, joins, ocr, pages, pagination, queue, rollups, targets
 
 
 def one(spark, column, **values):
@@ -237,7 +237,8 @@ def test_ocr_lines_of_two_slices(spark):
         [("i", 0, 0, "a", 0.5, 0, 0, 10, 10), ("i", 1, 0, "a", 0.9, 1, 1, 10, 10), ("i", 1, 1, "a", 0.1, 50, 50, 5, 5), ("i", 0, 1, "a", 0.2, 0, 0, 10, 10)],
         "image string, slice_index int, line_index int, text string, confidence double, left int, top int, width int, height int",
     )
-    assert rows(documents.ocr_survivors(df).select("slice_index", "line_index")) == [(1, 0), (1, 1)]
+    # Of the first image's lines only those of another slice are compared, so the second of slice 0 stays.
+    assert rows(ocr.survivors(df).select("slice_index", "line_index")) == [(0, 1), (1, 0), (1, 1)]
 
 
 def test_checks(spark):
@@ -294,9 +295,29 @@ def test_registry_of_rules(spark):
 def test_names_in_titles_without_blanks(spark):
     from evispark.operators import routing
 
-    titles = spark.createDataFrame([(1, "上海某某科技招聘"), (2, "没有"), (3, ""), (4, None)], "k int, title string")
-    names = spark.createDataFrame([("某某科技", 2), ("科技", 1), ("海", 3)], "name string, o int")
-    assert rows(routing.contained_names(titles, names, "k", "title", "name", "o").select("k", "contained"), "k") == [(1, "科技"), (2, None), (3, None), (4, None)]
+    titles = spark.createDataFrame([(2, "上海某某科技招聘"), (1, "没有科技"), (3, ""), (4, None)], "o int, title string")
+    names = spark.createDataFrame([("某某科技",), ("科技",), ("海",), ("科",), ("别的",), ("",), (None,)], "name string")
+    assert rows(routing.contained_names(names, titles, "name", "title", "o").select("name", "contained_in").where("name <> ''"), "name") == [
+        ("别的", None), ("某某科技", "上海某某科技招聘"), ("海", "上海某某科技招聘"), ("科", "没有科技"), ("科技", "没有科技"),
+    ]
+
+
+def test_rows_numbered_across_ranges(spark):
+    from evispark.operators import routing
+
+    df = spark.range(0, 5000).selectExpr("(id * 7919) % 5000 AS k", "id % 13 AS v")
+    found = routing.numbered(df, ["v", "k"], "place").collect()
+    assert [(r["v"], r["k"]) for r in sorted(found, key=lambda r: r["place"])] == sorted((r["v"], r["k"]) for r in found)
+    assert sorted(r["place"] for r in found) == list(range(1, 5001))
+    assert routing.numbered(df.where("false"), ["v", "k"], "place").count() == 0
+
+
+def test_natural_order_of_long_numbers(spark):
+    from evispark.operators import export
+
+    values = ["a1", "a" + "9" * 25, "a1" + "0" * 25, "a007", "a10", "b", "5", "12"]
+    df = spark.createDataFrame([(v,) for v in values], "c string")
+    assert [r["c"] for r in df.orderBy(*export.natural_order("c")).collect()] == ["5", "12", "a1", "a007", "a10", "a" + "9" * 25, "a1" + "0" * 25, "b"]
 
 
 def test_artifact_references(spark):
