@@ -40,7 +40,7 @@ def q_ocr_survivors(t):
     p2 AS (SELECT a.doc_id, a.title, a.pos, o.title AS other FROM s a LEFT JOIN t o ON o.doc_id = a.doc_id AND o.title <> a.title),
     o AS (SELECT p2.doc_id, p2.title, p2.pos, min(b.pos) AS next FROM p2 ASOF LEFT JOIN s b ON b.doc_id = p2.doc_id AND b.title = p2.other AND b.pos > p2.pos GROUP BY 1, 2, 3),
     g AS (SELECT o.doc_id, o.title, o.pos, text[o.pos + 1:least(coalesce(next, len(text)), o.pos + 2200)] AS segment FROM o JOIN t ON t.doc_id = o.doc_id AND t.title = o.title),
-    m AS (SELECT *, len(list_filter(string_split(segment, chr(10)), lambda x: regexp_matches(x, '(?i)(^|[^A-Za-z])(AI|LLM|Agent|CV|NLP)($|[\\s_/（(-])'))) > 0 AS telling FROM g)
+    m AS (SELECT *, len(list_filter(string_split(segment, chr(10)), lambda x: regexp_matches(x, '(?i)(^|[^A-Za-z])(AI|LLM|Agent|CV|NLP)($|[\\s_/（(-])'))) > 0 OR regexp_matches(title, '(?i)^(AI|LLM|Agent|CV|NLP)$') AS telling FROM g)
     SELECT doc_id, title, md5(coalesce(arg_min(segment, pos) FILTER (telling), arg_min(segment, pos))) AS segment, count(*)::INT AS mentions FROM m GROUP BY 1, 2"""
 )
 def q_role_segments(t):
