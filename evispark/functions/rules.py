@@ -170,3 +170,9 @@ LIST_PLACEHOLDERS = ("", "-", "--", "n/a", "null", "none", "tbd", "暂无", "待
 
 #: Fixed value: a line that names a role.
 ROLE_LINE = r"^.{0,45}(?:实习生|工程师|研究员|科学家|产品经理)\s*$"
+
+#: The members under which static records have titles, links and fields, and names of scripts that hold them.
+STATIC_TITLES = ("attr2", "title", "jobName", "positionName", "name")
+STATIC_URLS = ("attr5", "url", "href", "link", "applyUrl", "detailUrl")
+STATIC_FIELDS = {"category": ("value", "category", "department"), "education": ("attr3", "education"), "location": ("attr4", "location", "city")}
+STATIC_SCRIPTS = ("data", "job", "position", "recruit", "main")
