@@ -27,6 +27,8 @@ from .tokens import texts
 #: Features are hashed to this many places; a sample has at most so many toxic rows, and twice as many clean ones.
 SPACE, PER_CLASS = 1 << 19, 2500
 GRADES = 4
+#: Rows that are scored and sent back in one go.
+SLICE = 1024
 #: Clean rows of a sample for each toxic one at most: many of them tell apart what only looks toxic.
 CLEAN_SHARE = 8
 #: A row is toxic from the chance on at which RECALL of the sample's toxic rows are found by models that haven't seen them, but from
@@ -250,15 +252,19 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            scores = np.array([float(m.weights[_WORDS.features(t)].sum()) for t in texts(batch, "_text")], dtype=float)
-            chances = m.chances(scores)
-            p = 1 - chances[:, 0]
-            more = [pa.array(chances @ np.arange(GRADES)), pa.array(p), pa.array(chances.argmax(axis=1).astype(np.int32)), pa.array(p >= m.cut)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*keep, *NEW])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                scores = np.array([float(m.weights[_WORDS.features(t)].sum()) for t in texts(batch, read)], dtype=float)
+                chances = m.chances(scores)
+                p = 1 - chances[:, 0]
+                more = [pa.array(chances @ np.arange(GRADES)), pa.array(p), pa.array(chances.argmax(axis=1).astype(np.int32)), pa.array(p >= m.cut)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*keep, *NEW])
 
     kept = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in keep)
-    asked = docs.select(*(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)), F.col("text").alias("_text"))
+    # A kept text crosses to Python once.
+    read = f"_keep{keep.index('text')}" if "text" in keep else "_text"
+    asked = docs.select(*(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)), *([] if "text" in keep else [F.col("text").alias("_text")]))
     return asked.mapInArrow(apply, f"{kept}, severity double, p_toxic double, grade int, toxic boolean")
 
 
