@@ -1,5 +1,6 @@
 """Licence scans by sentence rules: sentences are normalised and mapped to the identifiers of known licence sentences, and
-the sequence of identifiers is matched against ordered licence rules. DataFrame functions only, and no shuffle."""
+the sequence of identifiers is matched against ordered licence rules. Sentences are looked up as a whole; patterns stand for those that have
+slots for names, years or versions. DataFrame functions only, and no shuffle."""
 
 from __future__ import annotations
 
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-#: Where a sentence ends: after a stop, at a line without letters and digits, and after a line that ends in a colon.
-ENDS = r"(?<=[.!?])[\x20\x09-\x0D]++(?!(?i:nor\s+the\s+names?\b))|\n[^\p{L}\p{N}\n]*\n|(?<=:)[\x20\x09\x0D]*\n"
+#: Where a sentence ends: after a stop (but that of an abbreviation), at a line without letters and digits, and after a line that ends in a colon.
+ENDS = r"(?<=[.!?])(?<!\b(?i:v|ver|no|inc|ltd|e\.g|i\.e)\.)[\x20\x09-\x0D]++(?!(?i:nor\s+the\s+names?\b))|\n[^\p{L}\p{N}\n]*\n|(?<=:)[\x20\x09\x0D]*\n"
 #: Lines that are notices by themselves, and what starts a sentence where it starts a line.
 NOTICE = r"(?imd)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\p{N}\n]*(?:\(c\)|\u00a9|\d)|\(c\)|all[ ]rights[ ]reserved|spdx[ -]license[ -]identifier)[^\n]*$"
 STARTS = (
@@ -53,23 +54,82 @@ SENTENCES = [
     ("BSDEndorse", r".*neither the name of .* nor the names of its contributors .*"),
     ("BSDName", r".*\bbsd[ -][23][ -]clause\b.*"),
     ("MPL2Name", r".*\bmozilla public license,? (version|v)[ .]?2(\.0)?\b.*"),
-    ("CCByNcSa", r".*\b(cc by-nc-sa|attribution-noncommercial-sharealike) \d(\.\d)?\b.*"),
-    ("CCByNcNd", r".*\b(cc by-nc-nd|attribution-noncommercial-noderivatives) \d(\.\d)?\b.*"),
-    ("CCByNc", r".*\b(cc by-nc|attribution-noncommercial) \d(\.\d)?\b.*"),
-    ("CCBySa", r".*\b(cc by-sa|attribution-sharealike) \d(\.\d)?\b.*"),
-    ("CCBy", r".*\b(cc by|creative commons attribution) \d(\.\d)?\b.*"),
+    ("ISCName", r".*\bisc license\b.*"),
+    ("ZlibName", r".*\bzlib license\b.*"),
+    ("BoostName", r".*\bboost software license,?( -)? (version|v) ?1\.0\b.*"),
+    ("EPL2Name", r".*\beclipse public license,?( -)? ?(version|v)? ?2\.0\b.*"),
+    ("UnlicenseName", r".*\bthe unlicense\b.*"),
+    ("CCByNcSa", r".*\b(cc[ -]by-nc-sa|attribution-noncommercial-sharealike)[ -]\d(\.\d)?\b.*"),
+    ("CCByNcNd", r".*\b(cc[ -]by-nc-nd|attribution-noncommercial-noderivatives)[ -]\d(\.\d)?\b.*"),
+    ("CCByNc", r".*\b(cc[ -]by-nc|attribution-noncommercial)[ -]\d(\.\d)?\b.*"),
+    ("CCBySa", r".*\b(cc[ -]by-sa|attribution-sharealike)[ -]\d(\.\d)?\b.*"),
+    ("CCBy", r".*\b(cc[ -]by|creative commons attribution)[ -]\d(\.\d)?\b.*"),
     ("CC0", r".*\b(cc0|public domain dedication)\b.*"),
     ("AllRights", r"all rights reserved.*"),
     ("Copyright", r"(copyright|\(c\)) .*"),
 ]
 
+#: Known sentences as a whole, by identifier, as their licences have them. They are looked up by their normalised text.
+WHOLE = {
+    "ISCGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISCAsIs": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "ISCLoss": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "UnlicenseFree": "This is free and unencumbered software released into the public domain.",
+    "UnlicenseAnyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "ZlibAsIs": "This software is provided 'as-is', without any express or implied warranty.",
+    "ZlibGrant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "ZlibOrigin": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "BoostTitle": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "BoostGrant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "BoostName": "Distributed under the Boost Software License, Version 1.0.",
+    "EPL2Terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "EPL2Terms2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at http://www.eclipse.org/legal/epl-2.0.",
+    "MPL2Terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL2Copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MPL2Copy2": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "WTFPLTitle": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "CC0Dedicates": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+    "ArtisticName": "This library is free software; you can redistribute it and/or modify it under the Artistic License 2.0.",
+    "PSFName": "This is licensed under the Python Software Foundation License Version 2.",
+}
+
+#: The names by which sentences speak of licences, and what sets them apart from a grant: a negation or a comparison a
+#: few words before the name.
+NAMES = (
+    r"(?:mit license|apache license|apache[ -]2|gnu (?:affero |lesser )?general public license|gnu gpl|bsd[ -][23][ -]clause|mozilla public license|isc license|zlib license|boost software license"
+    r"|eclipse public license|unlicense|cc0|cc[ -]by|creative commons|attribution-)"
+)
+APART = (
+    rf"\b(?:not|never|neither|no longer|isn t|aren t|cannot|can t|unlike|instead of|rather than|other than|similar to|compared (?:to|with)|compatible with|inspired by|formerly|differs? from)\b(?: \S+){{0,8}}? {NAMES}"
+)
+
 #: Known sentences that are whole clauses, which lines may be wrapped in.
-CLAUSES = ["GPL3Free", "GPL2Free", "GPLFree", "GPLHope", "GPLSee", "GPLCopy", "MITGrant", "MITNotice", "MITAsIs", "BSDRedistribute", "BSDSource", "BSDBinary", "BSDEndorse"]
+CLAUSES = ["GPL3Free", "GPL2Free", "GPLFree", "GPLHope", "GPLSee", "GPLCopy", "MITGrant", "MITNotice", "MITAsIs", "BSDRedistribute", "BSDSource", "BSDBinary", "BSDEndorse", *WHOLE]
 #: The licence expression of an SPDX tag.
 TAG = r"(?i)spdx[ -]license[ -]identifier ([a-z0-9.+()-]+(?: (?:or|and|with) [a-z0-9.+()-]+)*)"
 
 #: Licence rules in the order in which they are tried; each is a sequence of sentence identifiers in a row.
 RULES = [
+    ("ISC", ["ISCGrant", "ISCAsIs", "ISCLoss"]),
+    ("ISC", ["ISCGrant", "ISCAsIs"]),
+    ("ISC", ["ISCGrant"]),
+    ("Unlicense", ["UnlicenseFree", "UnlicenseAnyone"]),
+    ("Unlicense", ["UnlicenseFree"]),
+    ("Zlib", ["ZlibAsIs", "ZlibGrant", "ZlibOrigin"]),
+    ("Zlib", ["ZlibGrant"]),
+    ("BSL-1.0", ["BoostTitle", "BoostGrant"]),
+    ("BSL-1.0", ["BoostTitle"]),
+    ("BSL-1.0", ["BoostName"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("EPL-2.0", ["EPL2Terms"]),
+    ("EPL-2.0", ["EPL2Terms2"]),
+    ("MPL-2.0", ["MPL2Terms", "MPL2Copy"]),
+    ("MPL-2.0", ["MPL2Terms", "MPL2Copy2"]),
+    ("MPL-2.0", ["MPL2Terms"]),
+    ("WTFPL", ["WTFPLTitle"]),
+    ("CC0-1.0", ["CC0Dedicates"]),
+    ("Artistic-2.0", ["ArtisticName"]),
+    ("PSF-2.0", ["PSFName"]),
     ("GPL-3.0-notice", ["GPL3Free", "GPLHope", "GPLSee", "GPLCopy"]),
     ("GPL-2.0-notice", ["GPL2Free", "GPLHope", "GPLSee", "GPLCopy"]),
     ("GPL-3.0-notice", ["GPLFree", "GPLHope", "GPLCopy"]),
@@ -89,6 +149,10 @@ RULES = [
     ("MIT", ["MITName"]),
     ("BSD", ["BSDName"]),
     ("MPL-2.0", ["MPL2Name"]),
+    ("ISC", ["ISCName"]),
+    ("Zlib", ["ZlibName"]),
+    ("EPL-2.0", ["EPL2Name"]),
+    ("Unlicense", ["UnlicenseName"]),
     ("CC-BY-NC-SA", ["CCByNcSa"]),
     ("CC-BY-NC-ND", ["CCByNcNd"]),
     ("CC-BY-NC", ["CCByNc"]),
@@ -110,12 +174,19 @@ def normalise(sentence: Column) -> Column:
     return plain(F.lower(sentence))
 
 
+def _known() -> Column:
+    """The known whole sentences by a hash of their normalised text."""
+    return F.create_map(*(x for name, text in WHOLE.items() for x in (F.xxhash64(normalise(F.lit(text))), F.lit(name))))
+
+
 def sentence_id(sentence: Column) -> Column:
-    """The identifier of a normalised sentence; ``Unknown`` for one that speaks of licences but isn't known, null for others."""
+    """The identifier of a normalised sentence: that of the known sentence that it is as a whole, else of the first pattern that it
+    fits; ``Unknown`` for one that speaks of licences but isn't known, or sets itself apart from one; null for others."""
     found = F.when(sentence.rlike(SPEAKS), "Unknown")
     for name, pattern in reversed(SENTENCES):
         found = F.when(sentence.rlike(f"^(?:{pattern})$"), name).otherwise(found)
-    return found
+    found = F.when(found.isNotNull() & sentence.rlike(APART), "Unknown").otherwise(found)
+    return F.coalesce(F.try_element_at(_known(), F.xxhash64(sentence)), found)
 
 
 def tagged(lines: Column) -> Column:
@@ -143,8 +214,10 @@ def scan(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
     """Rows of ``docs`` that have a licence sentence: ``keep``, the sentence ids in order, and the licences found.
 
     ``licences`` joins what the rules find, in order of place, by commas (repeats kept); it is empty where no rule
-    matches. ``n_unknown`` counts sentences that speak of licences and are in no rule that matched.
-    Null and empty texts have no sentences and so no row. Equal rows give equal rows. Whole texts are read.
+    matches. ``n_unknown`` counts sentences that speak of licences and are in no rule that matched; a sentence that names a licence
+    only to say that it doesn't hold is one of them. Null and empty texts have no sentences and so no row, nor has an
+    empty table. Repeated rows give repeated rows. Of rules that could match at one place the first in RULES does. Very
+    long texts are read as a whole, one at a time. Kept columns may have any name but those of the three results.
     """
     kept = {f"_keep{i}": name for i, name in enumerate(keep)}
     body = F.coalesce("text", F.lit(""))

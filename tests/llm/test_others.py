@@ -446,3 +446,31 @@ def test_rows_of_one_id_with_different_texts_stay(spark, data):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, df, data).collect())
     assert out == [(1, a), (2, b), (4, ""), (4, "")]
+
+
+OFFICIAL = {
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": 'ISC License\n\nCopyright (c) 2019 A. Nyone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,\nINDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM\nLOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR\nOTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR\nPERFORMANCE OF THIS SOFTWARE.',
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.",
+    "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not\nclaim that you wrote the original software.",
+    "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)",
+    "CC-BY-SA": "Text is available under CC-BY-SA-4.0 unless noted.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "MIT": "Released under the MIT License.",
+}
+MENTIONED = [
+    "Unlike code under the MIT License, this one may not be copied.", "This work is not licensed under the Apache License, Version 2.0.", "We chose BSD rather than the GNU General Public License version 3.",
+    "It is no longer available under the Mozilla Public License, version 2.0.", "The terms are similar to the ISC License.", "This is compatible with the Eclipse Public License 2.0.", "Never assume the zlib license here.",
+    "Terms other than the Boost Software License, Version 1.0 hold.", "It differs from the CC BY-SA 4.0 deed.", "This isn't under the MIT License.",
+]
+
+
+def test_official_notices_and_mere_mentions(spark):
+    rows = [(i, t) for i, t in enumerate([*OFFICIAL.values(), *MENTIONED])]
+    found = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(OFFICIAL):
+        assert name in found[i]["licences"].split(","), (name, found[i])
+        assert set(found[i]["licences"].split(",")) == {name}, (name, found[i])
+    for i in range(len(OFFICIAL), len(rows)):
+        assert found[i]["licences"] == "" and found[i]["n_unknown"] > 0, (rows[i], found[i])
