@@ -65,9 +65,13 @@ def job_key(job_id: Column, url: Column, title: Column, text: Column) -> Column:
 def global_delta(items: DataFrame, key: str, order: list[str], task: str) -> tuple[DataFrame, DataFrame]:
     """(survivors, counts): of jobs with equal ``key`` the first in ``order`` stays; for each task, what it gave and what others
     had given before."""
-    marked = items.withColumn("_first", F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1)
-    counts = marked.groupBy(task).agg(F.count("*").alias("reported_added"), F.count_if("_first").alias("unique_contributed"), F.count_if(~F.col("_first")).alias("cross_task_duplicates_removed"))
-    return marked.where("_first").drop("_first"), counts
+    best = items.groupBy(key).agg(F.min_by(F.struct(*items.columns), F.struct(*order)).alias("_r"))
+    survivors = best.select(*(F.col(f"_r.`{c}`").alias(c) for c in items.columns))
+    given = items.groupBy(task).agg(F.count("*").alias("reported_added"))
+    first = survivors.groupBy(task).agg(F.count("*").alias("_first")).withColumnRenamed(task, "_task")
+    unique = F.coalesce("_first", F.lit(0))
+    counts = given.join(first, F.col(task).eqNullSafe(F.col("_task")), "left").select(task, "reported_added", unique.alias("unique_contributed"), (F.col("reported_added") - unique).alias("cross_task_duplicates_removed"))
+    return survivors, counts
 
 
 def canonical_jobs(jobs: DataFrame, order: str) -> DataFrame:

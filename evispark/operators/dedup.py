@@ -48,9 +48,11 @@ def repeated(df: DataFrame, key: list[str], order: list[Column], flag: str = "is
 
 
 def fullest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key with the most filled fields, the first on a tie."""
+    """The row of each key with the most filled fields, the first by ``order`` (ascending) on a tie."""
     filled = sum((F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", 1).otherwise(0) for c in df.columns if c not in key), F.lit(0))
-    return first_wins(df.withColumn("_filled", filled), key, [F.col("_filled").desc(), *order]).drop("_filled")
+    rest = [c for c in df.columns if c not in key]
+    best = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(-filled, *order)).alias("_r"))
+    return best.select(*key, *(F.col(f"_r.`{c}`").alias(c) for c in rest)).select(*df.columns)
 
 
 def overlay(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

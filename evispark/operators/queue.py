@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.rules import RETRY_HTTP, RETRY_KINDS
+from .ranges import positions, running
 
 
 def import_rows(rows: DataFrame, required: list[str], text_columns: list[str], url_columns: list[str]) -> dict[str, DataFrame]:
@@ -134,16 +135,15 @@ def paced_starts(requests: DataFrame, key: str, order: list[str], asked: Column,
 
     start_i = max over j <= i of asked_j + (i - j) * delay, which is a running maximum.
     """
-    by = Window.partitionBy(key).orderBy(*order)
-    nth = F.row_number().over(by)
-    lead = F.max(F.col("_asked") - F.col("_nth") * delay).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return requests.withColumns({"_nth": nth, "_asked": asked}).withColumn("start", lead + F.col("_nth") * delay).drop("_nth", "_asked")
+    placed = positions(requests.withColumn("_asked", asked), [key], order, "_nth")
+    led = running(placed, [key], order, highest={"_lead": F.col("_asked") - F.col("_nth") * delay})
+    return led.withColumn("start", F.col("_lead") + F.col("_nth") * delay).drop("_nth", "_asked", "_lead")
 
 
 def batches(rows: DataFrame, order: list[str], size: int, within: list[str]) -> DataFrame:
     """Number the rows of each group into batches of ``size``."""
-    nth = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
-    return rows.withColumn("batch", F.floor((nth - 1) / size).cast("long") + 1)
+    placed = positions(rows, within, order, "_nth")
+    return placed.withColumn("batch", F.floor((F.col("_nth") - 1) / size).cast("long") + 1).drop("_nth")
 
 
 def capped(rows: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.rules import choose
-from ..session import materialise
+from .ranges import positions
 
 #: Hosts that have rules of their own, and names of platforms by the end of their hosts.
 RESERVED = ("51job.com", "jobs.feishu.cn", "zhiye.com", "hotjob.cn", "wjx.cn", "wjx.top")
@@ -141,9 +141,8 @@ def partitioned(rows: DataFrame, url: str, order: list[str]) -> DataFrame:
     rows without a valid URL do."""
     raw = F.trim(F.coalesce(F.col(url), F.lit("")))
     same = U.canonical(raw)
-    # Invalid rows are told apart by their order, so that they neither share a window nor drop out.
-    group = [same, *(F.when(same.isNull(), F.col(c)) for c in order)]
-    first = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where((F.col("_nth") == 1) | same.isNull()).drop("_nth")
+    best = rows.where(same.isNotNull()).groupBy(same.alias("_same")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_r"))
+    first = best.select(*(F.col(f"_r.`{c}`").alias(c) for c in rows.columns)).unionByName(rows.where(same.isNull()))
     why = F.when(raw == "", "missing_url").when(same.isNull(), "invalid_url").when(U.is_article(raw), "articles_disabled")
     return first.withColumns({"route": F.when(same.isNull(), "invalid").when(U.is_article(raw), "deferred").otherwise("web"), "reason": why})
 
@@ -218,22 +217,10 @@ def run_plan(asked: DataFrame, done: DataFrame, stopped: DataFrame, key: str, or
     return joined.join(first, key, "left").withColumn("route", route).drop("_done", "_stopped", "_run")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Add each row's place, from 1, in an order of all rows: rows are dealt to sorted ranges, stored, numbered within them, and
-    the sizes of the ranges before are added. Rows that are alike in ``order`` share a range, so ``order`` should tell rows apart."""
-    dealt = materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
-    # A row for each range.
-    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return within.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_n")).drop("_range", "_before", "_n")
-
-
 def next_positions(rows: DataFrame, taken: DataFrame, position: str, order: list[str]) -> DataFrame:
     """New rows with positions that follow those taken, in order."""
     last = taken.agg(F.coalesce(F.max(position), F.lit(0)).alias("_last"))
-    return numbered(rows, order, "_place").join(F.broadcast(last)).withColumn(position, F.col("_last") + F.col("_place")).drop("_last", "_place")
+    return positions(rows, [], order, "_place").join(F.broadcast(last)).withColumn(position, F.col("_last") + F.col("_place")).drop("_last", "_place")
 
 
 def company_order(priority: str, company: str) -> list[Column]:

@@ -303,13 +303,26 @@ def test_names_in_titles_without_blanks(spark):
 
 
 def test_rows_numbered_across_ranges(spark):
-    from evispark.operators import routing
+    from evispark.operators import ranges
 
     df = spark.range(0, 5000).selectExpr("(id * 7919) % 5000 AS k", "id % 13 AS v")
-    found = routing.numbered(df, ["v", "k"], "place").collect()
+    found = ranges.positions(df, [], ["v", "k"], "place").collect()
     assert [(r["v"], r["k"]) for r in sorted(found, key=lambda r: r["place"])] == sorted((r["v"], r["k"]) for r in found)
     assert sorted(r["place"] for r in found) == list(range(1, 5001))
-    assert routing.numbered(df.where("false"), ["v", "k"], "place").count() == 0
+    assert ranges.positions(df.where("false"), [], ["v", "k"], "place").count() == 0
+
+
+def test_running_values_of_groups(spark):
+    from evispark.operators import ranges
+
+    df = spark.range(0, 3000).selectExpr("if(id % 3 = 0, null, if(id % 7 < 6, 1, id % 11)) AS g", "(id * 7919) % 3000 AS k", "(id * 31) % 101 AS v")
+    found = ranges.running(df, ["g"], ["k"], {"n": F.lit(1)}, {"top": F.col("v")}).collect()
+    rows_ = sorted(found, key=lambda r: r["k"])
+    seen = {}
+    for r in rows_:
+        n, top = seen.get(r["g"], (0, -1))
+        seen[r["g"]] = n + 1, max(top, r["v"])
+        assert (r["n"], r["top"]) == seen[r["g"]]
 
 
 def test_natural_order_of_long_numbers(spark):
