@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import clean
+from .ranges import positions
 
 CHUNK = 6000
 #: A job's fields, and the names under which sources have them.
@@ -81,17 +82,19 @@ def source_summary(refs: DataFrame, task: str, order: str, company: str, asserti
 
     ``assertions`` maps kinds to columns; an assertion has the places of the rows (from 0) that make it.
     """
-    each = refs.select(task, F.struct(order, clean(F.col(company)).alias("company"), *(clean(F.col(c)).alias(k) for k, c in assertions.items())).alias("_r"))
-    packed = each.groupBy(task).agg(F.array_sort(F.collect_set("_r")).alias("_rows"))
-    distinct = lambda f: F.array_distinct(F.filter(F.transform("_rows", lambda r: r[f]), lambda x: x != ""))
-
-    def places(kind: str):
-        where = lambda v: F.filter(F.transform("_rows", lambda r, i: F.when(r[kind] == v, i)), lambda i: i.isNotNull())
-        return F.transform(distinct(kind), lambda v: F.concat(v, F.lit("@"), F.array_join(where(v).cast("array<string>"), "+")))
-
-    return packed.select(
-        task, F.array_join(distinct("company"), "|").alias("companies"), F.size("_rows").cast("long").alias("rows"), *(F.array_join(places(k), "|").alias(k) for k in assertions)
-    )
+    each = refs.select(task, order, clean(F.col(company)).alias("_company"), *(clean(F.col(c)).alias(f"_k_{k}") for k, c in assertions.items())).distinct()
+    values = [c for c in each.columns if c not in (task, order)]
+    placed = positions(each, [task], [order, *values], "_at")
+    kinds = F.array(*(F.struct(F.lit(v).alias("kind"), F.col(v).alias("value")) for v in values))
+    said = placed.select(task, (F.col("_at") - 1).alias("_at"), F.explode(kinds).alias("_s")).where("_s.value <> ''")
+    # A value's places meet first, then a kind's values, so that no row holds a task's rows.
+    by_value = said.groupBy(task, "_s.kind", "_s.value").agg(F.min("_at").alias("first"), F.array_sort(F.collect_list("_at")).alias("_places"))
+    text = F.when(F.col("kind") == "_company", F.col("value")).otherwise(F.concat("value", F.lit("@"), F.array_join(F.col("_places").cast("array<string>"), "+")))
+    by_kind = by_value.groupBy(task, "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", text.alias("text")))), lambda x: x["text"]), "|").alias("text"))
+    wide = by_kind.groupBy(task).agg(*(F.max(F.when(F.col("kind") == v, F.col("text"))).alias(v) for v in values)).withColumnRenamed(task, "_task")
+    rows = placed.groupBy(task).agg(F.count("*").alias("rows"))
+    told = lambda v: F.coalesce(F.col(v), F.lit(""))
+    return rows.join(wide, F.col(task).eqNullSafe(F.col("_task")), "left").select(task, told("_company").alias("companies"), "rows", *(told(f"_k_{k}").alias(k) for k in assertions))
 
 
 def gap_reasons(gaps: DataFrame, task: str, reason: str) -> DataFrame:

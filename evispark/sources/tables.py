@@ -45,18 +45,23 @@ def read_plain_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     blocks = lines.groupBy("input_path", "_block").agg(F.count("*").alias("_lines"), F.min("_at").alias("_first"))
     before = Window.partitionBy("input_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("_base", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
-    numbered = lines.join(F.broadcast(starts), ["input_path", "_block"]).withColumn("row_number", (F.col("_base") + F.col("_at") - F.col("_first") + 1).cast("int"))
-    heads = numbered.where("row_number = 1").groupBy(F.regexp_replace("value", "^\\x{feff}|\\r$", "").alias("head")).agg(F.collect_list("input_path").alias("files")).collect()
-    out = None
-    for row in heads:  # one for each different header, not for each file
-        names = next(csv.reader([row["head"]]))
-        fields = ", ".join(f"_c{i} string" for i in range(len(names)))
-        body = numbered.where(F.col("input_path").isin(row["files"]) & (F.col("row_number") > 1) & (F.trim("value") != ""))
-        parsed = body.select(F.from_csv(F.regexp_replace("value", "\\r$", ""), fields, {"escape": '"'}).alias("r"), "input_path", "row_number")
-        cell = lambda c: F.coalesce(F.col(f"r._c{names.index(c)}"), F.lit("")) if c in names else F.lit("")
-        part = parsed.select(*(cell(c).alias(c) for c in columns), "input_path", "row_number")
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns) + ", input_path string, row_number int") if out is None else out
+    numbered = lines.join(starts, ["input_path", "_block"]).withColumn("row_number", (F.col("_base") + F.col("_at") - F.col("_first") + 1).cast("int"))
+    numbered = numbered.withColumn("value", F.regexp_replace("value", "\\r$", ""))
+    heads = numbered.where("row_number = 1").select("input_path", F.regexp_replace("value", "^\\x{feff}", "").alias("_head"))
+    # Only the number of columns of the widest header comes to the driver; headers stay a table with a row for each file.
+    widest = heads.agg(F.max(F.size(F.split("_head", ",", -1)))).first()[0] or 1
+    fields = ", ".join(f"_c{i} string" for i in range(widest))
+    cells = lambda text: F.from_csv(text, fields, {"escape": '"'})
+    listed = lambda row: F.array(*(row[f"_c{i}"] for i in range(widest)))
+    names = heads.withColumn("_row", cells(F.col("_head"))).select("input_path", listed(F.col("_row")).alias("_names"))
+    body = numbered.where((F.col("row_number") > 1) & (F.trim("value") != "")).withColumn("_row", cells(F.col("value")))
+    parsed = body.select("input_path", "row_number", listed(F.col("_row")).alias("_cells")).join(names, "input_path")
+
+    def cell(name: str):
+        at = F.array_position("_names", F.lit(name)).cast("int")
+        return F.when(at > 0, F.coalesce(F.try_element_at("_cells", at), F.lit(""))).otherwise("")
+
+    return parsed.select(*(cell(c).alias(c) for c in columns), "input_path", "row_number")
 
 
 def read_queue(spark: SparkSession, path: str, schema: str) -> dict[str, DataFrame]:
