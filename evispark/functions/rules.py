@@ -176,3 +176,18 @@ STATIC_TITLES = ("attr2", "title", "jobName", "positionName", "name")
 STATIC_URLS = ("attr5", "url", "href", "link", "applyUrl", "detailUrl")
 STATIC_FIELDS = {"category": ("value", "category", "department"), "education": ("attr3", "education"), "location": ("attr4", "location", "city")}
 STATIC_SCRIPTS = ("data", "job", "position", "recruit", "main")
+
+#: Places that roles may be in; and the table of roles that are left out, in order: how its text is looked for in the role (or
+#: company), the text, the code and the reason. The last row is for what no other names.
+ROLE_PLACES = ("四川", "成都", "北京", "上海", "广州", "全国", "全国多地")
+ROLE_TABLE = (
+    ("is", "AI工程师（MES方向）", "generic_ai_without_target_evidence", "仅披露AI工程师标题、MES方向和专业要求，没有视觉/深度学习模型或Agent/LLM开发算法证据。"),
+    ("begins", "AI药物研发", "insufficient_target_evidence", "AI药研或AI模型工程化标题未说明深度学习、视觉模型、Agent或LLM职责；不能仅凭AI字样准入。"),
+    ("begins", "AI Pilot", "insufficient_target_evidence", "AI药研或AI模型工程化标题未说明深度学习、视觉模型、Agent或LLM职责；不能仅凭AI字样准入。"),
+    ("contains", "图像处理", "image_processing_without_ai_evidence", "仅有普通图像处理表述，没有模型训练、CV/机器视觉或学习型算法证据。"),
+    ("company", "赫力昂", "blocked_no_evidence", "本地任务为blocked，没有文章、图片或OCR证据，不能判断或准入。"),
+    ("contains", "具体岗位未披露", "role_details_not_exposed", "文章仅披露实习计划或部门岗位族，没有可独立判断的具体JD。"),
+    ("contains", "岗位族", "role_details_not_exposed", "文章仅披露实习计划或部门岗位族，没有可独立判断的具体JD。"),
+    ("", "", "not_target_category", "岗位未体现视觉AI/深度学习算法、Agent/大模型开发或Agent/大模型算法职责。"),
+)
+ROLE_GAPS = ("insufficient_evidence_ocr_gaps", " 同时存在", "个图片OCR缺口，证据进一步降级。")

@@ -56,6 +56,25 @@ def decided(rows: DataFrame, table: list[tuple[Column, str, str]], otherwise: tu
     )
 
 
+def role_decisions(company: Column, role: Column, gaps: Column, location: Column) -> Column:
+    """(exclusion_code, rationale, location_eligible) of a role by the fixed table (rules.ROLE_TABLE): no role in it is admitted.
+
+    Roles that are short of evidence say so when images have gaps (their number). Nulls are empty texts and no gaps.
+    """
+    name, who, n = F.coalesce(role, F.lit("")), F.coalesce(company, F.lit("")), F.coalesce(gaps.cast("long"), F.lit(0).cast("long"))
+    fits = {"is": lambda x: name == x, "begins": lambda x: F.startswith(name, F.lit(x)), "contains": lambda x: F.contains(name, F.lit(x)), "company": lambda x: who == x, "": lambda x: F.lit(True)}
+    more, before, after = rules.ROLE_GAPS
+    rows = [(fits[how](text), code, why) for how, text, code, why in rules.ROLE_TABLE]
+    found = choose([(F.struct(F.lit(code).alias("code"), F.lit(why).alias("why")), when) for when, code, why in rows])
+    short = (found["code"] == "insufficient_target_evidence") & (n > 0)
+    eligible = F.coalesce(location, F.lit("")).rlike("|".join(rules.ROLE_PLACES))
+    return F.struct(
+        F.when(short, more).otherwise(found["code"]).alias("exclusion_code"),
+        F.when(short, F.concat(found["why"], F.lit(before), n.cast("string"), F.lit(after))).otherwise(found["why"]).alias("rationale"),
+        eligible.alias("location_eligible"),
+    )
+
+
 def job_key(job_id: Column, url: Column, title: Column, text: Column) -> Column:
     """What makes a job the same across tasks: its id, else its URL, else title and text."""
     told = lambda x: F.nullif(F.trim(F.coalesce(x.cast("string"), F.lit(""))), F.lit(""))

@@ -15,6 +15,50 @@ def report(violations: dict[str, DataFrame]) -> DataFrame:
     return rows
 
 
+def summary_mismatches(summary: DataFrame, outputs: dict[str, DataFrame]) -> DataFrame:
+    """(name, told, found): entries of a summary (name, told) that don't say how many rows their output has, or that are missing."""
+    counted = None
+    for name, frame in outputs.items():
+        one = frame.agg(F.count("*").alias("found")).select(F.lit(name).alias("name"), "found")
+        counted = one if counted is None else counted.unionByName(one)
+    return counted.join(summary.select("name", "told"), "name", "left").where(~F.col("told").eqNullSafe(F.col("found"))).select("name", "told", "found")
+
+
+def repeated_keys(frames: list[DataFrame], key: str) -> DataFrame:
+    """Keys that several rows of one or more outputs have."""
+    every = frames[0].select(key)
+    for frame in frames[1:]:
+        every = every.unionByName(frame.select(key))
+    return every.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def below_baseline(outputs: dict[str, DataFrame], baseline: dict[str, int]) -> DataFrame:
+    """(name, found, least): outputs with fewer rows than they had at least."""
+    rows = None
+    for name, least in baseline.items():
+        one = outputs[name].agg(F.count("*").alias("found")).select(F.lit(name).alias("name"), "found", F.lit(least).cast("long").alias("least"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.where("found < least")
+
+
+def target_consistency(outputs: dict[str, DataFrame], summary: DataFrame, tasks: DataFrame, baseline: dict[str, int]) -> DataFrame:
+    """The report over target outputs (companies, pending, errors with company_id; jobs with jd_id), as ``report``.
+
+    The summary (name, told) matches the files, each company is in one output once, each job once, every company of ``tasks`` is
+    pending or an error, and no output has fewer rows than ``baseline``.
+    """
+    left_over = outputs["pending"].select("company_id").unionByName(outputs["errors"].select("company_id"))
+    return report(
+        {
+            "summary_matches_files": summary_mismatches(summary, outputs),
+            "company_outputs_deduplicated": repeated_keys([outputs[n] for n in ("companies", "pending", "errors")], "company_id"),
+            "job_outputs_deduplicated": repeated_keys([outputs["jobs"]], "jd_id"),
+            "task_companies_pending_or_error": subset_violations(tasks, left_over, ["company_id"]),
+            "baseline_preserved": below_baseline(outputs, baseline),
+        }
+    )
+
+
 def delta(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """Ids that only one of two runs has, and which."""
     a, b = new.select(key).distinct(), old.select(key).distinct()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import agents, audit, ocr, segments
+from ..functions import rules
+from ..operators import agents, audit, checks, ocr, segments
 from .base import Registry
 
 R = Registry()
@@ -129,4 +130,40 @@ def q_audit_rows(t):
     return found.select("o_orderkey", "c_custkey")
 
 
+_ROLE = "CASE p_size % 8 WHEN 0 THEN 'AI工程师（MES方向）' WHEN 1 THEN 'AI药物研发' || p_type WHEN 2 THEN 'AI Pilot ' || p_name WHEN 3 THEN p_name || '图像处理' WHEN 4 THEN p_type || '岗位族' ELSE p_name END"
+_HOW = {"is": "role = '{}'", "begins": "starts_with(role, '{}')", "contains": "contains(role, '{}')", "company": "company = '{}'", "": "true"}
+_TABLE = [(_HOW[how].format(text), code, why) for how, text, code, why in rules.ROLE_TABLE]
+
+
+@R.add(
+    f"""WITH r AS (SELECT p_partkey, {_ROLE} AS role, CASE WHEN p_brand LIKE '%1' THEN '赫力昂' ELSE p_brand END AS company, p_partkey % 3 AS gaps, CASE WHEN p_retailprice > 950 THEN '上海' ELSE p_type END AS place FROM part),
+    d AS (SELECT *, CASE {' '.join(f"WHEN {when} THEN '{code}'" for when, code, _ in _TABLE)} END AS code, CASE {' '.join(f"WHEN {when} THEN '{why}'" for when, _, why in _TABLE)} END AS why FROM r)
+    SELECT p_partkey, CASE WHEN code = 'insufficient_target_evidence' AND gaps > 0 THEN 'insufficient_evidence_ocr_gaps' ELSE code END AS exclusion_code,
+      why || CASE WHEN code = 'insufficient_target_evidence' AND gaps > 0 THEN ' 同时存在' || gaps || '个图片OCR缺口，证据进一步降级。' ELSE '' END AS rationale, place = '上海' AS location_eligible FROM d"""
+)
+def q_role_table(t):
+    """Roles that the fixed table leaves out, and why."""
+    company = F.when(F.endswith("p_brand", F.lit("1")), "赫力昂").otherwise(F.col("p_brand"))
+    place = F.when(F.col("p_retailprice") > 950, "上海").otherwise(F.col("p_type"))
+    return t.part.select("p_partkey", audit.role_decisions(company, F.expr(_ROLE), F.col("p_partkey") % 3, place).alias("d")).select("p_partkey", "d.*")
+
+
+@R.add("""WITH c AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey < 8), p AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey BETWEEN 7 AND 15), e AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey > 15), j AS (SELECT l_orderkey * 10 + l_linenumber AS id FROM lineitem),
+    v AS (SELECT 'summary_matches_files' AS name, 1 + ((SELECT count(*) FROM p) <> (SELECT count(*) - (SELECT count(*) FROM c) FROM customer) - (SELECT count(*) FROM e))::INT AS n
+      UNION ALL SELECT 'company_outputs_deduplicated', count(*) FROM customer WHERE c_nationkey = 7 UNION ALL SELECT 'job_outputs_deduplicated', count(*) FROM (SELECT id FROM j GROUP BY 1 HAVING count(*) > 1)
+      UNION ALL SELECT 'task_companies_pending_or_error', count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT id FROM p UNION ALL SELECT id FROM e) UNION ALL SELECT 'baseline_preserved', 1)
+    SELECT name AS "check", n::BIGINT AS violations, n = 0 AS passed FROM v""")
+def q_target_consistency(t):
+    """The consistency report over customers as companies and line items as jobs; customers of one nation are in two outputs."""
+    of = lambda cond: t.customer.where(cond).select(F.col("c_custkey").alias("company_id"))
+    outputs = {"companies": of("c_nationkey < 8"), "pending": of("c_nationkey BETWEEN 7 AND 15"), "errors": of("c_nationkey > 15"), "jobs": t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("jd_id"))}
+    whole = t.customer.agg(F.count("*").alias("n")).select(F.lit("pending").alias("name"), "n")
+    known = whole.crossJoin(F.broadcast(outputs["companies"].agg(F.count("*").alias("a")))).crossJoin(F.broadcast(outputs["errors"].agg(F.count("*").alias("b")))).select("name", (F.col("n") - F.col("a") - F.col("b")).alias("told"))
+    counts = lambda n: outputs[n].agg(F.count("*").alias("told")).select(F.lit(n).alias("name"), "told")
+    # The summary says nothing of jobs, and counts a company once.
+    summary = known.unionByName(counts("companies")).unionByName(counts("errors"))
+    tasks = t.orders.select(F.col("o_custkey").alias("company_id")).distinct()
+    return checks.target_consistency(outputs, summary, tasks, {"companies": 1, "jobs": 1_000_000_000})
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
