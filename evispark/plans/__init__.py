@@ -6,10 +6,10 @@ for companies, events for the event log, documents for evidence texts and pages
 
 from __future__ import annotations
 
-from . import acceptance, audit, documents, events, export, folds, joins, library, queue, results, rollups, routing, structured, text, topics
+from . import acceptance, audit, documents, events, export, folds, joins, library, queue, reports, results, rollups, routing, structured, text, topics
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (queue, rollups, joins, text, documents, events, results, acceptance, audit, export, routing, library, structured, folds, topics):
+for _module in (queue, rollups, joins, text, documents, events, results, acceptance, audit, export, routing, library, structured, folds, topics, reports):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
