@@ -44,7 +44,7 @@ STRIP = ".,;:!?*#$%&()[]{}<>|\"'-_"
 class Words:
     """The features of words, remembered by word: the word and its beginnings."""
 
-    MOST = 150_000
+    MOST = 60_000
     BEGINNINGS = (4, 5, 6, 7, 8)
 
     def __init__(self):
