@@ -11,19 +11,21 @@ from .common import bucket_count
 
 #: Bits of an offset below the lowest ranges (64 KiB), and bits that each level above takes more (16 ranges in one).
 LEAF_BITS, FAN_BITS, LEVELS = 16, 4, 4
+#: The date that records without one of their own have, so that reruns agree.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def records_of(pages: DataFrame, pages_per_archive: int = 2000) -> DataFrame:
-    """Pages as WARC response records: page_id, archive, length and record, in archives of about so many pages.
+    """Pages as WARC resource records: page_id, archive, length and record, in archives of about so many pages.
 
     A page's archive goes by a hash of its id, url and text, so archives are dealt evenly, whatever ids repeat, and reruns
-    agree. Null urls and pages count as empty; equal rows are records of their own. Other columns are left out.
+    agree. Null urls and pages count as empty, and an id that is no whole number as null; equal rows are records of their own. Other columns are left out.
     """
     rows = pages.count()
     archives = bucket_count(rows, pages_per_archive)
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     record = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "),
+        F.lit(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "),
         url,
         F.lit("\r\nWARC-Record-ID: <urn:page:"),
         F.coalesce(F.col("page_id").cast("string"), F.lit("none")),
@@ -34,7 +36,7 @@ def records_of(pages: DataFrame, pages_per_archive: int = 2000) -> DataFrame:
         F.lit("\r\n\r\n"),
     )
     named = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
+        F.col("page_id").try_cast("long").alias("page_id"),
         F.pmod(F.xxhash64("page_id", url, html), F.lit(archives)).cast("int").alias("archive"),
         record.alias("record"),
     )
@@ -63,7 +65,8 @@ def tree(hashed: DataFrame) -> dict[int, DataFrame]:
     """For each level, 0 the lowest and LEVELS the roots, a table (archive, node, digest) of the ranges of offsets.
 
     A lowest range holds the records that begin in it, a higher one the sixteen ranges below, a root its archive; each
-    digest is over what lies below in order, so no group is larger than a range or sixteen rows. All levels are stored.
+    digest is over what lies below in order. A group is a range, or sixteen rows; a root has one row more for each 4 GiB of its archive
+    beyond the first four levels' reach. All levels are stored.
     """
 
     def over(rows: DataFrame, node, parts: list[str]) -> DataFrame:

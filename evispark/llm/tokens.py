@@ -346,7 +346,11 @@ def read_token_files(files: DataFrame, files_per_task: int = 16) -> DataFrame:
 
 
 def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The ids of the documents of ``wanted`` (path, doc_id): only their frames are decompressed."""
+    """The ids of the documents of ``wanted`` (path, doc_id): only their frames are decompressed.
+
+    A null doc_id stands for the documents without one. An id that a file has several times gives a row for each, one that it
+    hasn't gives none, as do paths that aren't among ``files`` (path). An empty ``wanted`` gives an empty result.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

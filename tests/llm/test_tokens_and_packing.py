@@ -116,3 +116,19 @@ def test_plan_uses_every_piece_once():
             for k, v in took.items():
                 used[k] = used.get(k, 0) + v * times
         assert used == counts
+
+
+def test_lookup_reads_the_documents_it_is_asked_for(spark, odd, whole):
+    from evispark.session import materialise, shared_path
+
+    rows = odd.select("doc_id", "text")
+    folder = shared_path(spark, "lookup-files").removeprefix("file://")
+    import os
+
+    os.makedirs(folder)
+    files = materialise(tokens.write_token_files(rows, f"file://{folder}", PATH), "lookup-table")
+    paths = [r["path"] for r in files.select("path").distinct().collect()]
+    wanted = spark.createDataFrame([(p, i) for p in paths for i in (5, None, 12_345)] + [("file:///nowhere", 5)], "path string, doc_id long")
+    found = tokens.lookup(files, wanted).collect()
+    expected = [(r["doc_id"], whole.encode(r["text"] or "", add_special_tokens=False).ids + [tokens.END_ID]) for r in rows.collect() if r["doc_id"] in (5, None)]
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in found) == sorted((str(i), ids) for i, ids in expected)
