@@ -116,7 +116,13 @@ def q_html_extract(t):
     return found.select("page_id", "title", "h1", F.length("text").alias("chars"), F.length("article_text").alias("article_chars"), F.size("links").alias("links"), F.size("images").alias("images"), status.alias("status"))
 
 
-@R.add()
+_PLAIN = lambda x: f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@R.add(
+    f"""WITH a AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>')) AS x FROM pages), b AS (SELECT page_id, base, {_PLAIN('''regexp_extract(x, 'href="([^"]*)"', 1)''')} AS h, {_PLAIN('''regexp_extract(x, '(?is)^<a[^>]*>(.*)</a>$', 1)''')} AS l FROM a)
+    SELECT page_id, regexp_extract(base, '^(https?://[^/?#]*)', 1) || h AS url, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS label, 'page' AS kind FROM b"""
+)
 def q_html_links(t):
     """The links of pages."""
     return pages.extract(t.pages).select("page_id", F.explode("links").alias("l")).select("page_id", "l.url", "l.label", "l.kind")
