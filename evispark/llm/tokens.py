@@ -188,6 +188,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Give back the memory of this worker's encoders; they are made anew when they are asked for."""
+    _ENCODERS.clear()
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     """The UTF-8 bytes of a column, null as empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import words
-from .tokens import texts
+from .tokens import forget_encoders, texts
 
 #: Features are hashed to this many places; a sample has at most so many toxic rows, and twice as many clean ones.
 SPACE, PER_CLASS = 1 << 19, 2500
@@ -252,6 +252,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        forget_encoders()  # a worker that is used again holds one large memory at a time
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
@@ -260,6 +261,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
                 p = 1 - chances[:, 0]
                 more = [pa.array(chances @ np.arange(GRADES)), pa.array(p), pa.array(chances.argmax(axis=1).astype(np.int32)), pa.array(p >= m.cut)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*keep, *NEW])
+        _WORDS.known.clear()
 
     kept = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in keep)
     # A kept text crosses to Python once.
