@@ -25,15 +25,16 @@ def source_titles(cells: Column) -> Column:
 
 def _anchors(title: str) -> list[str]:
     """What stands for a title in a text: itself, and what comes before its first bracket."""
-    return [x for x in dict.fromkeys((title, re.split("[（(]", title, maxsplit=1)[0])) if x]
+    short = title.replace("(", "（").partition("（")[0]
+    return [title, short] if short and short != title else [title]
 
 
-def _every(text: str, anchor: str) -> Iterator[int]:
-    """All places of an anchor, those that overlap too."""
+def _places(text: str, anchor: str, step: int) -> Iterator[int]:
+    """Where an anchor stands; the search goes on ``step`` characters after each place."""
     at = text.find(anchor)
     while at >= 0:
         yield at
-        at = text.find(anchor, at + 1)
+        at = text.find(anchor, at + step)
 
 
 def tells_of_ai(title: str, segment: str) -> bool:
@@ -43,7 +44,7 @@ def tells_of_ai(title: str, segment: str) -> bool:
 
 def segments_of(text: str, titles: list[str]) -> Iterator[tuple[str, str, int]]:
     """(title, segment, mentions) of each title; time goes with the length of the text and the number of mentions."""
-    mentions = sorted((at, i) for i, t in enumerate(titles) for at in {p for a in _anchors(t) for p in _every(text, a)})
+    mentions = sorted({(at, i) for i, t in enumerate(titles) for a in _anchors(t) for at in _places(text, a, 1)})
     places = [at for at, _ in mentions]
     # From each mention, the next one of another title.
     other = [len(mentions)] * len(mentions)
@@ -51,7 +52,8 @@ def segments_of(text: str, titles: list[str]) -> Iterator[tuple[str, str, int]]:
         other[k] = k + 1 if mentions[k + 1][1] != mentions[k][1] else other[k + 1]
     lines = [m.start() for m in _LINE.finditer(text)]
     for i, title in enumerate(titles):
-        starts = sorted({m.start() for a in _anchors(title) for m in re.finditer(re.escape(a), text)})
+        own = [_places(text, a, len(a)) for a in _anchors(title)]  # those of one anchor don't overlap
+        starts = sorted(set().union(*own))
 
         def cut(start: int, i: int = i, title: str = title) -> str:
             end = min(len(text), start + LONGEST)

@@ -6,8 +6,8 @@ import json
 from evispark.operators import listing, pagination, payloads
 
 BODIES = [
-    ("https://campus.51job.com/jobs", {"data": {"totalRows": 42, "records": [{"jobId": "a1", "jobName": "视觉算法工程师"}]}}),
-    ("https://demo.zhiye.com/api/x", {"Count": 42, "Data": [{"Id": "abc-guid", "JobAdId": 123, "JobAdName": "大模型开发工程师", "Category": "校园招聘", "Duty": "开发 Agent", "Require": "硕士"}]}),
+    ("https://campus.51job.com/jobs", {"data": {"totalRows": 17, "records": [{"jobId": "k9", "jobName": "质量工程师"}]}}),
+    ("https://firma.zhiye.com/api/x", {"Count": 23, "Data": [{"Id": "g-7", "JobAdId": 908, "JobAdName": "设备工程师", "Category": "校园招聘", "Duty": "维护设备", "Require": "本科"}]}),
     ("https://e.com/a/", [[[{"title": "deep", "href": "../j/1", "description": ""}], {"x": {"y": {"z": [{"positionName": "deeper", "id": 5, "children": [{"name": "n", "id": 1, "claim": "c"}, {"name": "plain", "id": 2}]}]}}}]]),
     ("https://e.com/", {"total": True, "count": -1, "Total": 3.0, "totalCount": "9", "total_count": 7, "title": 5, "name": "x", "id": 1}),
     ("https://e.com/", "text"),
@@ -23,8 +23,8 @@ def test_json_jobs(spark):
     jobs = payloads.json_jobs(found).collect()
     shown = sorted((r["k"], r["title"], r["url"], r["text"]) for r in jobs)
     assert shown == [
-        (0, "视觉算法工程师", "", ""),
-        (1, "大模型开发工程师", "https://demo.zhiye.com/campus/jobdetails?jobId=123", "开发 Agent\n硕士"),
+        (0, "质量工程师", "", ""),
+        (1, "设备工程师", "https://firma.zhiye.com/campus/jobdetails?jobId=908", "维护设备\n本科"),
         (2, "deep", "https://e.com/j/1", ""),
         (2, "deeper", "", ""),
         (2, "n", "", "c"),
@@ -32,8 +32,8 @@ def test_json_jobs(spark):
     ]
     ids = {r["title"]: r["id"] for r in jobs}
     name = lambda x: hashlib.sha256(x.encode()).hexdigest()[:24]
-    assert ids["deeper"] == name("e.com:5") and ids["deep"] == name("e.com:https://e.com/j/1") and ids["视觉算法工程师"] == name("campus.51job.com:a1")
-    assert {r["k"]: r["total"] for r in payloads.reported_totals(found, ["k"]).collect()} == {0: 42, 1: 42, 3: 7}
+    assert ids["deeper"] == name("e.com:5") and ids["deep"] == name("e.com:https://e.com/j/1") and ids["质量工程师"] == name("campus.51job.com:k9")
+    assert {r["k"]: r["total"] for r in payloads.reported_totals(found, ["k"]).collect()} == {0: 17, 1: 23, 3: 7}
     assert payloads.objects(df.where("false"), ["k"]).count() == 0
 
 

@@ -9,15 +9,15 @@ from evispark.functions import tables
 from evispark.operators import static
 
 SOURCE = """<script src="js/data.js"></script><style>p{margin:0}</style> var x = {"a": "}{", "title": " A  b ", "n": {"title": "inner"}};
-{"value":"研发", "attr2":"大模型开发", "attr3":"硕士", "attr4":"上海", "attr5":"/apply/detail?jobAdId=2&utm_source=x"} {broken {"title": ""} {"name": 5} {"jobName": "无链接", "city": "北京"} {"title": 1"""
+{"value":"制造", "attr2":"设备维护", "attr3":"本科", "attr4":"苏州", "attr5":"/apply/detail?jobAdId=31&utm_source=x"} {broken {"title": ""} {"name": 5} {"jobName": "无链接", "city": "北京"} {"title": 1"""
 
 
 def test_embedded_records(spark):
-    df = spark.createDataFrame([(1, SOURCE, "https://campus.51job.com/Acme/index.html"), (2, None, "https://e.com/"), (3, "{" * 3000 + '{"a":' * 3000, "https://e.com/"), (4, "", None)], "k long, source string, base string")
+    df = spark.createDataFrame([(1, SOURCE, "https://campus.51job.com/Firma/index.html"), (2, None, "https://e.com/"), (3, "{" * 3000 + '{"a":' * 3000, "https://e.com/"), (4, "", None)], "k long, source string, base string")
     found = [tuple(r) for r in static.records(df, "k", "source", "base").orderBy("k", "nth").collect()]
-    link = "https://campus.51job.com/apply/detail?jobAdId=2"
+    link = "https://campus.51job.com/apply/detail?jobAdId=31"
     assert found == [
-        (1, 0, "static:A b:", "A b", None, "", "", ""), (1, 1, link, "大模型开发", link, "研发", "硕士", "上海"), (1, 4, "static:无链接:北京", "无链接", None, "", "", "北京"),
+        (1, 0, "static:A b:", "A b", None, "", "", ""), (1, 1, link, "设备维护", link, "制造", "本科", "苏州"), (1, 4, "static:无链接:北京", "无链接", None, "", "", "北京"),
     ]
     tables.register(spark)
     df.createOrReplaceTempView("sources")
@@ -27,26 +27,23 @@ def test_embedded_records(spark):
 
 
 def test_links(spark):
-    base = "https://campus.51job.com/Acme/index.html"
-    rows = [("js/data.js", "", True), ("js/jquery.js", "", True), ("https://o.com/data.js", "", True), ("jobs.html", "下一页", False), ("https://tenant.zhiye.com/campus/detail?jobAdId=1&utm_source=x", "视觉算法", False), ("https://tenant.zhiye.com/x", "", False), ("about.html", "x", False), ("#", "x", False)]
+    base = "https://campus.51job.com/Firma/index.html"
+    rows = [("js/data.js", "", True), ("js/jquery.js", "", True), ("https://o.com/data.js", "", True), ("jobs.html", "更多", False), ("https://firma.zhiye.com/campus/detail?jobAdId=30&utm_source=x", "质量检验", False), ("https://firma.zhiye.com/x", "", False), ("about.html", "x", False), ("#", "x", False)]
     df = spark.createDataFrame([(base, *r) for r in rows], "page string, href string, label string, script boolean")
     found = {r["href"]: (r["target"], r["leads_to"]) for r in static.links(df, "page", "href", "label", "script").collect()}
-    assert found["js/data.js"] == ("https://campus.51job.com/Acme/js/data.js", "script") and found["jobs.html"] == ("https://campus.51job.com/Acme/jobs.html", "page")
-    assert found[rows[4][0]] == ("https://tenant.zhiye.com/campus/detail?jobAdId=1", "job")
-    assert all(found[h][1] is None for h in ("js/jquery.js", "https://o.com/data.js", "https://tenant.zhiye.com/x", "about.html", "#"))
+    assert found["js/data.js"] == ("https://campus.51job.com/Firma/js/data.js", "script") and found["jobs.html"] == ("https://campus.51job.com/Firma/jobs.html", "page")
+    assert found[rows[4][0]] == ("https://firma.zhiye.com/campus/detail?jobAdId=30", "job")
+    assert all(found[h][1] is None for h in ("js/jquery.js", "https://o.com/data.js", "https://firma.zhiye.com/x", "about.html", "#"))
 
 
 def plain_frontier(root, edges, most):
-    queue, seen = [root], []
-    while queue:
-        at = queue.pop(0)
-        if at in seen:
-            continue
-        if len(seen) >= most:
-            return seen, at
-        seen.append(at)
-        queue += [x for x in edges.get(at, []) if x not in seen and x not in queue]
-    return seen, None
+    """Pages in the order in which they were first seen; each new one is put at the end of the line."""
+    line = [root]
+    k = 0
+    while k < min(len(line), most):
+        line += [x for x in dict.fromkeys(edges.get(line[k], [])) if x not in line]
+        k += 1
+    return line[:most], line[most] if len(line) > most else None
 
 
 def test_frontier_equals_a_queue(spark):
