@@ -319,6 +319,7 @@ def compared(pairs: DataFrame) -> DataFrame:
 
 def grouped(classes: DataFrame, kind: str) -> DataFrame:
     """Deal classes (id, n, <kind>) to groups of about MEMBERS classes and TOKENS shingles: adds ``part`` and ``grp``."""
+    classes = materialise(classes, "dealt")  # read twice
     parts = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / TOKENS))
     loads = materialise(classes.groupBy(kind).agg(parts.alias("_parts")), "loads")  # so that a hot kind's join can be split
     dealt = classes.join(loads, kind).withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.col("_parts")))
@@ -366,7 +367,7 @@ def class_links(docs: DataFrame, found: DataFrame, counts: np.ndarray) -> tuple[
     inside = materialise(sets.groupBy("grp").agg(F.collect_list(F.struct("id", "set")).alias("members")), "members")
     hubs = groups.select("kind", "part", "grp").distinct()
     first = hubs.where("part = 0").select("kind", F.col("grp").alias("hub"))
-    with_hub = hubs.where("part > 0").join(first, "kind").select("grp", F.col("hub").alias("other"))
+    with_hub = materialise(hubs.where("part > 0").join(first, "kind").select("grp", F.col("hub").alias("other")), "pairs")
     own = inside.select("members", F.lit(None).cast(inside.schema["members"].dataType).alias("others"))
     links = compared(own.unionByName(open_pairs(with_hub, inside)))
     nodes = groups.select("id").distinct()
@@ -379,7 +380,7 @@ def class_links(docs: DataFrame, found: DataFrame, counts: np.ndarray) -> tuple[
     alone = regrouped.groupBy("grp").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.min("was") < F.max("was")).alias("new")
     )
-    matrix = tokens.join(regrouped.select("id", "grp"), "id").select("token", "grp").distinct().join(alone.select("grp", "lo", "hi"), "grp")
+    matrix = crossing(tokens, regrouped).distinct().join(alone.select("grp", "lo", "hi"), "grp")
     open_tokens = matrix.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count("*").alias("_many")).where("_lo < _hi and _many > 1").select("token")
     rows = materialise(matrix.join(open_tokens, "token"), "matrix")
     other = rows.select("token", F.col("grp").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
@@ -387,7 +388,7 @@ def class_links(docs: DataFrame, found: DataFrame, counts: np.ndarray) -> tuple[
     pairs = materialise(pairs, "pairs")
     fresh = alone.where("lo < hi and new").select("grp")
     asked = materialise(pairs.select("grp").union(pairs.select("other")).union(fresh).distinct(), "asked")
-    again = regrouped.select("id", "grp").join(asked, "grp", "left_semi").distinct()
+    again = materialise(regrouped.select("id", "grp").join(asked, "grp", "left_semi").distinct(), "asked")
     dealt = inside.select(F.explode("members").alias("m")).select(F.col("m.id").alias("id"), F.col("m.set").alias("set")).join(again, "id")
     members = materialise(dealt.groupBy("grp").agg(F.collect_list(F.struct("id", "set")).alias("members")), "members")
     own = members.join(fresh, "grp", "left_semi").select("members", F.lit(None).cast(members.schema["members"].dataType).alias("others"))
@@ -395,9 +396,23 @@ def class_links(docs: DataFrame, found: DataFrame, counts: np.ndarray) -> tuple[
     return classes, components(links.union(more), nodes)
 
 
+def crossing(tokens: DataFrame, groups: DataFrame) -> DataFrame:
+    """(token, grp) of the classes whose shingle some class of another component has in its prefix too, stored.
+
+    Only such a shingle can join two components; most are of one family and needn't be dealt out by group.
+    """
+    named = tokens.join(groups.select("id", "grp", "comp"), "id").select("token", "grp", "comp")
+    several = named.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("token")
+    return materialise(named.join(several, "token", "left_semi").select("token", "grp"), "crossing")
+
+
 def open_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The contents of pairs of groups (grp, other)."""
-    other = members.select(F.col("grp").alias("other"), F.col("members").alias("others"))
+    """The contents of pairs of groups (grp, other).
+
+    Only groups of a pair are shuffled: where ``pairs`` is stored and small beside the sets, it is sent to them.
+    """
+    paired = members.join(pairs.select(F.col("other").alias("grp")), "grp", "left_semi")
+    other = paired.select(F.col("grp").alias("other"), F.col("members").alias("others"))
     return pairs.join(members, "grp").join(other, "other").select("members", "others")
 
 

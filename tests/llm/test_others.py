@@ -64,6 +64,35 @@ def test_a_family_at_the_threshold(spark):
     check_components(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def shuffled_scans(df):
+    """Exchanges of a plan that take a table as it is stored."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [re.sub(r"^[\s:+\-|*(0-9)]+", "", x) for x in lines]
+    at = [i for i, x in enumerate(below) if x.startswith("Exchange")]
+    return sum(next(x for x in below[i + 1 :] if re.match(r"FileScan|\w*Join", x)).startswith("FileScan") for i in at)
+
+
+def test_few_pairs_do_not_shuffle_all_groups(spark):
+    sets = F.transform(F.sequence(F.lit(0), F.lit(200)), lambda k: F.xxhash64("grp", k))
+    members = jaccard.materialise(spark.range(400).select(F.col("id").alias("grp")).select("grp", F.array(F.struct(F.col("grp").alias("id"), F.array_join(sets, "").cast("binary").alias("set"))).alias("members")))
+    pairs = jaccard.materialise(spark.createDataFrame([(1, 2), (1, 3), (7, 3), (8, 9)], "grp long, other long").coalesce(1))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        opened = jaccard.open_pairs(pairs, members)
+        assert shuffled_scans(opened) == 0
+        found = sorted((r["members"][0]["id"], r["others"][0]["id"], len(r["members"][0]["set"]) > 1000) for r in opened.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert found == [(1, 2, True), (1, 3, True), (7, 3, True), (8, 9, True)]
+
+
+def test_shingles_of_one_component_are_not_dealt_out(spark):
+    tokens = spark.createDataFrame([(5, 1), (5, 2), (6, 1), (6, 3), (7, 3), (8, 3), (8, 4)], "token long, id long")
+    groups = spark.createDataFrame([(1, 10, 1), (2, 11, 1), (3, 12, 3), (4, 12, 4)], "id long, grp long, comp long")
+    assert sorted(map(tuple, jaccard.crossing(tokens, groups).collect())) == [(6, 10), (6, 12), (8, 12), (8, 12)]
+
+
 def test_copies_with_an_added_passage(spark):
     rows = []
     for i, (size, ratio, ahead) in enumerate((s, r, a) for s in (40, 64, 200, 333, 1000) for r in (1.18, 1.2, 1.22, 1.24, 1.25) for a in (False, True)):
