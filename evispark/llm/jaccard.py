@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .common import give_back
 from .tokens import texts
 
 WIDTH = 5
@@ -149,6 +150,8 @@ def survey(docs: DataFrame) -> DataFrame:
         blocks = [i for i in range(COUNTERS // BLOCK) if counters[i * BLOCK : (i + 1) * BLOCK].any()]
         packed = [pack.compress(np.minimum(counters[i * BLOCK : (i + 1) * BLOCK], 65535).astype("<u2").tobytes()) for i in blocks]
         yield make(*([None] * len(blocks) for _ in range(3)), blocks, packed)
+        del counters
+        give_back()
 
     schema = "doc_id long, n long, key long, block int, counts binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, schema)
@@ -178,6 +181,7 @@ def shingle_counts(surveyed: DataFrame) -> np.ndarray:
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """Rows (token, key, n) of each class's prefix, rare shingles first; a class comes once from each task at most."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
+    give_back()  # what sums and their copies took from the driver
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -195,6 +199,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             many = [len(t) for t in tokens]
             if many:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.asarray(keys, dtype=np.int64), many)), pa.array(np.repeat(np.asarray(sizes, dtype=np.int64), many))], ["token", "key", "n"])
+        give_back()
 
     return docs.select("text").mapInArrow(read, "token long, key long, n long")
 
@@ -308,6 +313,7 @@ def verified(pairs: DataFrame) -> DataFrame:
                 row = {name: batch.column(k)[i].as_py() for k, name in enumerate(("members", "others"))}
                 found += _links(_read_side(row, "members"), _read_side(row, "others") if row["others"] is not None else None)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        give_back()
 
     return pairs.select("members", "others").mapInArrow(read, "a long, b long")
 
@@ -346,6 +352,7 @@ def class_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             sets = shingle_sets(list(texts(batch)))
             columns = [batch.column(0), pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "key", "set"])
+        give_back()
 
     named = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").select("id", slot(F.col("id")).alias("slot"), "text")
     return named.mapInArrow(read, "id long, key long, set binary")

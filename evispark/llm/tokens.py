@@ -45,7 +45,7 @@ class Encoder:
 
     #: Words that a half of the memory holds at most. When it is full it becomes the old half, and what was old and wasn't met
     #: since is forgotten, so frequent words stay. Pieces of words are remembered as words.
-    MOST = 300_000
+    MOST = 200_000
     PLAIN = re.compile("[\x21-\x7e\xa1-įı-ſ]+")
     MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -155,9 +155,14 @@ class Encoder:
             at, done = end, int(ends[end - 1])
 
     def _block(self, column: pa.Array) -> list[bytes]:
-        """Each distinct word is a stem, lower-cased where the file does so too, and a mark or nothing; each distinct stem is encoded."""
+        """Each distinct word is a stem, lower-cased where the file does so too, and a mark or nothing; each distinct stem is encoded.
+
+        A block has fewer than 2^31 ids, so places are 32-bit numbers; what is done with goes before the ids are laid out.
+        """
         words = pc.ascii_split_whitespace(column)
+        last = 2 * np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(), dtype=np.int64)])
         coded = words.flatten().dictionary_encode()
+        del words
         stems, known = coded.dictionary, len(coded.dictionary)
         marks = pa.array([""] * known)
         if self.plain_rules:
@@ -167,15 +172,22 @@ class Encoder:
             stems = pc.if_else(pc.match_substring(bare, "<|"), bare, pc.ascii_lower(bare))
         parts = pa.concat_arrays([stems.cast(pa.binary()), marks.cast(pa.binary())]).dictionary_encode()
         found = self._words(parts.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
         # Two parts for each word of the block, in order.
         place = parts.indices.to_numpy().reshape(2, known).T[coded.indices.to_numpy()].ravel()
-        begins, n = np.cumsum(sizes) - sizes, sizes[place]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        source = np.repeat(begins[place] - ends[:-1], n) + np.arange(ends[-1])
-        data = np.frombuffer(b"".join(found), dtype="<u4")[source].tobytes()
-        cuts = 4 * ends[2 * np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(), dtype=np.int64)])]
-        return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        del coded, parts, stems, marks, found
+        pa.default_memory_pool().release_unused()
+        n = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        begins = (np.cumsum(sizes, dtype=np.int32) - sizes)[place]
+        begins -= ends[:-1].astype(np.int32)
+        cuts = ends[last].tolist()
+        source = np.repeat(begins, n)
+        del place, begins, n, ends
+        source += np.arange(len(source), dtype=np.int32)
+        data = ids[source]
+        return [data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import words
+from .common import give_back, words
 from .tokens import forget_encoders, texts
 
 #: Features are hashed to this many places; a sample has at most so many toxic rows, and twice as many clean ones.
@@ -247,6 +247,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
     long text takes memory for its own words only.
     """
     keep = [c for c in keep if c not in NEW]
+    give_back()  # what fitting took from the driver
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema
 
@@ -262,6 +263,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
                 more = [pa.array(chances @ np.arange(GRADES)), pa.array(p), pa.array(chances.argmax(axis=1).astype(np.int32)), pa.array(p >= m.cut)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*keep, *NEW])
         _WORDS.known.clear()
+        give_back()
 
     kept = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in keep)
     # A kept text crosses to Python once.

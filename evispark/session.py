@@ -34,18 +34,22 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return prepare(spark)
 
 
-#: Rows that cross to a Python worker in one go; texts may be long, and Spark's own bound is five times as many.
-BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")
+#: Rows and bytes that cross to a Python worker in one go, Spark's own bounds and these: texts may be long, and both the executor and
+#: the worker hold a batch in several copies. A longer row crosses alone.
+BATCH = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"),
+)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers find this package where it lies in a folder that they share; elsewhere it has to be installed.
 
-    The number of rows that go to them at once is lowered, unless the session has one of its own.
+    The rows and bytes that go to them at once are lowered, unless the session has bounds of its own.
     """
-    name, usual, fewer = BATCH
-    if spark.conf.get(name, usual) == usual:
-        spark.conf.set(name, fewer)
+    for name, usual, fewer in BATCH:
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, fewer)
     root = str(Path(__file__).resolve().parents[1])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:

@@ -38,6 +38,23 @@ def test_words_encode_as_the_whole_text_does(text):
     assert found == [expected, [], [], full.encode(text + " Abc, abc!", add_special_tokens=False).ids, expected]
 
 
+def test_long_texts_cross_in_small_batches(spark, whole):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("Word "), "id", F.lit(", ")), 10_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    found = df.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in found) == 300 and max(r["bytes"] for r in found) < 5 << 20
+    out = {r["doc_id"]: r for r in packing.pieces(df.where("doc_id < 3"), PATH, 1 << 30).collect()}
+    for i in range(3):
+        ids = whole.encode(f"Word {i}, " * 10_000, add_special_tokens=False).ids + [tokens.END_ID]
+        assert (out[i]["length"], out[i]["ids_crc32"]) == (len(ids), crc(ids))
+
+
 def test_token_files(docs, texts, whole, odd, empty):
     rows = {r["doc_id"]: r for r in tokens.token_table(docs).collect()}
     start = 0
