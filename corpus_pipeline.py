@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     prepare(spark)
     key = F.xxhash64("doc_id", "text", F.lit(23))
-    found = jaccard.near_duplicates(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    found = jaccard.near_duplicates(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id")
     named = docs.select(key.alias("_key"), "doc_id").distinct()
     rows = materialise(found.join(named, "_key"), "groups")
     best = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).getField("_key").alias("_key"))

@@ -254,8 +254,26 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_on(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, comp), components themselves, with those joined that more ``links`` (a, b) lead between.
+
+    Only links between components count, and rounds go over the components that have any.
+    """
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("comp").alias(f"_{side}"))
+    across = links.join(of("a"), "a").join(of("b"), "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    across = materialise(across, "links")
+    if across.isEmpty():
+        return labels
+    nodes = across.select(F.col("a").alias("id")).union(across.select("b")).distinct()
+    over = components(across, nodes).select(F.col("id").alias("comp"), F.col("comp").alias("_over"))
+    return materialise(labels.join(over, "comp", "left").select("id", F.coalesce("_over", "comp").alias("comp")), "labels")
+
+
 def _links(members: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]] | None) -> list[tuple[int, int]]:
-    """Links between members (others is None), or between members and others, as a forest: enough to join what is linked."""
+    """Links between members (others is None), or between members and others: enough to join what is linked.
+
+    Whatever hangs together is linked to its smallest id itself, so that ``components`` has few rounds.
+    """
     every = members + (others or [])
     ids = [c for c, _ in every]
     tokens, flat = np.unique(np.concatenate([s for _, s in every]), return_inverse=True)
@@ -283,7 +301,6 @@ def _links(members: list[tuple[int, np.ndarray]], others: list[tuple[int, np.nda
     if not left.size or not right.size:
         return []
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    found = []
     mark = np.zeros(len(tokens), bool)
     spans = [flat[bounds[i] : bounds[i + 1]] for i in right]
     joined, starts = np.concatenate(spans), np.concatenate([[0], np.cumsum([len(s) for s in spans])[:-1]])
@@ -295,8 +312,10 @@ def _links(members: list[tuple[int, np.ndarray]], others: list[tuple[int, np.nda
         for j in right[100 * common >= 80 * union]:
             if i != j and root(int(i)) != root(int(j)):
                 parent[root(int(i))] = root(int(j))
-                found.append((ids[i], ids[int(j)]))
-    return found
+    least: dict[int, int] = {}
+    for i, c in enumerate(ids):
+        least[root(i)] = min(c, least.get(root(i), c))
+    return sorted({(c, least[root(i)]) for i, c in enumerate(ids) if least[root(i)] < c})
 
 
 def _read_side(row, name: str) -> list[tuple[int, np.ndarray]]:
@@ -362,6 +381,7 @@ def class_links(docs: DataFrame, found: DataFrame, counts: np.ndarray) -> tuple[
     """(classes, labels): classes (key, n, id) with the smallest doc_id as id, and (id, comp) of those with a candidate."""
     classes = materialise(found.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("id")), "classes")
     shared = materialise(shared_tokens(prefixes(docs, counts)).join(classes, ["key", "n"]).select("token", "id", "n"), "prefixes")
+    del counts  # as many as there are counters; a large part of a small driver
     tokens = likely(shared)
     # A class's kind is the shingle of its prefix that most classes share.
     spread = materialise(tokens.groupBy("token").agg(F.count("*").alias("many")), "spread")
@@ -377,8 +397,7 @@ def class_links(docs: DataFrame, found: DataFrame, counts: np.ndarray) -> tuple[
     with_hub = materialise(hubs.where("part > 0").join(first, "kind").select("grp", F.col("hub").alias("other")), "pairs")
     own = inside.select("members", F.lit(None).cast(inside.schema["members"].dataType).alias("others"))
     links = compared(own.unionByName(open_pairs(with_hub, inside)))
-    nodes = groups.select("id").distinct()
-    labels = components(links, nodes)
+    labels = components(links, groups.select("id").distinct())
 
     # Formed anew: large components alone, small ones together by kind; then whatever can still join two components.
     sized = labels.join(labels.groupBy("comp").agg(F.count("*").alias("_size")), "comp").join(groups.select("id", "n", "kind", F.col("grp").alias("was")), "id")
@@ -400,7 +419,7 @@ def class_links(docs: DataFrame, found: DataFrame, counts: np.ndarray) -> tuple[
     members = materialise(dealt.groupBy("grp").agg(F.collect_list(F.struct("id", "set")).alias("members")), "members")
     own = members.join(fresh, "grp", "left_semi").select("members", F.lit(None).cast(members.schema["members"].dataType).alias("others"))
     more = compared(own.unionByName(open_pairs(pairs, members)))
-    return classes, components(links.union(more), nodes)
+    return classes, joined_on(labels, more)
 
 
 def crossing(tokens: DataFrame, groups: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +92,12 @@ class Model:
 
 def _starts(owner: np.ndarray, n: int) -> np.ndarray:
     """Where each row's entries begin; ``owner`` is ascending."""
-    return np.searchsorted(owner, np.arange(n + 1))
+    return np.searchsorted(owner, np.arange(n + 1, dtype=owner.dtype))
+
+
+def _rows(many: np.ndarray) -> np.ndarray:
+    """The row of each entry, where rows have so many."""
+    return np.repeat(np.arange(len(many), dtype=np.int32), many)
 
 
 def _blocks(starts: np.ndarray, most: int = 1 << 18) -> list[tuple[int, int]]:
@@ -108,21 +114,38 @@ def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps:
     """Maximum likelihood with a quadratic penalty, by Adam over all rows; thresholds stay in ascending order.
 
     ``flat`` has the features of all rows, ``owner`` (ascending) their rows. Features that fewer than LEAST rows have get no
-    weight: they would only learn these rows by heart. Memory is the entries' and that of a block of rows.
+    weight: they would only learn these rows by heart.
+    """
+    return fit_rows(flat, _starts(owner, len(grades)), grades, None, steps, rate, decay)
+
+
+def fit_rows(flat: np.ndarray, starts: np.ndarray, grades: np.ndarray, own: np.ndarray | None = None, steps: int = 150, rate: float = 0.05, decay: float = 1e-3) -> Model:
+    """``fit_ordinal`` of the rows that ``own`` marks (None: all); a row's features begin in ``flat`` where ``starts`` says.
+
+    Beside ``flat``, memory is one number for each feature that gets a weight, and that of a block of rows.
     """
-    n, levels = len(grades), GRADES - 1
-    parts = _blocks(starts := _starts(owner, n))
+    chosen = np.arange(len(grades)) if own is None else np.flatnonzero(own)
+    n, levels, grades, many = len(chosen), GRADES - 1, grades[chosen], np.diff(starts)[chosen]
+    parts = _blocks(np.concatenate([[0], np.cumsum(many)]))
+
+    def entries(lo: int, hi: int) -> np.ndarray:
+        """The features of a block."""
+        at, end = chosen[lo], chosen[hi - 1] + 1
+        picked = np.zeros(end - at, dtype=bool)
+        picked[chosen[lo:hi] - at] = True
+        return flat[starts[at] : starts[end]][np.repeat(picked, np.diff(starts[at : end + 1]))]
+
     counts = np.zeros(SPACE, dtype=np.int64)
     for lo, hi in parts:
-        counts += np.bincount(flat[starts[lo] : starts[hi]], minlength=SPACE)
+        counts += np.bincount(entries(lo, hi), minlength=SPACE)
     places = np.flatnonzero(counts >= LEAST)
     number = np.full(SPACE, -1, dtype=np.int32)
     number[places] = np.arange(len(places), dtype=np.int32)
-    rows = []  # of each block: its rows, its entries' weights, and the row of each entry
+    rows = []  # of each block: its rows, its entries' weights, and how many of these each row has
     for lo, hi in parts:
-        inner = number[flat[starts[lo] : starts[hi]]]
+        inner = number[entries(lo, hi)]
         often = inner >= 0
-        rows.append((lo, hi, inner[often], (owner[starts[lo] : starts[hi]][often] - lo).astype(np.int32)))
+        rows.append((lo, hi, inner[often], np.bincount(_rows(many[lo:hi])[often], minlength=hi - lo)))
     size = len(places)
     weights, gaps = np.zeros(size), np.array([1.0, *[0.0] * (levels - 1)])  # first threshold, then logs of the gaps
     state = [np.zeros(size), np.zeros(size), np.zeros(levels), np.zeros(levels)]
@@ -130,7 +153,8 @@ def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps:
     for step in range(1, steps + 1):
         edge = np.concatenate([[-60.0], np.cumsum([gaps[0], *np.exp(gaps[1:])]), [60.0]])
         grad_w, by_edge = decay * weights, np.zeros(GRADES + 1)
-        for lo, hi, inner, row in rows:
+        for lo, hi, inner, each in rows:
+            row = _rows(each)
             scores = np.bincount(row, weights=weights[inner], minlength=hi - lo)
             low, high = grades[lo:hi], grades[lo:hi] + 1
             sa, sb = s(edge[low] - scores), s(edge[high] - scores)
@@ -149,22 +173,20 @@ def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps:
     return Model(every, np.cumsum([gaps[0], *np.exp(gaps[1:])]))
 
 
-def toxic_cut(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> float:
+def toxic_cut(flat: np.ndarray, starts: np.ndarray, grades: np.ndarray) -> float:
     """The chance from which on a row counts as toxic, told by rows that a model hasn't seen: each fold is scored by a model of the others."""
     n, toxic = len(grades), grades > 0
     if toxic.sum() < 2 * FOLDS or (~toxic).sum() < 2 * FOLDS:
         return 0.5
-    starts, fold, chances = _starts(owner, n), np.empty(n, dtype=np.int64), np.empty(n)
+    fold, chances = np.empty(n, dtype=np.int64), np.empty(n)
     for which in (toxic, ~toxic):  # rows are in order of a hash
         fold[which] = np.arange(which.sum()) % FOLDS
     for f in range(FOLDS):
         own = fold != f
-        number = np.cumsum(own) - 1
-        mine = own[owner]
-        model = fit_ordinal(flat[mine], number[owner[mine]], grades[own])
+        model = fit_rows(flat, starts, grades, own)
         sums = np.zeros(n)
         for lo, hi in _blocks(starts):
-            sums[lo:hi] = np.bincount(owner[starts[lo] : starts[hi]] - lo, weights=model.weights[flat[starts[lo] : starts[hi]]], minlength=hi - lo)
+            sums[lo:hi] = np.bincount(_rows(np.diff(starts[lo : hi + 1])), weights=model.weights[flat[starts[lo] : starts[hi]]], minlength=hi - lo)
         chances[~own] = 1 - model.chances(sums[~own])[:, 0]
     return float(min(0.5, max(np.quantile(chances[toxic], 1 - RECALL), np.quantile(chances[~toxic], 1 - MOST_FLAGGED))))
 
@@ -225,19 +247,29 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     rows = graded.mapInArrow(featurise, "row long, toxic boolean, hits long, features binary").toArrow()
     if not rows.num_rows:
         return Model(np.zeros(SPACE, dtype=np.float32), np.array([40.0, 41.0, 42.0]))
-    rows = rows.sort_by([("row", "ascending"), ("hits", "ascending")])
-    toxic, hits = rows["toxic"].to_numpy(), rows["hits"].to_numpy()
-    features = rows["features"].combine_chunks()
-    features = features.chunk(0) if isinstance(features, pa.ChunkedArray) else features
-    ends = np.frombuffer(features.buffers()[1], dtype=np.int32, count=len(features) + 1, offset=4 * features.offset) // 4
-    flat = np.frombuffer(features.buffers()[2], dtype=np.int32)[ends[0] : ends[-1]]
-    owner = np.repeat(np.arange(len(features), dtype=np.int32), np.diff(ends))
-    grades = severity_grades(hits, toxic)
-    model = fit_ordinal(flat, owner, grades)
-    model.cut = toxic_cut(flat, owner, grades)
+    order = pc.sort_indices(rows, sort_keys=[("row", "ascending"), ("hits", "ascending")]).to_numpy()
+    grades = severity_grades(rows["hits"].to_numpy()[order], rows["toxic"].to_numpy()[order])
+    flat, starts = in_order(rows["features"], order)
+    del rows
+    give_back()
+    model = fit_rows(flat, starts, grades)
+    model.cut = toxic_cut(flat, starts, grades)
     return model
 
 
+def in_order(features: pa.ChunkedArray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, starts): the features of all rows, one row after another as ``order`` says, and where each row's begin."""
+    many = pc.binary_length(features).to_numpy() // 4
+    starts = np.concatenate([[0], np.cumsum(many[order])])
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = starts[:-1]
+    flat = np.empty(starts[-1], dtype=np.int32)
+    for value, at, n in zip(features, place, many, strict=True):
+        if n:
+            flat[at : at + n] = np.frombuffer(value.as_buffer(), dtype=np.int32)
+    return flat, starts
+
+
 def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:
     """``keep`` and severity, p_toxic, grade and toxic for each row; whole texts are read.
 

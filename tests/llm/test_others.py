@@ -1,8 +1,10 @@
 """Licences, near duplicates, toxicity, fixity and the pipeline against brute force."""
 
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evispark.llm import fixity, jaccard, licences, toxicity
@@ -93,6 +95,30 @@ def test_shingles_of_one_component_are_not_dealt_out(spark):
     assert sorted(map(tuple, jaccard.crossing(tokens, groups).collect())) == [(6, 10), (6, 12), (8, 12), (8, 12)]
 
 
+def test_links_lead_to_the_smallest_id():
+    span = lambda a: np.arange(a, a + 100, dtype=np.uint64)
+    chain = [(50 - i, span(5 * i)) for i in range(5)] + [(7, span(1000))]
+    assert jaccard._links(chain, None) == [(i, 46) for i in (47, 48, 49, 50)]
+    assert jaccard._links(chain[:2], chain[2:]) == [(i, 47) for i in (48, 49, 50)]
+    assert jaccard._links(chain[1:2], chain[2:3] + [(9, span(5))]) == [(48, 9), (49, 9)]
+
+
+def test_later_links_join_components_alone(spark, monkeypatch):
+    labels = jaccard.materialise(spark.createDataFrame([(i, i // 10 * 10) for i in range(100)], "id long, comp long"))
+    join = lambda links: dict(map(tuple, jaccard.joined_on(labels, spark.createDataFrame(links, "a long, b long")).collect()))
+    assert join([(35, 72), (79, 51), (12, 15)]) == {i: 30 if i // 10 in (3, 5, 7) else i // 10 * 10 for i in range(100)}
+    monkeypatch.setattr(jaccard, "components", None)
+    assert join([(12, 15), (90, 99)]) == {i: i // 10 * 10 for i in range(100)} == join([])
+
+
+def test_a_chain_of_near_copies_takes_few_rounds(spark, monkeypatch):
+    rounds, store = [], jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, label="step": rounds.append(label) or store(df, label))
+    words = [f"w{i}" for i in range(400)]
+    check_components(spark.createDataFrame([(i * 37 % 101, " ".join(words[2 * i : 2 * i + 60])) for i in range(101)], "doc_id long, text string"))
+    assert rounds.count("labels") <= 20, rounds.count("labels")
+
+
 def test_copies_with_an_added_passage(spark):
     rows = []
     for i, (size, ratio, ahead) in enumerate((s, r, a) for s in (40, 64, 200, 333, 1000) for r in (1.18, 1.2, 1.22, 1.24, 1.25) for a in (False, True)):
@@ -307,6 +333,34 @@ def test_ordinal_fit_equals_a_dense_one():
     assert np.allclose(model.weights[:m], value[:m], atol=2e-3) and np.allclose(model.thresholds, np.cumsum([value[m], *np.exp(value[m + 1 :])]), atol=2e-3)
 
 
+def test_fitting_holds_entries_once_more_at_most():
+    rng = np.random.default_rng(5)
+    flat, grades = rng.integers(0, 5000, 12_000_000, dtype=np.int32), np.arange(3000) % 4
+    owner = np.repeat(np.arange(3000, dtype=np.int32), 4000)
+    tracemalloc.start()
+    try:
+        toxicity.fit_ordinal(flat, owner, grades, steps=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.9 * flat.nbytes, peak / flat.nbytes
+    # Marked rows alone are the same as a table of these rows; a model of them is that of a fold.
+    own = np.arange(3000) % 3 > 0
+    many = np.where(np.arange(3000) % 7 == 0, 0, 40)
+    starts = np.concatenate([[0], np.cumsum(many)])
+    few = toxicity.fit_rows(flat, starts, grades, own, steps=5)
+    mine = np.repeat(own, many)
+    same = toxicity.fit_ordinal(flat[: len(mine)][mine], np.repeat(np.cumsum(own) - 1, many)[mine], grades[own], steps=5)
+    assert (few.weights == same.weights).all() and (few.thresholds == same.thresholds).all()
+
+
+def test_features_in_order():
+    rows = [np.array(x, dtype=np.int32) for x in ([5, 6], [], [7], [1, 2, 3])]
+    chunks = pa.chunked_array([pa.array([b"?", *(r.tobytes() for r in part)], pa.binary()).slice(1) for part in (rows[:1], rows[1:])])
+    flat, starts = toxicity.in_order(chunks, np.array([3, 1, 0, 2]))
+    assert flat.tolist() == [1, 2, 3, 5, 6, 7] and starts.tolist() == [0, 3, 3, 5, 6]
+
+
 def test_grades_of_the_table_on_held_out_rows(spark):
     """Nine in ten toxic rows of a fold that a fit on some 350 toxic rows did not see are found, and one in fifty clean ones flagged at most."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
