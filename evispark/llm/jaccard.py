@@ -205,34 +205,31 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
-    """The rows (token, key, n) whose token another class of fitting size has in its prefix too, without repeats.
+    """The rows (token, key, n) whose token another class of fitting size has in its prefix too, without repeats, and how ``many`` classes have it.
 
     Linked sets differ in size by a quarter at most, and if any class fits, the one next in size does.
     """
     by = Window.partitionBy("token").orderBy("n", "key")
-    back_n, back_key, next_n, next_key = F.lag("n").over(by), F.lag("key").over(by), F.lead("n").over(by), F.lead("key").over(by)
     n, key = F.col("n"), F.col("key")
-    marked = rows.withColumns(
-        {
-            "_repeat": F.coalesce((back_key == key) & (back_n == n), F.lit(False)),
-            "_fits": F.coalesce(5 * back_n >= 4 * n, F.lit(False)) | F.coalesce(5 * n >= 4 * next_n, F.lit(False)),
-        }
-    )
-    # Where the next row repeats the class, what follows it isn't known here; later counts show whether anything does.
-    return marked.where("_fits and not _repeat").select("token", "key", "n")
+    same = (F.lag("key").over(by) == key) & (F.lag("n").over(by) == n)
+    # Repeats stand together; they go first, so that no class is taken for its own neighbour.
+    once = rows.withColumn("_repeat", F.coalesce(same, F.lit(False))).where("not _repeat").drop("_repeat")
+    fits = F.coalesce(5 * F.lag("n").over(by) >= 4 * n, F.lit(False)) | F.coalesce(5 * n >= 4 * F.lead("n").over(by), F.lit(False))
+    marked = once.withColumns({"_fits": fits, "many": F.count("*").over(Window.partitionBy("token"))})
+    return marked.where("_fits").select("token", "key", "n", "many")
+
 
+def likely(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, n, kind, tokens) of the classes that share as many shingles of their prefixes as they must, if they link at all.
 
-def likely(tokens: DataFrame, rounds: int = 2) -> DataFrame:
-    """The rows (token, id, n) of classes that share as many shingles of their prefixes as they must, if they link at all."""
-    least = (4 * F.col("n") + 4) / 5
-    m = F.floor(least)  # the smallest size that fits
+    ``tokens`` are those shingles, ``kind`` the one that most classes have. They are gathered where the join with ``classes``
+    (key, n, id) has dealt them, so each crosses to another task once, and from here on a class is one row.
+    """
+    m = F.floor((4 * F.col("n") + 4) / 5)  # the smallest size that fits
     must = F.least(F.floor((4 * m + 4) / 5), 1 + F.floor(m / 32))
-    for _ in range(rounds):
-        enough = tokens.groupBy("id", "n").agg(F.count("*").alias("_have")).where(F.col("_have") >= must).select("id", "n")
-        kept = tokens.join(enough, ["id", "n"], "left_semi")
-        shared = kept.groupBy("token").agg(F.count("*").alias("_many")).where("_many > 1").select("token")
-        tokens = materialise(kept.join(shared, "token", "left_semi"), "prefixes")
-    return tokens
+    of_class = shared.join(classes, ["key", "n"]).groupBy("key", "n")
+    found = of_class.agg(F.min("id").alias("id"), F.max(F.struct("many", "token")).getField("token").alias("kind"), F.collect_list("token").alias("tokens"))
+    return found.where(F.size("tokens") >= must).select("id", "n", "kind", "tokens")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -380,14 +377,9 @@ def class_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def class_links(docs: DataFrame, found: DataFrame, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(classes, labels): classes (key, n, id) with the smallest doc_id as id, and (id, comp) of those with a candidate."""
     classes = materialise(found.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("id")), "classes")
-    shared = materialise(shared_tokens(prefixes(docs, counts)).join(classes, ["key", "n"]).select("token", "id", "n"), "prefixes")
+    chosen = materialise(likely(shared_tokens(prefixes(docs, counts)), classes), "prefixes")
     del counts  # as many as there are counters; a large part of a small driver
-    tokens = likely(shared)
-    # A class's kind is the shingle of its prefix that most classes share.
-    spread = materialise(tokens.groupBy("token").agg(F.count("*").alias("many")), "spread")
-    best = F.max(F.struct("many", "token")).alias("best")
-    involved = tokens.join(spread, "token").groupBy("id", "n").agg(best)
-    groups = materialise(grouped(involved.select("id", "n", F.col("best.token").alias("kind")), "kind"), "groups")
+    groups = materialise(grouped(chosen.select("id", "n", "kind"), "kind"), "groups")
 
     wanted = groups.join(classes.select("id", "key", "n"), ["id", "n"]).select("id", "key", "grp")
     sets = class_sets(docs, wanted.select("id")).join(wanted, ["id", "key"])
@@ -406,7 +398,7 @@ def class_links(docs: DataFrame, found: DataFrame, counts: np.ndarray) -> tuple[
     alone = regrouped.groupBy("grp").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.min("was") < F.max("was")).alias("new")
     )
-    matrix = crossing(tokens, regrouped).distinct().join(alone.select("grp", "lo", "hi"), "grp")
+    matrix = crossing(chosen, regrouped).distinct().join(alone.select("grp", "lo", "hi"), "grp")
     open_tokens = matrix.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count("*").alias("_many")).where("_lo < _hi and _many > 1").select("token")
     rows = materialise(matrix.join(open_tokens, "token"), "matrix")
     other = rows.select("token", F.col("grp").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
@@ -425,9 +417,11 @@ def class_links(docs: DataFrame, found: DataFrame, counts: np.ndarray) -> tuple[
 def crossing(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     """(token, grp) of the classes whose shingle some class of another component has in its prefix too, stored.
 
-    Only such a shingle can join two components; most are of one family and needn't be dealt out by group.
+    Only such a shingle can join two components; most are of one family and needn't be dealt out by group. ``tokens`` has
+    (id, token), or a class's ``tokens`` in one row.
     """
-    named = tokens.join(groups.select("id", "grp", "comp"), "id").select("token", "grp", "comp")
+    each = F.explode("tokens").alias("token") if "tokens" in tokens.columns else F.col("token")
+    named = tokens.join(groups.select("id", "grp", "comp"), "id").select(each, "grp", "comp")
     several = named.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("token")
     return materialise(named.join(several, "token", "left_semi").select("token", "grp"), "crossing")
 

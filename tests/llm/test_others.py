@@ -95,6 +95,26 @@ def test_shingles_of_one_component_are_not_dealt_out(spark):
     assert sorted(map(tuple, jaccard.crossing(tokens, groups).collect())) == [(6, 10), (6, 12), (8, 12), (8, 12)]
 
 
+def test_shingles_of_prefixes_are_shuffled_twice(spark):
+    """Once by shingle and once by class, beside the classes themselves; copies of a class in two tasks aren't two classes."""
+    # Classes 1 and 2 share three shingles, 3 has a copy only, 4 is too large for 1 and 2, and 5 shares fewer shingles than it must.
+    own = {1: (40, [1, 2, 3, 7]), 2: (44, [1, 2, 3, 8]), 3: (40, [4, 5, 6]), 4: (90, [1, 2, 3]), 5: (41, [8, 9])}
+    rows = [(t, k, n) for k, (n, tokens) in own.items() for t in tokens]
+    rows += [r for r in rows if r[1] in (1, 3)]
+    rows = spark.createDataFrame(rows, "token long, key long, n long")
+    classes = spark.createDataFrame([(k, n, 10 * k) for k, (n, _) in own.items()], "key long, n long, id long")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shared = jaccard.shared_tokens(rows)
+        assert sorted((r["token"], r["key"]) for r in shared.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (8, 2), (8, 5)]
+        found = jaccard.likely(shared, classes)
+        assert len(re.findall(r"Exchange hashpartitioning", found._jdf.queryExecution().executedPlan().toString())) == 3
+        assert sorted((r["id"], r["n"], r["kind"], sorted(r["tokens"])) for r in found.collect()) == [(10, 40, 3, [1, 2, 3]), (20, 44, 3, [1, 2, 3, 8])]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
 def test_links_lead_to_the_smallest_id():
     span = lambda a: np.arange(a, a + 100, dtype=np.uint64)
     chain = [(50 - i, span(5 * i)) for i in range(5)] + [(7, span(1000))]
