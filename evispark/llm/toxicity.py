@@ -11,6 +11,7 @@ on how often such words stand in it.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,33 +46,57 @@ STRIP = ".,;:!?*#$%&()[]{}<>|\"'-_"
 class Words:
     """The features of words, remembered by word: the word and its beginnings."""
 
+    #: Words that a half of the memory holds at most. When it is full it becomes the old half, and what was old and wasn't met
+    #: since is forgotten, so frequent words stay.
     MOST = 60_000
     BEGINNINGS = (4, 5, 6, 7, 8)
+    STARTS = tuple((n, zlib.crc32(f"p{n}".encode())) for n in BEGINNINGS)
+    WHOLE = zlib.crc32(b"w")
 
     def __init__(self):
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def of(self, word: bytes) -> tuple[int, ...]:
+    def of(self, word: bytes) -> bytes:
+        """The features as 32-bit integers, one after another."""
         found = self.known.get(word)
         if found is None:
-            bare = word.decode("utf-8", "replace").lower().strip(STRIP)
-            kinds = ["w" + bare, *(f"p{n}{bare[:n]}" for n in self.BEGINNINGS if len(bare) > n)] if bare else []
-            found = tuple(zlib.crc32(x.encode()) % (SPACE // 2) for x in kinds)
-            if len(self.known) >= self.MOST:
-                self.known.clear()
+            found = self.old.get(word)
+            if found is None:
+                found = self.made(word)
             if len(word) <= 64:
+                if len(self.known) >= self.MOST:
+                    self.old, self.known = self.known, {}
                 self.known[word] = found
         return found
 
+    def made(self, word: bytes) -> bytes:
+        bare = word.decode("utf-8", "replace").lower().strip(STRIP)
+        if not bare:
+            return b""
+        size = len(bare)
+        codes = [zlib.crc32(bare.encode(), self.WHOLE), *(zlib.crc32(bare[:n].encode(), start) for n, start in self.STARTS if size > n)]
+        return array("i", [c % (SPACE // 2) for c in codes]).tobytes()
+
     def features(self, text: bytes) -> np.ndarray:
         """The sorted places of the features that a text has; the upper half of the places is for those it has twice."""
-        times: dict[int, int] = {}
-        for word, n in Counter(text.split()).items():
-            for f in self.of(word):
-                times[f] = times.get(f, 0) + n
-        found = sorted(times)
-        found += [f + SPACE // 2 for f in found if times[f] > 1]
-        return np.fromiter(found, dtype=np.int32, count=len(found))
+        of, times = self.of, Counter(text.split())
+        each = [of(word) for word in times]
+        each += [features for features, n in zip(each, times.values(), strict=True) if n > 1]
+        flat = np.frombuffer(bytearray().join(each), dtype=np.int32)
+        flat.sort()
+        again = flat[1:] == flat[:-1]
+        return np.concatenate([_ascending(flat), _ascending(flat[1:][again]) + np.int32(SPACE // 2)])
+
+    def forget(self) -> None:
+        self.known, self.old = {}, {}
+
+
+def _ascending(flat: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats."""
+    first = np.ones(len(flat), dtype=bool)
+    np.not_equal(flat[1:], flat[:-1], out=first[1:])
+    return flat[first]
 
 
 _WORDS = Words()
@@ -294,7 +319,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataF
                 p = 1 - chances[:, 0]
                 more = [pa.array(chances @ np.arange(GRADES)), pa.array(p), pa.array(chances.argmax(axis=1).astype(np.int32)), pa.array(p >= m.cut)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], [*keep, *NEW])
-        _WORDS.known.clear()
+        _WORDS.forget()
         give_back()
 
     kept = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in keep)

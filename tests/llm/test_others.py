@@ -2,6 +2,8 @@
 
 import re
 import tracemalloc
+import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -302,6 +304,24 @@ def labelled(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, toxic int, k int")
 
 
+def test_frequent_words_stay_remembered(monkeypatch):
+    worked_out = []
+    monkeypatch.setattr(toxicity, "zlib", SimpleNamespace(crc32=lambda data, *start: worked_out.append(bytes(data)) or zlib.crc32(data, *start)))
+    words, half = toxicity.Words(), toxicity.SPACE // 2
+    monkeypatch.setattr(toxicity.Words, "MOST", 60)
+    for i in range(40):
+        text = [f"often{k}" for k in range(20)] + [f"New{i}x{k}." for k in range(20)] + ["often3", "ärger", "--", "a"]
+        times = {}
+        for word in text:
+            bare = word.lower().strip(toxicity.STRIP)
+            for x in ["w" + bare, *(f"p{n}{bare[:n]}" for n in (4, 5, 6, 7, 8) if len(bare) > n)] if bare else []:
+                f = zlib.crc32(x.encode()) % half
+                times[f] = times.get(f, 0) + 1
+        assert words.features(" ".join(text).encode()).tolist() == sorted(times) + sorted(f + half for f in times if times[f] > 1)
+    assert not words.features(b"").size
+    assert sum(x.endswith(b"often7") for x in worked_out) == 1
+
+
 def test_toxicity_on_held_out_rows(spark, odd, empty):
     df = labelled(spark)
     model = toxicity.fit(df, df.where("doc_id % 4 <> 1").select("doc_id", "toxic"))
