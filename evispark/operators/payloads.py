@@ -14,9 +14,29 @@ from ..session import materialise
 OBJECT, ARRAY = "OBJECT", "ARRAY"
 
 
+def is_object(value: Column) -> Column:
+    """Whether a VARIANT is an object; false where it is missing. Its members aren't looked at."""
+    return F.try_variant_get(value, F.lit("$"), "struct<>").isNotNull()
+
+
+def is_list(value: Column) -> Column:
+    """Whether a VARIANT is a list; false where it is missing. What its elements hold isn't looked at."""
+    return F.try_variant_get(value, F.lit("$"), "array<struct<>>").isNotNull()
+
+
+def is_string(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
+
+
 def kind(value: Column) -> Column:
     """What a VARIANT is: OBJECT, ARRAY, STRING, BOOLEAN, BIGINT, VOID (JSON's null) and so on; null where it is missing."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    # A schema is read from all that lists and objects hold, so they are known before it.
+    return F.when(is_object(value), OBJECT).when(is_list(value), ARRAY).otherwise(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
+
+
+def members(value: Column) -> Column:
+    """An object's members as a map of VARIANTs, JSON's nulls among them; null for everything else."""
+    return F.try_variant_get(value, F.lit("$"), "map<string,variant>")
 
 
 def member(value: Column, name: str) -> Column:
@@ -26,7 +46,7 @@ def member(value: Column, name: str) -> Column:
 
 def as_text(value: Column) -> Column:
     """A VARIANT as text: strings as they are, everything else as JSON."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+    return F.when(~is_object(value) & is_string(value), F.try_variant_get(value, F.lit("$"), "string")).otherwise(F.to_json(value))
 
 
 def _is_whole(value: Column) -> Column:

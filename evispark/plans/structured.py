@@ -158,13 +158,15 @@ def _payload_tables(t):
     """The pages of five kinds of lists as JSON, and a configuration for each kind."""
     c = F.col
     kind = c("run") % 5
-    line = t.lineitem.select(c("l_suppkey").alias("run"), (c("l_orderkey") % 7 + 1).alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    # One shuffle by run serves all that follows.
+    line = t.lineitem.select(c("l_suppkey").alias("run"), (c("l_orderkey") % 7 + 1).alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").repartition("run")
     # One line stands for each id, so that no id is there twice.
-    line = line.groupBy("run", "page", F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("id")).agg(F.min("l_returnflag").alias("mode"), F.min("l_partkey").alias("part"))
+    line = line.groupBy("run", "page", F.when(c("l_linenumber").isNotNull(), c("l_orderkey")).alias("order"), "l_linenumber").agg(F.min("l_returnflag").alias("mode"), F.min("l_partkey").alias("part"))
+    line = line.select("run", "page", F.concat("order", F.lit("-"), "l_linenumber").alias("id"), "mode", "part")
     item = F.struct("id", F.struct(F.struct(c("mode").alias("name")).alias("inner")).alias("t"), F.when(c("part") % 3 == 0, "暂无").when(c("part") % 3 == 1, "does things").alias("d"), F.concat(F.lit("needs "), c("part")).alias("r"))
     pages = line.groupBy("run", "page").agg(F.array_sort(F.collect_list(item)).alias("list"), F.count("*").alias("n"))
-    spread = pages.groupBy("run").agg(F.sum("n").alias("n"))
-    every = spread.select("run", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("page")).join(pages.select("run", "page", "list"), ["run", "page"], "left")
+    runs = pages.groupBy("run").agg(F.sum(F.when(c("page").isNotNull(), c("n"))).alias("n"), F.map_from_entries(F.filter(F.collect_list(F.struct("page", "list")), lambda x: x["page"].isNotNull())).alias("lists"))
+    every = runs.select("run", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("page"), "lists").select("run", "n", "page", F.try_element_at("lists", c("page")).alias("list"))
     rows = F.to_json(c("list"))
     some = F.coalesce(rows, F.lit("[]"))
     body = (

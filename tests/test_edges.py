@@ -1,7 +1,9 @@
 """Queries beside their SQL on small tables of odd rows."""
 
 from compare import difference
+from pyspark.sql import functions as F
 
+from evispark.operators import listing
 from evispark.plans import ORACLE_SQL, QUERIES
 
 
@@ -12,3 +14,23 @@ def test_pages_at_the_size_limit(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "all"))
     next((tmp_path / "all").glob("*.parquet")).rename(tmp_path / "pages.parquet")
     assert not difference(QUERIES["q_snapshot_choice"](spark, str(tmp_path)), ORACLE_SQL["q_snapshot_choice"], str(tmp_path))
+
+
+def test_paths_with_marks_and_figures(spark):
+    body = '{"it\'s": {"0": {"a b": [5, {"x?": null}]}}, "r": [{"rows": [1]}], "": 7}'
+    paths = ["it's.0.a b.0", "it's.0.a b.1.x?", "it's.0.a b.1.x?.y", "r.0.rows", "r.0.rows.00", "r.rows", "", "r.1", "0"]
+    df = spark.createDataFrame([(body, p) for p in paths], "body string, path string").withColumn("v", F.parse_json("body"))
+    got = {r["path"]: (r["a"], r["b"]) for r in df.select("path", F.to_json(listing.walk(F.col("v"), F.col("path"))).alias("a"), F.to_json(listing._walk_whole(F.col("v"), F.col("path"))).alias("b")).collect()}
+    assert [got[p] for p in paths] == [(x, x) for x in ("5", "null", None, "[1]", "1", None, "7", None, None)]
+
+
+def test_items_are_not_shuffled_unless_they_come_again(spark):
+    config = {"source": "s", "url": "https://e.com/", "items_path": "data.list", "id_path": "id", "total_path": "data.total", "fields": {"title": "t.name", "description": "d"}}
+    configs = spark.createDataFrame([tuple(config.get(x.split()[0]) for x in listing.CONFIG.split(", "))], listing.CONFIG)
+    item = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((F.col("id") * 10 + i).alias("id"), F.struct(i.alias("name")).alias("t"), F.lit("x").alias("d")))
+    pages = spark.range(4).select(F.lit("s").alias("source"), F.lit("run").alias("run"), (F.col("id") + 1).alias("page"), F.concat(F.lit('{"data":{"total":40,"list":'), F.to_json(item), F.lit("}}")).alias("body"))
+    records, _ = listing.collect(pages, configs)
+    assert len([r for r in records.collect() if r["needs_details"] and r["title"]]) == 40
+    # Only what a run brings again goes through a window, beside all other items.
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("Union") < plan.find("Window") and plan.count("Window [row_number()") == 1
