@@ -41,7 +41,7 @@ def members(value: Column) -> Column:
 
 def member(value: Column, name: str) -> Column:
     """A member of a VARIANT object as VARIANT; null where it is missing, JSON's null where it is null."""
-    return F.try_variant_get(value, f"$.{name}", "variant")
+    return F.try_variant_get(value, F.lit(f"$.{name}"), "variant")
 
 
 def as_text(value: Column) -> Column:
@@ -59,25 +59,45 @@ def truthy(value: Column) -> Column:
     return F.coalesce(~said.isin("null", "false", "0", '""', "[]", "{}") & ~said.rlike(r"^-?0(\.0*)?(E.*)?$"), F.lit(False))
 
 
+#: Levels of a tree that are opened in one pass over its texts.
+LEVELS = 8
+
+
+def _below(node: Column) -> Column:
+    """The lists and objects right below a node (path, value), as nodes; objects' members in the order of their names."""
+    value, path = node["value"], node["path"]
+    inner = F.when(is_object(value), F.map_values(members(value))).otherwise(F.try_variant_get(value, F.lit("$"), "array<variant>"))
+    nodes = F.transform(F.coalesce(inner, F.array().cast("array<variant>")), lambda x, i: F.struct(F.array_append(path, i).alias("path"), x.alias("value")))
+    return F.filter(nodes, lambda n: is_object(n["value"]) | is_list(n["value"]))
+
+
 def objects(bodies: DataFrame, keep: list[str], body: str = "body") -> DataFrame:
-    """``keep``, ``path`` (array of positions from the root) and ``value`` (VARIANT) of every object at any depth of JSON texts.
+    """``keep``, ``path`` (array of positions from the root) and ``value`` (VARIANT) of every object at any depth of JSON texts, or of VARIANTs.
 
-    A tree is opened level by level until none has a list or object left: each level is stored, narrow against the texts, so the
+    A tree is opened some LEVELS at a time, and what is left below them is stored and opened in turn until nothing is left, so the
     depth may be any and no row limit applies, as it would in a recursive query. ``path`` in order gives an object before those
     in it, and lists in their order; members go by name, as VARIANT keeps no other order. Texts that aren't JSON have no object.
     """
-    nested = kind(F.col("value")).isin(OBJECT, ARRAY)
-    level = bodies.select(*keep, F.array().cast("array<int>").alias("path"), F.try_parse_json(F.col(body)).alias("value")).where(nested)
-    level, found = materialise(level, "json-level"), []
-    while not level.isEmpty():
-        found.append(level.where(kind(F.col("value")) == OBJECT))
-        inner = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("_pos", "_key", "_value"))
-        below = inner.select(*keep, F.concat("path", F.array("_pos")).alias("path"), F.col("_value").alias("value")).where(nested)
-        level = materialise(below, "json-level")
-    out = found[0] if found else level
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    c = F.col
+    parsed = c(body) if dict(bodies.dtypes)[body] == "variant" else F.try_parse_json(c(body))
+    root = F.struct(F.array().cast("array<int>").alias("path"), parsed.alias("value"))
+    rows = bodies.select(*keep, F.filter(F.array(root), lambda n: is_object(n["value"]) | is_list(n["value"])).alias("_0"))
+    found = None
+    while True:
+        for i in range(LEVELS):
+            rows = rows.withColumn(f"_{i + 1}", F.flatten(F.transform(f"_{i}", _below)))
+        last = F.transform(f"_{LEVELS}", lambda n: F.struct(n["path"].alias("path"), n["value"].alias("value"), F.lit(True).alias("open")))
+        above = F.flatten(F.array(*(F.filter(f"_{i}", lambda n: is_object(n["value"])) for i in range(LEVELS))))
+        above = F.transform(above, lambda n: F.struct(n["path"].alias("path"), n["value"].alias("value"), F.lit(False).alias("open")))
+        # Texts without any give a row of null here: a condition before the explosion would open the trees once more.
+        each = rows.select(*keep, F.explode_outer(F.concat(above, last)).alias("_n")).where("_n is not null").select(*keep, "_n.path", "_n.value", "_n.open")
+        level = materialise(each, "json-levels")
+        here = level.where("not open").drop("open")
+        found = here if found is None else found.unionByName(here)
+        left = level.where("open")
+        if left.isEmpty():
+            return found
+        rows = left.select(*keep, F.array(F.struct("path", "value")).alias("_0"))
 
 
 def reported_totals(found: DataFrame, key: list[str]) -> DataFrame:
@@ -93,16 +113,25 @@ def json_jobs(found: DataFrame, base: str = "base") -> DataFrame:
     A job has a title and an id or link, and a member that only jobs have. Its own link is resolved; on one platform that
     gives none it is made from the id. Members that hold no text come into ``text`` as JSON.
     """
+    jobs = _valued_jobs(found, base)
+    return jobs.select(*[n for n in jobs.columns if n not in ("value", "id")], F.to_json("value").alias("raw"), "id")
+
+
+def _valued_jobs(found: DataFrame, base: str) -> DataFrame:
+    """``json_jobs`` with ``value`` (VARIANT) in the place of raw, which costs more than all else and may not be asked for."""
     c = F.col
     names = sorted({*rules.JOB_TITLE_KEYS, *rules.JOB_ID_KEYS, *rules.JOB_LINK_KEYS, *rules.JOB_BODY_KEYS, *rules.JOB_ONLY_KEYS, "Category"})
-    # All members that matter are looked up once; what follows reads them from there.
-    told = lambda x: F.struct(kind(x).alias("kind"), as_text(x).alias("text"), truthy(x).alias("says"), _is_whole(x).alias("whole"))
-    listed = F.array(*map(F.lit, names))
-    looked_up = F.map_from_arrays(listed, F.transform(listed, lambda n: U.let(F.try_variant_get(c("value"), F.concat(F.lit("$."), n), "variant"), told)))
+    # Of an object's members only those that matter are read, each once; what follows reads them from there.
+    says_so = lambda t: F.when(t["kind"] == "STRING", t["text"] != "").otherwise(~t["text"].isin("null", "false", "0", "[]", "{}") & ~t["text"].rlike(r"^-?0(\.0*)?(E.*)?$"))
+    read = lambda v: F.struct(kind(v).alias("kind"), as_text(v).alias("text"), v.alias("v"))
+    told = lambda t: F.struct(t["kind"].alias("kind"), t["text"].alias("text"), says_so(t).alias("says"), ((t["kind"] == "BIGINT") | ((t["kind"] == "DECIMAL") & _is_whole(t["v"]))).alias("whole"))
+    own = F.map_filter(members(c("value")), lambda k, _: k.isin(*names))
+    looked_up = F.transform_values(own, lambda _, v: U.let(read(v), told))
+    titled = F.exists(F.map_keys(members(c("value"))), lambda k: k.isin(*rules.JOB_TITLE_KEYS))
     any_of = lambda among, holds: functools.reduce(lambda x, y: x | y, (F.coalesce(holds(n), F.lit(False)) for n in among))
 
-    def job(members):
-        m = lambda n: F.element_at(members, F.lit(n))
+    def job(held):
+        m = lambda n: F.try_element_at(held, F.lit(n))
         text = lambda n: m(n)["text"]
         says = lambda n: m(n)["says"]
         has = lambda n: m(n)["kind"].isNotNull()
@@ -119,12 +148,14 @@ def json_jobs(found: DataFrame, base: str = "base") -> DataFrame:
             F.concat_ws("\n", *(F.when(says(n), text(n)) for n in rules.JOB_BODY_KEYS)).alias("text"), (fits & (shown_id.isNotNull() | (link != ""))).alias("fits"),
         )
 
-    rows = found.withColumn("_job", U.let(looked_up, job)).where(F.col("_job.fits") & (F.col("_job.title") != ""))
+    # The explosion keeps the conditions behind it, which would else work out the job once more.
+    jobs = F.filter(F.transform(F.array(looked_up), job), lambda j: j["fits"] & (j["title"] != ""))
+    rows = found.where(titled).select("*", F.explode_outer(jobs).alias("_job")).where("_job is not null")
     section = F.when(F.contains("_job.category", F.lit("校园")), "campus").when(F.contains("_job.category", F.lit("实习")), "intern").otherwise("social")
     made = F.concat(F.lit("/"), section, F.lit("/jobdetails?jobId="), c("_job.id"))
     link = F.when((c("_job.link") == "") & c("_job.id").isNotNull() & F.endswith(U.host(c(base)), F.lit("zhiye.com")), made).otherwise(c("_job.link"))
     target = F.coalesce(U.absolute(link, c(base)), F.lit(""))
-    rows = rows.select(*[n for n in found.columns if n != "value"], c("_job.title").alias("title"), target.alias("url"), c("_job.text").alias("text"), F.to_json("value").alias("raw"), c("_job.id").alias("_id"))
+    rows = rows.select(*found.columns, c("_job.title").alias("title"), target.alias("url"), c("_job.text").alias("text"), c("_job.id").alias("_id"))
     job_id = F.substring(F.sha2(F.concat(U.split(c(base))["authority"], F.lit(":"), F.coalesce("_id", "url")), 256), 1, 24)
     return rows.withColumn("id", job_id).drop("_id")
 

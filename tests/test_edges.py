@@ -1,10 +1,13 @@
 """Queries beside their SQL on small tables of odd rows."""
 
+import json
+
 from compare import difference
 from pyspark.sql import functions as F
 
-from evispark.operators import listing
+from evispark.operators import listing, payloads
 from evispark.plans import ORACLE_SQL, QUERIES
+from evispark.session import release
 
 
 def test_pages_at_the_size_limit(spark, tmp_path):
@@ -34,3 +37,19 @@ def test_items_are_not_shuffled_unless_they_come_again(spark):
     # Only what a run brings again goes through a window, beside all other items.
     plan = records._jdf.queryExecution().optimizedPlan().toString()
     assert -1 < plan.find("Union") < plan.find("Window") and plan.count("Window [row_number()") == 1
+
+
+def test_deep_trees_are_opened_in_few_passes(spark):
+    def nodes(x, path=()):
+        inner = [x[k] for k in sorted(x)] if isinstance(x, dict) else x if isinstance(x, list) else []
+        return ([(path, json.dumps(x, separators=(",", ":"), sort_keys=True))] if isinstance(x, dict) else []) + [n for i, y in enumerate(inner) for n in nodes(y, (*path, i))]
+
+    deep = {"end": None}
+    for i in range(20):
+        deep = {"b": deep, "a": i, "c": [[], [{}], "{"]} if i % 2 else [i, deep, {"x": [1]}]
+    bodies = [deep, {"b": {"c": [{"d": {"e": [{"f": 1}]}}]}}, [], 5, None]
+    release(spark)
+    found = payloads.objects(spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)] + [(9, "{"), (10, None)], "k long, body string"), ["k"])
+    got = sorted((r["k"], tuple(r["path"]), r["j"]) for r in found.select("k", "path", F.to_json("value").alias("j")).collect())
+    assert got == sorted((i, *n) for i, b in enumerate(bodies) for n in nodes(b))
+    assert release(spark) <= 4
