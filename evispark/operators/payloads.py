@@ -102,8 +102,9 @@ def objects(bodies: DataFrame, keep: list[str], body: str = "body") -> DataFrame
 
 def reported_totals(found: DataFrame, key: list[str]) -> DataFrame:
     """The largest total that objects (see ``objects``) of a key report under any alias; keys without one are left out."""
-    text = lambda n: F.try_variant_get(F.col("value"), f"$.{n}", "decimal(38,0)")
-    each = F.greatest(*(F.when(_is_whole(member(F.col("value"), n)) & (text(n) >= 0), text(n)) for n in rules.TOTAL_KEYS))
+    number = lambda v: F.when(_is_whole(v), F.try_variant_get(v, F.lit("$"), "decimal(38,0)"))
+    told = F.transform(F.map_values(F.map_filter(members(F.col("value")), lambda k, _: k.isin(*rules.TOTAL_KEYS))), number)
+    each = F.array_max(F.filter(told, lambda x: x >= 0))
     return found.groupBy(*key).agg(F.max(each).cast("long").alias("total")).where("total is not null")
 
 
@@ -177,18 +178,21 @@ def reparse(results: DataFrame, jobs: DataFrame, artifacts: DataFrame) -> tuple[
     has result, total (the largest told), detail_urls (in order, each once) and reparsed, the artifacts that gave jobs.
     Artifacts that aren't JSON say nothing; those of unknown results are left out.
     """
-    record = F.try_parse_json(F.col("body"))
-    inner = member(record, "body")
-    known = artifacts.join(results.select("result", F.col("url").alias("_url")), "result")
-    bodies = known.select("result", "nth", F.coalesce(as_text(F.when(kind(member(record, "url")) == "STRING", member(record, "url"))), "_url", F.lit("")).alias("base"), F.coalesce(F.to_json(inner), F.col("body")).alias("body"))
+    c = F.col
+    known = artifacts.join(results.select("result", F.col("url").alias("_url")), "result").withColumn("_record", F.try_parse_json("body"))
+    own = member(c("_record"), "url")
+    base = F.coalesce(F.when(is_string(own), F.try_variant_get(c("_record"), F.lit("$.url"), "string")), "_url", F.lit(""))
+    bodies = known.select("result", "nth", base.alias("base"), F.coalesce(member(c("_record"), "body"), "_record").alias("body"))
     found = objects(bodies, ["result", "nth", "base"])
-    anew = materialise(json_jobs(found), "json-jobs")
+    anew = materialise(_valued_jobs(found, "base").drop("base"), "json-jobs").withColumn("raw", F.to_json("value"))
     order = lambda late, nth, path: F.struct(F.lit(late).alias("late"), nth.alias("nth"), path.alias("path"))
     fields = ("id", "title", "url", "text", "raw")
     kept = jobs.where(~stale_job(F.col("title"), F.col("raw"))).select("result", order(0, F.col("nth").cast("long"), F.array().cast("array<int>")).alias("_at"), *fields)
     at = order(1, F.col("nth").cast("long"), F.col("path"))
-    once = anew.groupBy("result", "id").agg(F.min(at).alias("_at"), F.min_by(F.struct(*fields[1:]), at).alias("_f")).join(kept.select("result", "id").distinct(), ["result", "id"], "left_anti")
-    every = kept.unionByName(once.select("result", "_at", "id", *(F.col(f"_f.{f}").alias(f) for f in fields[1:])))
+    # A window instead of a struct, so that fields that nobody reads aren't shuffled.
+    nth = F.row_number().over(Window.partitionBy("result", "id").orderBy("nth", "path"))
+    once = anew.withColumn("_n", nth).where("_n = 1").join(kept.select("result", "id").distinct(), ["result", "id"], "left_anti").select("result", at.alias("_at"), *fields)
+    every = kept.unionByName(once)
     first = Window.partitionBy("result").orderBy("_at", "id")
     merged = every.select("result", (F.row_number().over(first) - 1).cast("long").alias("nth"), *fields)
     urls = merged.where("url <> ''").groupBy("result").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "url"))), lambda x: x["url"]).alias("_urls"))

@@ -53,3 +53,17 @@ def test_deep_trees_are_opened_in_few_passes(spark):
     got = sorted((r["k"], tuple(r["path"]), r["j"]) for r in found.select("k", "path", F.to_json("value").alias("j")).collect())
     assert got == sorted((i, *n) for i, b in enumerate(bodies) for n in nodes(b))
     assert release(spark) <= 4
+
+
+def test_reparse_stores_payloads_once(spark):
+    body = {"url": "https://e.com/api", "body": {"a": {"b": {"list": [{"jobId": 7, "title": "again", "url": "/j/7", "total": 5}, {"count": 18446744073709551617, "Count": 1.0, "total": -3}]}}}}
+    results = spark.createDataFrame([("r", "https://e.com/", 3, [])], "result string, url string, total long, detail_urls array<string>")
+    jobs = spark.createDataFrame([], "result string, nth long, id string, title string, url string, text string, raw string")
+    artifacts = spark.createDataFrame([("r", 0, json.dumps(body)), ("r", 1, json.dumps({"url": 5, "body": None})), ("r", 2, "[]")], "result string, nth long, body string")
+    release(spark)
+    merged, coverage = payloads.reparse(results, jobs, artifacts.where("nth > 0"))
+    assert merged.count() == 0 and coverage.first()["total"] == 3
+    merged, coverage = payloads.reparse(results, jobs, artifacts.withColumn("body", F.replace("body", F.lit("18446744073709551617"), F.lit("6"))))
+    assert [(r["nth"], r["title"], r["url"], json.loads(r["raw"])["total"]) for r in merged.collect()] == [(0, "again", "https://e.com/j/7", 5)]
+    assert coverage.first().asDict() == {"result": "r", "total": 6, "detail_urls": ["https://e.com/j/7"], "reparsed": [0]}
+    assert release(spark) <= 4
