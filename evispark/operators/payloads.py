@@ -49,6 +49,10 @@ def as_text(value: Column) -> Column:
     return F.when(~is_object(value) & is_string(value), F.try_variant_get(value, F.lit("$"), "string")).otherwise(F.to_json(value))
 
 
+def _is_among(names: tuple, value: Column) -> Column:
+    return value.isin(*names)
+
+
 def _is_whole(value: Column) -> Column:
     return (kind(value) == "BIGINT") | F.schema_of_variant(value).rlike(r"^DECIMAL\(\d+,0\)$")
 
@@ -124,11 +128,15 @@ def _valued_jobs(found: DataFrame, base: str) -> DataFrame:
     names = sorted({*rules.JOB_TITLE_KEYS, *rules.JOB_ID_KEYS, *rules.JOB_LINK_KEYS, *rules.JOB_BODY_KEYS, *rules.JOB_ONLY_KEYS, "Category"})
     # Of an object's members only those that matter are read, each once; what follows reads them from there.
     says_so = lambda t: F.when(t["kind"] == "STRING", t["text"] != "").otherwise(~t["text"].isin("null", "false", "0", "[]", "{}") & ~t["text"].rlike(r"^-?0(\.0*)?(E.*)?$"))
-    read = lambda v: F.struct(kind(v).alias("kind"), as_text(v).alias("text"), v.alias("v"))
-    told = lambda t: F.struct(t["kind"].alias("kind"), t["text"].alias("text"), says_so(t).alias("says"), ((t["kind"] == "BIGINT") | ((t["kind"] == "DECIMAL") & _is_whole(t["v"]))).alias("whole"))
+    shape = lambda v: F.when(is_object(v), OBJECT).when(is_list(v), ARRAY).otherwise(F.schema_of_variant(v))
+    shown = lambda t: F.when(t["kind"] == "STRING", F.try_variant_get(t["v"], F.lit("$"), "string")).otherwise(F.to_json(t["v"]))
+    read = lambda v: U.let(F.struct(shape(v).alias("kind"), v.alias("v")), lambda t: F.struct(t["kind"].alias("kind"), shown(t).alias("text")))
+    told = lambda t: F.struct(t["kind"].alias("kind"), t["text"].alias("text"), says_so(t).alias("says"), ((t["kind"] == "BIGINT") | t["kind"].rlike(r"^DECIMAL\(\d+,0\)$")).alias("whole"))
     own = F.map_filter(members(c("value")), lambda k, _: k.isin(*names))
     looked_up = F.transform_values(own, lambda _, v: U.let(read(v), told))
-    titled = F.exists(F.map_keys(members(c("value"))), lambda k: k.isin(*rules.JOB_TITLE_KEYS))
+    # Whoever lacks one of these by name alone is no job.
+    needed = (rules.JOB_TITLE_KEYS, (*rules.JOB_ID_KEYS, *rules.JOB_LINK_KEYS), (*rules.JOB_ONLY_KEYS, *rules.JOB_BODY_KEYS))
+    likely = U.let(F.map_keys(members(c("value"))), lambda keys: functools.reduce(lambda x, y: x & y, (F.exists(keys, functools.partial(_is_among, among)) for among in needed)))
     any_of = lambda among, holds: functools.reduce(lambda x, y: x | y, (F.coalesce(holds(n), F.lit(False)) for n in among))
 
     def job(held):
@@ -151,7 +159,7 @@ def _valued_jobs(found: DataFrame, base: str) -> DataFrame:
 
     # The explosion keeps the conditions behind it, which would else work out the job once more.
     jobs = F.filter(F.transform(F.array(looked_up), job), lambda j: j["fits"] & (j["title"] != ""))
-    rows = found.where(titled).select("*", F.explode_outer(jobs).alias("_job")).where("_job is not null")
+    rows = found.where(likely).select("*", F.explode_outer(jobs).alias("_job")).where("_job is not null")
     section = F.when(F.contains("_job.category", F.lit("校园")), "campus").when(F.contains("_job.category", F.lit("实习")), "intern").otherwise("social")
     made = F.concat(F.lit("/"), section, F.lit("/jobdetails?jobId="), c("_job.id"))
     link = F.when((c("_job.link") == "") & c("_job.id").isNotNull() & F.endswith(U.host(c(base)), F.lit("zhiye.com")), made).otherwise(c("_job.link"))
